@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import mix
+from . import chat, mix, warc
 
 
 def queries():
     return {
+        "op1_warc": warc.op1_warc,
+        "op3_chat": chat.op3_chat,
         "op5_mix": mix.op5_mix,
     }
 
 
 def oracle_sql():
     return {
+        "op1_warc": warc.OP1_SQL,
+        "op3_chat": chat.OP3_SQL,
         "op5_mix": mix.OP5_SQL,
     }
