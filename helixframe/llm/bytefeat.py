@@ -136,3 +136,45 @@ def shingle_hashes(word_hash: np.ndarray, row: np.ndarray, n_rows: int, k: int)
     h, r = np.concatenate([long_h, short_h]), np.concatenate([long_r, short])
     order = np.argsort(r, kind="stable")
     return h[order], r[order]
+
+
+def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buffer, first): every text with a space before it and one after the last; white space made spaces.
+
+    ``first[i]`` is the place of the space before text i.
+    """
+    n_rows = len(offsets) - 1
+    buf = np.full(len(data) + n_rows + 1, 32, np.uint8)
+    keep = np.ones(len(buf), bool)
+    first = offsets[:-1] + np.arange(n_rows)
+    keep[first] = False
+    keep[-1] = False
+    buf[keep] = np.where(is_space(data), np.uint8(32), data)
+    return buf, first
+
+
+def gram_buckets(buf: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash bucket of the n bytes at each place, and whether they lie in one word.
+
+    A gram may begin or end with the space beside its word, and is not counted
+    if a space is inside it or if it is spaces alone.
+    """
+    m = len(buf) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint32), np.zeros(0, bool)
+    with np.errstate(over="ignore"):
+        acc = np.full(m, (2166136261 + n * 97) & 0xFFFFFFFF, np.uint32)
+        for j in range(n):
+            acc ^= buf[j : j + m]
+            acc *= np.uint32(16777619)
+        acc *= np.uint32(2654435761)
+    space = buf == 32
+    if n == 1:
+        inside = ~space[:m]
+    elif n == 2:
+        inside = ~(space[:m] & space[1 : 1 + m])
+    else:
+        inside = ~space[1 : 1 + m]
+        for j in range(2, n - 1):
+            inside &= ~space[j : j + m]
+    return acc >> np.uint32(32 - bits), inside

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mix, warc
+from . import chat, langid, mix, quality, warc
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_warc": warc.op1_warc,
         "op3_chat": chat.op3_chat,
         "op5_mix": mix.op5_mix,
+        "op7_langid": langid.op7_langid,
+        "op10_quality": quality.op10_quality,
     }
 
 
