@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mix, quality, warc
+from . import bpe, chat, langid, minhash, mix, quality, warc
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op3_chat": chat.op3_chat,
         "op5_mix": mix.op5_mix,
         "op7_langid": langid.op7_langid,
+        "op8_minhash": minhash.op8_minhash,
+        "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
     }
 
@@ -20,4 +22,5 @@ def oracle_sql():
         "op1_warc": warc.OP1_SQL,
         "op3_chat": chat.OP3_SQL,
         "op5_mix": mix.OP5_SQL,
+        "op8_minhash": minhash.OP8_SQL,
     }
