@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, minhash, mix, quality, warc
+from . import bpe, chat, embed, langid, minhash, mix, quality, topk, warc
 
 
 def queries():
     return {
         "op1_warc": warc.op1_warc,
+        "op2_topk": topk.op2_topk,
         "op3_chat": chat.op3_chat,
+        "op4_embed": embed.op4_embed,
         "op5_mix": mix.op5_mix,
         "op7_langid": langid.op7_langid,
         "op8_minhash": minhash.op8_minhash,
@@ -20,7 +22,9 @@ def queries():
 def oracle_sql():
     return {
         "op1_warc": warc.OP1_SQL,
+        "op2_topk": topk.OP2_SQL,
         "op3_chat": chat.OP3_SQL,
+        "op4_embed": embed.OP4_SQL,
         "op5_mix": mix.OP5_SQL,
         "op8_minhash": minhash.OP8_SQL,
     }
