@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embed, langid, minhash, mix, quality, topk, warc
+from . import bpe, chat, embed, langid, minhash, mix, quality, suffix, topk, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_chat": chat.op3_chat,
         "op4_embed": embed.op4_embed,
         "op5_mix": mix.op5_mix,
+        "op6_suffix": suffix.op6_suffix,
         "op7_langid": langid.op7_langid,
         "op8_minhash": minhash.op8_minhash,
         "op9_bpe": bpe.op9_bpe,
