@@ -375,9 +375,12 @@ def _unpack(pairs: list[dict]) -> dict[int, np.ndarray]:
     return {p["bucket"]: np.unpackbits(np.frombuffer(p["bits"], np.uint8)) for p in pairs or [] if p["bits"] is not None}
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """All columns of ``docs``, and: kept_bytes (binary), n_bytes, n_removed, n_spans, removed_spans.
 
+    With ``as_text``, kept_text takes the place of kept_bytes; characters cut in
+    two by the byte limits go as a whole.
+
     Texts are UTF-8 bytes (null: empty). Every byte covered by a ``width``-byte
     string that also starts in a document with a smaller id goes; strings are
     judged on the input and never cross documents. A null id counts as larger
@@ -430,7 +433,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     answers = bits.join(owners, ["pack", "bucket"]).groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "owners")).alias("answers"))
 
     out_schema = StructType(source.schema.fields[:])
-    for name, kind in (("kept_bytes", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("removed_spans", "array<struct<start:long,end:long>>")):
+    for name, kind in (("kept_text", "string") if as_text else ("kept_bytes", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("removed_spans", "array<struct<start:long,end:long>>")):
         out_schema = out_schema.add(name, kind if not kind.startswith("array") else spark.createDataFrame([], f"x {kind}").schema[0].dataType)
     arrow_schema = to_arrow_schema(out_schema)
 
@@ -461,7 +464,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 
 def _finished(pack: Pack, cover: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    n, off = pack.batch.num_rows, pack.offsets
+    n, off, n_own = pack.batch.num_rows, pack.offsets, pack.batch.num_columns
     kept, removed, spans = [], [], []
     for i in range(n):
         c, d = cover[off[i] : off[i + 1]], pack.data[off[i] : off[i + 1]]
@@ -474,7 +477,9 @@ def _finished(pack: Pack, cover: np.ndarray, schema: pa.Schema) -> Iterator[pa.R
             spans.append([])
             removed.append(0)
             kept.append(d.tobytes())
-    extra = [pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, schema.field("removed_spans").type)]
+    if schema.get_field_index("kept_text") == n_own:
+        kept = [x.decode("utf-8", "ignore") for x in kept]
+    extra = [pa.array(kept, schema.field(n_own).type), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, schema.field("removed_spans").type)]
     columns = [pack.batch.column(i) for i in range(pack.batch.num_columns)] + extra
     yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)], schema=schema)
 
