@@ -79,12 +79,17 @@ def _strip_batches(total: float):
 def _pairs_within(ya: np.ndarray, yb: np.ndarray, ua: np.ndarray, ub: np.ndarray, k: int, d: int, total: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of linked pairs whose first block within budget is k, tile by tile; same: i < j only."""
     edge, budget = block_edges(d), budgets(d, total)
-    a, b = ya[:, edge[k] : edge[k + 1]], yb[:, edge[k] : edge[k + 1]]
-    nb = (b * b).sum(1)
+    a, b = ya[:, edge[k] : edge[k + 1]].astype(np.float32), yb[:, edge[k] : edge[k + 1]].astype(np.float32)
+    # single precision finds candidates, with room for its rounding: |a|^2 + |b|^2 - 2 ab <= budget
+    room = np.float32(budget[k] + 1e-5) - (a * a).sum(1)
+    right = np.ascontiguousarray(np.concatenate([b, (b * b).sum(1)[:, None]], 1).T)
+    left = np.concatenate([-2 * a, np.ones((len(a), 1), np.float32)], 1)
     for s in range(0, len(a), TILE):
-        t = a[s : s + TILE]
-        dist = (t * t).sum(1)[:, None] + nb[None, :] - 2 * (t @ b.T)
-        i, j = np.nonzero(dist <= budget[k] + 1e-9)
+        low = s + 1 if same else 0  # pairs i < j only: columns up to the tile's first row are done
+        part = left[s : s + TILE] @ right[:, low:]
+        at = np.flatnonzero(part <= room[s : s + TILE, None])
+        i, j = np.divmod(at, right.shape[1] - low) if right.shape[1] > low else (at, at)
+        j = j + low
         if same:
             keep = i + s < j
             i, j = i[keep], j[keep]
@@ -93,15 +98,11 @@ def _pairs_within(ya: np.ndarray, yb: np.ndarray, ua: np.ndarray, ub: np.ndarray
             x, y = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
             ok = np.einsum("ij,ij->i", ua[x], ub[y]) >= cosine
             x, y = x[ok], y[ok]
-            if len(x):
-                diff = np.add.reduceat((ya[x] - yb[y]) ** 2, edge[:-1], axis=1)
-                found = (diff[:, : k + 1] <= budget[: k + 1]).argmax(1) == k
-                if k:
-                    found &= diff[:, k] <= budget[k]
-                x, y = x[found], y[found]
-            elif not len(x):
-                continue
-            yield x, y
+            diff = np.add.reduceat((ya[x] - yb[y]) ** 2, edge[:-1], axis=1)
+            within = diff[:, : k + 1] <= budget[: k + 1]
+            found = within[:, k] & ~within[:, :k].any(1)
+            if found.any():
+                yield x[found], y[found]
 
 
 def _link_batches(total: float, cosine: float):
