@@ -1 +1 @@
-
+"""Column builders: pure expressions, no UDFs."""

@@ -1 +1 @@
-
+"""Registered queries and command line."""
