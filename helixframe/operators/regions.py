@@ -80,8 +80,8 @@ def site_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("z_factor", F.when(d == 0, 0.0).otherwise(1.0 - 1.96 * 0.1 * (F.col("value1") + F.col("value2")) / d)).withColumn("z_score", d / 0.1).withColumn("hit", (F.col("z_factor") > 0) & (F.col("z_score") >= 1.0))
 
 
-def deltashape_regions(pairs: DataFrame, min_len: int = 5, max_len: int = 50, keys: list[str] = GROUP) -> DataFrame:
-    """Runs of sites that start at each open site, take up to ``max_len`` sites, end at the first miss after a hit, and hold hits in half their length.
+def deltashape_regions(pairs: DataFrame, min_len: int = 5, max_len: int = 50, keys: list[str] = GROUP, compat: bool = False) -> DataFrame:
+    """Runs of sites that start at a hit (``compat``: at each open site, hit or not), take up to ``max_len`` sites, end at the first miss after a hit, and hold hits in half their length.
 
     keys, start, end, z_factor, z_score (greatest of the run), hits. A run's
     end decides where the next begins, so a strand is one pandas call on four
@@ -98,6 +98,9 @@ def deltashape_regions(pairs: DataFrame, min_len: int = 5, max_len: int = 50, ke
             if not len(hits):
                 at += 1  # nothing ahead within reach: this site alone
                 continue
+            if not compat:
+                at += int(hits[0])
+                stop, hits = min(at + max_len, len(pos)), hits[:1] * 0
             misses = np.flatnonzero(~hit[at + hits[0] : stop])
             last = at + hits[0] + (int(misses[0]) if len(misses) else stop - at - int(hits[0])) - 1
             n = int(hit[at : last + 1].sum())
