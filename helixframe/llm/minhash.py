@@ -19,22 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytefeat import U64, lower_ascii, mix64, pieces, shingle_hashes, span_hashes, text_buffers, words
-from .util import connected_components, cut, small_batches, stored
+from .util import BROADCAST_ROWS, connected_components, cut, small_batches, stored
 
 #: Minwise tokens per set, trees, branches a node selects, levels before sizes are looked at.
-TOKENS, TREES, BRANCHES, FIRST_LEVELS = 64, 6, 2, 2
+TOKENS, TREES, BRANCHES, FIRST_LEVELS = 64, 5, 2, 3
 
-#: Nodes up to this size are compared exhaustively; no branch is followed beyond MAX_LEVEL.
+#: Nodes up to this size are compared by their tokens in one piece; no branch is followed beyond MAX_LEVEL.
 NODE_LIMIT, MAX_LEVEL = 64, 12
 
 #: Candidates are confirmed if this share of minwise tokens agrees: five standard deviations below 0.8.
 LEAST_AGREE = 0.55
 
-#: A node stays whole if this share of it agrees with its pivot in this share of tokens.
-TIGHT_SHARE, TIGHT_AGREE = 0.8, 0.75
+#: Classes of a dense node that one task compares with as many others on full sets.
+DENSE_CHUNK = 2048
 
-#: Rows of a large node that one task compares with the rest's outliers.
-SPLIT_ROWS = 4096
+#: Bytes of a shingle hash in the sets that travel.
+SET_BYTES = 6
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
@@ -100,8 +100,9 @@ def _feature_batches(k: int):
                         pa.array([a for a, _ in keys], pa.int64()),
                         pa.array([b for _, b in keys], pa.int64()),
                         pa.array([r.tobytes() for r in sig], pa.binary()),
+                        pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "cls", "check", "sig"],
+                    ["doc_id", "n_shingles", "cls", "check", "sig", "low"],
                 )
 
     return run
@@ -111,6 +112,22 @@ def _sig(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
+def _low(column: pa.Array) -> np.ndarray:
+    """The tokens' low bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TOKENS)
+
+
+def _pack_set(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def _open_set(raw: pa.Scalar) -> np.ndarray:
+    part = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, SET_BYTES)
+    full = np.zeros((len(part), 8), np.uint8)
+    full[:, :SET_BYTES] = part
+    return np.unique(full.view(U64)[:, 0])
+
+
 def _root_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -127,86 +144,181 @@ def _branch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, cls = np.asarray(batch.column(0)).view(U64), np.asarray(batch.column(1))
-        kids = _children(node, _sig(batch.column(2)))
+        node, cls, sig = np.asarray(batch.column(0)).view(U64), np.asarray(batch.column(1)), _sig(batch.column(2))
+        kids = [k for child in _children(node, sig) for k in _children(child, sig)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(cls, len(kids)))], ["node", "cls"])
 
 
-def _agree_batches(names: list[str]):
-    """Share of equal tokens of the last two columns; the first ones pass."""
+def _agree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by node: node and the mean share of tokens in which its members agree with its first one."""
+    node, head, total, n = None, None, 0.0, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([total / max(n, 1)])], ["node", "agree"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, low = np.asarray(batch.column(0)), _low(batch.column(1))
+        edges = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if nodes[a] != node:
+                if node is not None:
+                    yield row()
+                node, head, total, n = int(nodes[a]), low[a].copy(), 0.0, 0
+            total += float((low[a:b] == head).mean(1).sum())
+            n += b - a
+    if node is not None:
+        yield row()
+
+
+def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(small, dense) terminal nodes of all trees: node, cls. ``reps``: cls, sig, low (stored).
+
+    A large node branches while that shrinks it: members that agree with one of
+    them in a share a of the tokens come back BRANCHES * a times on the next
+    level. If that is once or more on average, the node is dense and compared
+    as it is. Two levels are branched between looks at the sizes.
+    """
+    spark = reps.sparkSession
+    rows = reps.select("cls", "sig").mapInArrow(_root_batches, "node long, cls long")
+    small, dense, level = [], [], FIRST_LEVELS
+    while True:
+        size = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sized = stored(rows.join(size, "node"), "nodes")
+        small.append(sized.where(F.col("size") <= NODE_LIMIT).select("node", "cls"))
+        large = sized.where(F.col("size") > NODE_LIMIT).select("node", "cls")
+        if large.isEmpty():
+            break
+        if level >= MAX_LEVEL:
+            dense.append(large)
+            break
+        big = stored(large.join(reps, "cls").select("node", "cls", "sig", "low").repartition("node").sortWithinPartitions("node", "cls"), "large")
+        small_batches(spark, 4096)
+        tight = cut(big.select("node", "low").mapInArrow(_agree_batches, "node long, agree double").groupBy("node").agg(F.max("agree").alias("agree")).where(F.col("agree") * BRANCHES >= 1).select("node"))
+        small_batches(spark)
+        side = F.broadcast(tight) if tight.count() <= BROADCAST_ROWS else tight
+        dense.append(big.join(side, "node", "left_semi").select("node", "cls"))
+        rows = big.join(side, "node", "left_anti").select("node", "cls", "sig").mapInArrow(_branch_batches, "node long, cls long").distinct()
+        level += 2
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0] if parts else small[0].limit(0)
+        for d in parts[1:]:
+            out = out.unionByName(d)
+        return out
+
+    return union(small), stored(union(dense), "dense")
+
+
+def _grouped(columns: int, solve):
+    """Rows sorted by their first ``columns`` integer columns: ``solve`` gets the rows of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(names)
+        held: list[pa.RecordBatch] = []
+        current = None
         for batch in batches:
-            if batch.num_rows:
-                same = (_sig(batch.column(n)) == _sig(batch.column(n + 1))).mean(1)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(same)], [*names, "agree"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(columns)], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if (key := tuple(keys[a])) != current:
+                    if held and (out := solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
+                        yield out
+                    held, current = [], key
+                held.append(batch.slice(a, b - a))
+        if held and (out := solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
+            yield out
 
     return run
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two members or more, with their size and pivot (least member)."""
-    size = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("pivot")).where("size > 1")
-    return rows.join(size, "node")
+def _pairs(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"]) if len(i) else None
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """Terminal nodes of all trees: node, cls, size, pivot. ``reps``: cls, sig (stored)."""
-    rows = reps.select("cls", "sig").mapInArrow(_root_batches, "node long, cls long")
-    done = []
-    for level in range(FIRST_LEVELS, MAX_LEVEL + 1):
-        sized = stored(_sized(rows.distinct() if level > FIRST_LEVELS else rows), "nodes")
-        if level == MAX_LEVEL:
-            done.append(sized)
-            break
-        small = sized.where(F.col("size") <= NODE_LIMIT)
-        done.append(small)
-        large = sized.where(F.col("size") > NODE_LIMIT)
-        if large.isEmpty():
-            break
-        with_sig = large.join(reps.select("cls", "sig"), "cls")
-        pivots = reps.select(F.col("cls").alias("pivot"), F.col("sig").alias("pivot_sig"))
-        heads = large.select("node", "pivot").distinct().join(pivots, "pivot").select("node", "pivot_sig")
-        close = with_sig.join(heads, "node").select("node", "sig", "pivot_sig").mapInArrow(_agree_batches(["node"]), "node long, agree double")
-        tight = cut(close.groupBy("node").agg(F.avg((F.col("agree") >= TIGHT_AGREE).cast("double")).alias("share")).where(F.col("share") >= TIGHT_SHARE).select("node"))
-        done.append(large.join(tight, "node", "left_semi"))
-        open_ = with_sig.join(tight, "node", "left_anti")
-        rows = open_.select("node", "cls", "sig").mapInArrow(_branch_batches, "node long, cls long")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("node", "cls", "size", "pivot")
-
-
-def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (node, part): each query against each member of another component."""
-    held: list[pa.RecordBatch] = []
-    current = None
-
-    def compare() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        query, cls, comp, sig = np.asarray(t.column(2)), np.asarray(t.column(3)), np.asarray(t.column(4)), _sig(t.column(5))
-        q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        for i in q:
-            hit = m[((sig[m] == sig[i]).mean(1) >= LEAST_AGREE) & (comp[m] != comp[i])]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[hit], cls[i])), pa.array(np.maximum(cls[hit], cls[i]))], ["a", "b"])
+def _forest(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(i, j) of all likely pairs, and which of them make a spanning forest, likeliest first."""
+    agree = np.stack([(low == row).mean(1) for row in low])
+    i, j = np.nonzero(np.triu(agree >= LEAST_AGREE, 1))
+    label, keep = np.arange(len(low)), []
+    for k in np.argsort(-agree[i, j], kind="stable"):
+        a, b = label[i[k]], label[j[k]]
+        if a != b:
+            label[label == b] = a
+            keep.append(int(k))
+    return i, j, keep
+
+
+def _likely_forest(t: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Of a small node: the pairs of a spanning forest of likely links, likeliest first."""
+    cls, low = np.asarray(t.column(1)), _low(t.column(2))
+    i, j, keep = _forest(low)
+    return _pairs(cls, i[keep], j[keep])
+
+
+def _likely_across(t: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Of a small node: all likely pairs of different components, those of its forest, tried before, left out."""
+    cls, low, comp = np.asarray(t.column(1)), _low(t.column(2)), np.asarray(t.column(3))
+    if (comp == comp[0]).all():
+        return None
+    i, j, keep = _forest(low)
+    on = comp[i] != comp[j]
+    on[keep] = False
+    return _pairs(cls, i[on], j[on])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, part = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        edges = [0, *(np.flatnonzero((node[1:] != node[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(node)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            key = (node[a], part[a])
-            if key != current:
-                if held:
-                    yield from compare()
-                held, current = [], key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from compare()
+
+def _similar(x: int, y: np.ndarray, both: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    return denominator * both >= numerator * (x + y - both)
+
+
+def _dense_links(numerator: int, denominator: int):
+    """One tile of a dense node on full sets: pairs that join its members into their components.
+
+    Members already joined are not compared again, so a group of near copies
+    costs about one comparison each.
+    """
+
+    def solve(t: pa.RecordBatch) -> pa.RecordBatch | None:
+        same = t.column(1)[0].as_py() == t.column(2)[0].as_py()
+        side, cls, low = np.asarray(t.column(3)), np.asarray(t.column(4)), _low(t.column(5))
+        sets = [_open_set(x) for x in t.column(6)]
+        size = np.array([len(x) for x in sets])
+        item, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1  # items of one set only don't matter
+        row = np.repeat(np.arange(len(sets)), size)
+        on = count[number] > 1
+        width = (int((count > 1).sum()) + 63) // 64
+        bits = None
+        if len(sets) * width * 8 <= 128 << 20:
+            place = shared[number[on]]
+            bits = np.zeros((len(sets), max(1, width)), U64)
+            np.bitwise_or.at(bits, (row[on], place >> 6), U64(1) << (place & 63).astype(U64))
+        label, out_i, out_j = np.arange(len(cls)), [], []
+        for i in range(len(cls)):
+            if not same and side[i] == 1:
+                continue
+            c = label != label[i]
+            c[: i + 1] &= not same
+            if not same:
+                c &= side == 1
+            c &= (denominator * np.minimum(size, size[i]) >= numerator * np.maximum(size, size[i])) & ((low == low[i]).mean(1) >= LEAST_AGREE)
+            j = np.flatnonzero(c)
+            if not len(j):
+                continue
+            if bits is not None:
+                both = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+            else:
+                both = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j])
+            for k in j[_similar(size[i], size[j], both, numerator, denominator)]:
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out_i.append(i)
+                    out_j.append(k)
+        return _pairs(cls, np.array(out_i, np.int64), np.array(out_j, np.int64))
+
+    return solve
 
 
 def _verify_batches(numerator: int, denominator: int):
@@ -214,12 +326,9 @@ def _verify_batches(numerator: int, denominator: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
+                x, y = _open_set(x), _open_set(y)
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
+                keep.append(bool(_similar(len(x), len(y), both, numerator, denominator)))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -232,7 +341,7 @@ def _set_batches(k: int):
             data, offsets, _ = text_buffers(batch.column(1))
             for i, j in pieces(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x)[0] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x)[0] for x in sets], pa.int64()), pa.array([_pack_set(x) for x in sets], pa.binary())], ["cls", "set"])
 
     return run
 
@@ -250,57 +359,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     empty result.
 
     Equal sets are one class from the start (hot groups of copies are grouped
-    by partial aggregation). Node rows are (key, class) pairs; token vectors are
-    joined only to nodes of two members or more, full sets only to candidates.
-    The similarity must be 0.8 or more for the token filter to hold.
+    by partial aggregation). Node rows are (key, class) pairs; tokens join only
+    nodes of two members or more, full sets only classes with a likely
+    partner. Of a small node, a spanning forest of likely pairs is confirmed
+    first, then what is likely across the components that are left. Dense
+    nodes are compared on full sets, in tiles of two chunks, and give a
+    spanning forest of links. The similarity must be 0.8 or more for the token
+    filter to hold.
     """
     if numerator < 0.8 * denominator:
         raise ValueError("the token filter is set for similarities of 0.8 and more")
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = stored(source.mapInArrow(_feature_batches(k), "doc_id long, n_shingles long, cls long, check long, sig binary"), "shingles")
+    feats = stored(source.mapInArrow(_feature_batches(k), "doc_id long, n_shingles long, cls long, check long, sig binary, low binary"), "shingles")
     classes = stored(
         feats.where("n_shingles > 0")
         .groupBy("cls", "check", "n_shingles")
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("sig", F.coalesce("doc_id", F.lit(2**62))).alias("sig")),
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**62)).alias("o"), "sig", "low")).alias("s"))
+        .select("cls", "least", "s.sig", "s.low"),
         "classes",
     )
-    reps = classes.select("cls", "sig")
-    nodes = stored(leaves(reps), "leaves")
-
-    # the texts of all classes that share a node with another
-    wanted = nodes.select("cls").distinct().join(classes.select("cls", "least"), "cls")
-    texts = source.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_batches(k), "cls long, set binary")
+    small, dense = leaves(classes.select("cls", "sig", "low"))
+    low = classes.select("cls", "low")
+    placed = stored(small.join(low, "cls").select("node", "cls", "low").repartition("node").sortWithinPartitions("node", "cls"), "placed")
+    small_batches(spark, 4096)
+    forest = stored(placed.mapInArrow(_grouped(1, _likely_forest), "a long, b long").distinct(), "pairs")
+
+    # the full sets of all classes with a likely partner
+    wanted = forest.select(F.col("a").alias("cls")).union(forest.select("b")).union(dense.select("cls")).distinct()
+    wanted = cut(wanted.join(classes.select("cls", "least"), "cls"))
+    small_batches(spark)
+    texts = source.join(wanted.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_set_batches(k), "cls long, set binary")
     sets = stored(texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         small_batches(spark, 64)
         a, b = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(_verify_batches(numerator, denominator), "a long, b long")
-
-    # first every class against the least pivot among its nodes
-    first = nodes.where("pivot <> cls").groupBy("cls").agg(F.min("pivot").alias("pivot"))
-    s1, s2 = reps.select("cls", F.col("sig").alias("sig_1")), reps.select(F.col("cls").alias("pivot"), F.col("sig").alias("sig_2"))
-    likely = first.join(s1, "cls").join(s2, "pivot").select("pivot", "cls", "sig_1", "sig_2").mapInArrow(_agree_batches(["a", "b"]), "a long, b long, agree double")
-    links = stored(confirmed(likely.where(F.col("agree") >= LEAST_AGREE).select("a", "b")), "links")
-    small_batches(spark)
+        out = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify_batches(numerator, denominator), "a long, b long"), "links")
+        small_batches(spark, 4096)
+        return out
+
+    links = confirmed(forest)
+    if not dense.isEmpty():
+        chunks = dense.groupBy("node").agg(F.ceil(F.count("*") / DENSE_CHUNK).cast("int").alias("n"))
+        tiles = dense.join(chunks, "node").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int"))
+        other = F.sequence(F.lit(0), F.col("n") - 1)
+        tiles = tiles.withColumn("j", F.explode(other)).select(
+            "node", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), (F.col("own") > F.col("j")).cast("int").alias("side"), "cls"
+        )
+        rows = tiles.join(low, "cls").join(sets, "cls").select("node", "i", "j", "side", "cls", "low", "set")
+        small_batches(spark)
+        found = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(_grouped(3, _dense_links(numerator, denominator)), "a long, b long")
+        links = stored(links.unionByName(found), "links")
+        small_batches(spark, 4096)
     comps = cut(connected_components(links))
 
-    # then, in each node that still holds several components, across them
-    placed = nodes.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    heads = placed.where("cls = pivot").select("node", F.col("comp").alias("pivot_comp"))
-    mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    apart = stored(placed.join(mixed, "node", "left_semi").join(heads, "node"), "apart")
-    parts = F.when(F.col("size") <= NODE_LIMIT, 1).otherwise(F.ceil(F.col("size") / SPLIT_ROWS)).cast("int")
-    members = apart.select("node", F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"), F.lit(False).alias("query"), "cls", "comp")
-    outliers = apart.where((F.col("size") <= NODE_LIMIT) | (F.col("comp") != F.col("pivot_comp")))
-    queries = outliers.select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("query"), "cls", "comp")
-    rows = members.unionByName(queries).join(reps, "cls").select("node", "part", "query", "cls", "comp", "sig")
-    pairs = rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(_compare_batches, "a long, b long").distinct()
-    more = stored(confirmed(cut(pairs)), "links")
-    small_batches(spark)
+    # what is likely across the components that a small node still holds; members keep their order, so the forest is the same
+    member = placed.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("node", "cls", "low", F.coalesce("component", "cls").alias("comp"))
+    across = member.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(_grouped(1, _likely_across), "a long, b long")
+    more = confirmed(cut(across.distinct()))
     if not more.isEmpty():
         comps = cut(connected_components(links.unionByName(more)))
 
