@@ -33,7 +33,7 @@ from .util import small_batches, stored
 WIDTH, GRAM = 50, 16
 
 #: Text bytes of a pack, and about how many text bytes answer to one bucket of anchors.
-PACK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
+PACK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 
 #: Fragments whose suffix order is built together (more if they share an anchor).
 COLLECTION = 16_384
@@ -120,8 +120,8 @@ def least_owners(data: np.ndarray, lens: np.ndarray, owner: np.ndarray, width: i
 # ---------------------------------------------------------------- fragments
 
 
-def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digest of the anchor, row, start, windows) of every fragment.
+def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest of the anchor, row, start, windows, offset of the anchor from the start) of every fragment.
 
     A window's anchor is its GRAM-byte string of least hash (the leftmost of
     equal ones); a fragment is a run of windows of one text with one anchor,
@@ -130,7 +130,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     none = np.zeros(0, np.int64)
     n, span = len(data), width - GRAM + 1
     if n < width:
-        return none.view(U64), none, none, none
+        return none.view(U64), none, none, none, none
     eight = np.ndarray((n - 7,), "<u8", data.tobytes(), 0, (1,))  # the eight bytes from each place on
     with np.errstate(over="ignore"):
         gram = eight[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15)
@@ -160,7 +160,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     begin |= row_start[s]
     f = np.flatnonzero(begin)
     start = s[f]
-    return mix64(gram[p[f]]), np.searchsorted(offsets, start, side="right") - 1, start, np.diff(np.append(f, len(s)))
+    return mix64(gram[p[f]]), np.searchsorted(offsets, start, side="right") - 1, start, np.diff(np.append(f, len(s))), p[f] - start
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -180,7 +180,7 @@ class Pack:
         self.data, self.offsets, _ = text_buffers(batch.column(batch.schema.get_field_index(text_col)))
         ids = batch.column(batch.schema.get_field_index(id_col))
         self.ids = np.array([NO_ID if x is None else x for x in ids.to_pylist()], np.int64)
-        self.anchor, self.row, self.start, self.windows = fragments(self.data, self.offsets, width)
+        self.anchor, self.row, self.start, self.windows, self.inset = fragments(self.data, self.offsets, width)
 
     def anchors(self, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(bucket, sorted distinct anchors, which of them occur under two ids here)."""
@@ -194,7 +194,7 @@ class Pack:
         return [(k, u[order[a:b]], (lo != hi)[order[a:b]]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
 
     def repeated(self, buckets: int, bits: dict[int, np.ndarray]) -> dict[int, tuple]:
-        """bucket -> (fragments here, for each its number among the distinct ones, those: anchor, start, windows, least id)."""
+        """bucket -> (fragments here, for each its number among the distinct ones, those: anchor, start, windows, least id, inset of the anchor)."""
         out = {}
         parts = self.anchors(buckets)
         keep = np.concatenate([u[bits[k].astype(bool)[: len(u)]] for k, u, _ in parts if k in bits] or [np.zeros(0, U64)])
@@ -203,8 +203,7 @@ class Pack:
         hit = np.flatnonzero((at < len(keep)) & (keep[np.minimum(at, max(len(keep) - 1, 0))] == self.anchor)) if len(keep) else np.zeros(0, np.int64)
         if not len(hit):
             return out
-        with np.errstate(over="ignore"):
-            text = span_hashes(self.data, self.start[hit], self.start[hit] + self.windows[hit] + self.width - 1)
+        text = _span_texts(self.data, self.start[hit], self.windows[hit] + self.width - 1)
         where = (self.anchor[hit] % U64(buckets)).astype(np.int64)
         order = np.lexsort((text, self.anchor[hit], where))
         hit, text, where = hit[order], text[order], where[order]
@@ -213,73 +212,127 @@ class Pack:
         first = np.flatnonzero(new)
         number = np.cumsum(new) - 1
         least = np.minimum.reduceat(self.ids[self.row[hit]], first)
-        for k in np.unique(where):
-            mine, those = np.flatnonzero(where == k), np.flatnonzero(where[first] == k)
+        keys = np.unique(where)
+        of_hit = np.append(np.searchsorted(where, keys), len(where))
+        of_first = np.append(np.searchsorted(where[first], keys), len(first))
+        for n, k in enumerate(keys):
+            mine, those = slice(of_hit[n], of_hit[n + 1]), slice(of_first[n], of_first[n + 1])
             f = hit[first[those]]
-            out[int(k)] = (hit[mine], number[mine] - those[0], self.anchor[f], self.start[f], self.windows[f], least[those])
+            out[int(k)] = (hit[mine], number[mine] - of_first[n], self.anchor[f], self.start[f], self.windows[f], least[those], self.inset[f])
         return out
 
     def blob(self, part: tuple) -> bytes:
         """The distinct fragments of a bucket, to be sent."""
-        _, _, anchor, start, windows, least = part
+        _, _, anchor, start, windows, least, inset = part
         length = windows + self.width - 1
-        take = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        return _squeeze(np.array([len(anchor)], np.int64), anchor, least, length.astype(np.uint8), self.data[take])
+        take = _ranges(start, length)
+        return _squeeze(np.array([len(anchor)], np.int64), anchor, least, length.astype(np.uint8), inset.astype(np.uint8), self.data[take])
 
 
-def _read_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     v = _expand(blob)
     n = int(np.frombuffer(v[:8], np.int64)[0])
-    return np.frombuffer(v[8 : 8 + 8 * n], U64), np.frombuffer(v[8 + 8 * n : 8 + 16 * n], np.int64), np.frombuffer(v[8 + 16 * n : 8 + 17 * n], np.uint8).astype(np.int64), np.frombuffer(v[8 + 17 * n :], np.uint8)
+    at = 8 + 16 * n
+    lengths, insets = (np.frombuffer(v[at + i * n : at + (i + 1) * n], np.uint8).astype(np.int64) for i in range(2))
+    return np.frombuffer(v[8 : 8 + 8 * n], U64), np.frombuffer(v[8 + 8 * n : at], np.int64), lengths, insets, np.frombuffer(v[at + 2 * n :], np.uint8)
+
+
+def _span_texts(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of many short spans, a bounded number at a time."""
+    out = np.zeros(len(start), U64)
+    for i in range(0, len(start), COLLECTION):
+        n = length[i : i + COLLECTION]
+        at = np.cumsum(n) - n
+        out[i : i + COLLECTION] = span_hashes(data[_ranges(start[i : i + COLLECTION], n)], at, at + n)
+    return out
+
+
+def _distinct(key: np.ndarray, text: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each item among the distinct (key, text), an item of each, its least owner), in order of key."""
+    order = np.lexsort((text, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+    first = np.flatnonzero(new)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[first], np.minimum.reduceat(owner[order], first) if len(first) else owner[:0]
+
+
+def _group_sizes(key: np.ndarray) -> np.ndarray:
+    """For each of some sorted keys, how often it occurs."""
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    per = np.diff(np.append(head, len(key)))
+    return np.repeat(per, per)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _solve(data: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least owner of every window, first place of each string's windows in it) among strings of one key.
+
+    Equal strings are one; a key with one string needs no comparison; the
+    others go through the suffix order, in collections of whole keys.
+    """
+    number, rep, best = _distinct(key, _span_texts(data, start, length), owner)
+    r_start, r_len, r_key = start[rep], length[rep], key[rep]
+    windows = r_len - width + 1
+    first = np.cumsum(windows) - windows
+    result = np.repeat(best, windows)
+    todo = np.flatnonzero(_group_sizes(r_key) > 1)
+    at = 0
+    while at < len(todo):
+        to = min(at + COLLECTION, len(todo))
+        while to < len(todo) and r_key[todo[to]] == r_key[todo[to - 1]]:
+            to += 1
+        part = todo[at:to]
+        result[_ranges(first[part], windows[part])] = least_owners(data[_ranges(r_start[part], r_len[part])], r_len[part], best[part], width)
+        at = to
+    return result, first[number]
 
 
 def owners_of_bucket(blobs: list[bytes], width: int) -> list[bytes]:
     """For each pack's blob: the least owner of every window of its fragments, run by run.
 
-    Equal fragments of several packs are one string owned by the least id;
-    anchors that then have a single string need no comparison, all others go
-    through the suffix order in collections of whole anchors.
+    Equal fragments of several packs are one string owned by the least id. An
+    anchor with several strings is divided further: windows that reach far to
+    its right by the bytes that follow it, the others by the bytes before it,
+    so that strings that share no more than a common phrase part at once.
     """
     read = [_read_blob(b) for b in blobs]
     count = np.array([len(r[0]) for r in read])
-    anchor, least, length = (np.concatenate([r[i] for r in read]) for i in range(3))
-    data = np.concatenate([r[3] for r in read])
+    anchor, least, length, inset = (np.concatenate([r[i] for r in read]) for i in range(4))
+    data = np.concatenate([r[4] for r in read])
+    del read
     start = np.cumsum(length) - length
-    text = span_hashes(data, start, start + length)
-    order = np.lexsort((text, anchor))
-    new = np.ones(len(order), bool)
-    new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-    first = np.flatnonzero(new)
-    string = np.empty(len(order), np.int64)  # of each fragment
-    string[order] = np.cumsum(new) - 1
-    owner = np.minimum.reduceat(least[order], first)
-    rep = order[first]
-    s_anchor, s_start, s_len = anchor[rep], start[rep], length[rep]
+    string, rep, owner = _distinct(anchor, _span_texts(data, start, length), least)
+    s_anchor, s_start, s_len, s_inset = anchor[rep], start[rep], length[rep], inset[rep]
     windows = s_len - width + 1
     w_first = np.cumsum(windows) - windows
     result = np.repeat(owner, windows)
-    head = np.flatnonzero(np.append(True, s_anchor[1:] != s_anchor[:-1]))
-    per = np.diff(np.append(head, len(rep)))
-    many = np.repeat(per > 1, per)
-    todo = np.flatnonzero(many)
-    at = 0
-    while at < len(todo):
-        to = min(at + COLLECTION, len(todo))
-        while to < len(todo) and s_anchor[todo[to]] == s_anchor[todo[to - 1]]:
-            to += 1
-        part = todo[at:to]
-        lens = s_len[part]
-        take = np.repeat(s_start[part] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-        got = least_owners(data[take], lens, owner[part], width)
-        n = windows[part]
-        result[np.repeat(w_first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = got
-        at = to
+    many = np.flatnonzero(_group_sizes(s_anchor) > 1)
+    if len(many):
+        side = (width - GRAM) // 2  # bytes of context that decide
+        p = s_start[many] + s_inset[many]
+        n_left = np.clip(s_inset[many] - side, 0, windows[many])  # windows in which more than ``side`` bytes come before the anchor
+        n_right = windows[many] - n_left
+        parts = []
+        for n, at, c in ((n_left, np.zeros_like(n_left), p - side), (n_right, n_left, p + GRAM)):
+            use = np.flatnonzero(n > 0)
+            with np.errstate(over="ignore"):
+                key = mix64(s_anchor[many[use]] + _span_texts(data, c[use], np.full(len(use), side)) * U64(2 * len(parts) + 3))
+            parts.append((key, s_start[many[use]] + at[use], n[use] + width - 1, owner[many[use]], w_first[many[use]] + at[use], n[use]))
+        key, at, size, own, place, n = (np.concatenate([x[i] for x in parts]) for i in range(6))
+        got, first = _solve(data, key, at, size, own, width)
+        result[_ranges(place, n)] = got[_ranges(first, n)]
     out = []
     edge = np.concatenate([[0], np.cumsum(count)])
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         s = string[a:b]
         n = windows[s]
-        flat = result[np.repeat(w_first[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        flat = result[_ranges(w_first[s], n)]
         begin = np.ones(len(flat), bool)
         begin[1:] = flat[1:] != flat[:-1]
         begin[np.cumsum(n)[:-1]] = True
@@ -441,10 +494,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         for b in batches:
             for raw, told_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 pack = Pack(_open(raw), id_col, text_col, width)
-                # +1 where a removed window starts, -1 where it ends
-                step = np.zeros(len(pack.data) + 1, np.int32)
+                removed = []  # starts of removed windows
                 own = {x["bucket"]: x["owners"] for x in told_ or []}
-                for k, (hits, number, _, _, windows, _) in pack.repeated(buckets, _unpack(told_)).items():
+                for k, (hits, number, _, _, windows, _, _) in pack.repeated(buckets, _unpack(told_)).items():
                     v = _expand(own[k])
                     n = int(np.frombuffer(v[:8], np.int64)[0])
                     run, who = np.frombuffer(v[8 : 8 + 8 * n], np.int64), np.frombuffer(v[8 + 8 * n :], np.int64)
@@ -453,9 +505,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     m = windows[number]
                     inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
                     gone = flat[np.repeat(w_first[number], m) + inner] < np.repeat(pack.ids[pack.row[hits]], m)
-                    place = (np.repeat(pack.start[hits], m) + inner)[gone]
-                    step += np.bincount(place, minlength=len(step)).astype(np.int32)
-                    step -= np.bincount(place + width, minlength=len(step)).astype(np.int32)
+                    removed.append((np.repeat(pack.start[hits], m) + inner)[gone])
+                at = np.concatenate(removed) if removed else np.zeros(0, np.int64)
+                n = len(pack.data) + 1
+                step = np.bincount(at, minlength=n) - np.bincount(at + width, minlength=n)
                 cover = np.cumsum(step[:-1]) > 0
                 yield from _finished(pack, cover, arrow_schema)
 
