@@ -135,3 +135,18 @@ def test_command_line(spark, tmp_path):
     assert tables.read_reactivity(spark, str(tmp_path / "n")).where(F.col("reactivity_stop") != 0).count() == 0
     with pytest.raises(SystemExit):
         run("nothing")
+
+
+def test_layouts(spark):
+    import numpy as np
+
+    from helixframe.viz import layout
+
+    rows = [("c", "+", e, p, 5, 1, 1, 0.9 if (e < 3) == (p < 5) else 0.1, 1) for e in range(6) for p in range(10)]
+    b = spark.createDataFrame(rows, "chr string, strand string, ensemble long, pos int, reads long, stops long, mutations long, confidence double, windows long")
+    names, places, x = layout.matrix(b)
+    assert (names, places) == (list(range(6)), list(range(10)))
+    y = layout.principal_axes(x)
+    assert np.ptp(y[:3, 0]) < 1e-9 and abs(y[0, 0] - y[5, 0]) > 1
+    assert {tuple(sorted(layout.row_order(x)[:3])), tuple(sorted(layout.row_order(x)[3:]))} == {(0, 1, 2), (3, 4, 5)}
+    assert np.allclose(layout.neighbour_map(x), layout.neighbour_map(x)) and "<circle" in layout.embedding_figure(b, method="map")
