@@ -112,7 +112,7 @@ class Codec:
         import regex
 
         self.split = regex.compile(vocabulary.pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.register("m_", pa.table({"pair": vocabulary.pair, "rank": vocabulary.rank}))
         self.db.execute("create table merges as select pair, rank from m_")
         known = [(i, p) for i, p in enumerate(vocabulary.pieces) if p is not None]
@@ -238,9 +238,23 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids alone."""
-    both = decode(encode(docs, vocabulary), vocabulary)
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids alone.
+
+    Both in one pass with one codec, so a task has one Python worker and one
+    set of tables.
+    """
+    small_batches(docs.sparkSession, 1024)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(vocabulary)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, j in _chunks(texts, 2 << 20):
+                ids = codec.encode(texts[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "ids", "data"])
+
+    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, data binary")
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 

@@ -35,6 +35,9 @@ WIDTH, GRAM = 50, 16
 #: Text bytes of a pack, and about how many text bytes answer to one bucket of anchors.
 PACK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 
+#: Bytes of an anchor's digest that are compared within a bucket: two anchors taken for one cost work, never a wrong result.
+ANCHOR_BYTES = 5
+
 #: Fragments whose suffix order is built together (more if they share an anchor).
 COLLECTION = 16_384
 
@@ -120,6 +123,24 @@ def least_owners(data: np.ndarray, lens: np.ndarray, owner: np.ndarray, width: i
 # ---------------------------------------------------------------- fragments
 
 
+def _gram_hash(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of GRAM bytes from their first and last eight as integers."""
+    with np.errstate(over="ignore"):
+        gram = first * U64(0x9E3779B97F4A7C15)
+        gram += last * U64(0xC2B2AE3D27D4EB4F)
+        gram ^= gram >> U64(29)
+        gram *= U64(0xBF58476D1CE4E5B9)
+        gram ^= gram >> U64(32)
+    return gram
+
+
+def anchor_digests(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Digests of the anchors at some places, as ``fragments`` gives them."""
+    half = np.arange(8)
+    first, last = (np.ascontiguousarray(data[place[:, None] + (half + d)]).view("<u8")[:, 0] for d in (0, GRAM - 8))
+    return mix64(_gram_hash(first, last))
+
+
 def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest of the anchor, row, start, windows, offset of the anchor from the start) of every fragment.
 
@@ -132,12 +153,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     if n < width:
         return none.view(U64), none, none, none, none
     eight = np.ndarray((n - 7,), "<u8", data.tobytes(), 0, (1,))  # the eight bytes from each place on
-    with np.errstate(over="ignore"):
-        gram = eight[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15)
-        gram += eight[GRAM - 8 :] * U64(0xC2B2AE3D27D4EB4F)
-        gram ^= gram >> U64(29)
-        gram *= U64(0xBF58476D1CE4E5B9)
-        gram ^= gram >> U64(32)
+    gram = _gram_hash(eight[: n - GRAM + 1], eight[GRAM - 8 :])
     low = U64((1 << 28) - 1)
     key = (gram & ~low) | (np.arange(len(gram), dtype=U64) & low)
     best, size = key, 1
@@ -165,7 +181,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
     body = b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _expand(blob: bytes) -> memoryview:
@@ -194,7 +210,7 @@ class Pack:
         return [(k, u[order[a:b]], (lo != hi)[order[a:b]]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
 
     def repeated(self, buckets: int, bits: dict[int, np.ndarray]) -> dict[int, tuple]:
-        """bucket -> (fragments here, for each its number among the distinct ones, those: anchor, start, windows, least id, inset of the anchor)."""
+        """bucket -> (fragments here, for each its number among the distinct ones, those: start, windows, least id, inset of the anchor)."""
         out = {}
         parts = self.anchors(buckets)
         keep = np.concatenate([u[bits[k].astype(bool)[: len(u)]] for k, u, _ in parts if k in bits] or [np.zeros(0, U64)])
@@ -218,23 +234,25 @@ class Pack:
         for n, k in enumerate(keys):
             mine, those = slice(of_hit[n], of_hit[n + 1]), slice(of_first[n], of_first[n + 1])
             f = hit[first[those]]
-            out[int(k)] = (hit[mine], number[mine] - of_first[n], self.anchor[f], self.start[f], self.windows[f], least[those], self.inset[f])
+            out[int(k)] = (hit[mine], number[mine] - of_first[n], self.start[f], self.windows[f], least[those], self.inset[f])
         return out
 
     def blob(self, part: tuple) -> bytes:
         """The distinct fragments of a bucket, to be sent."""
-        _, _, anchor, start, windows, least, inset = part
+        _, _, start, windows, least, inset = part
         length = windows + self.width - 1
         take = _ranges(start, length)
-        return _squeeze(np.array([len(anchor)], np.int64), anchor, least, length.astype(np.uint8), inset.astype(np.uint8), self.data[take])
+        return _squeeze(np.array([len(start)], np.int64), least, length.astype(np.uint8), inset.astype(np.uint8), self.data[take])
 
 
 def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     v = _expand(blob)
     n = int(np.frombuffer(v[:8], np.int64)[0])
-    at = 8 + 16 * n
+    at = 8 + 8 * n
     lengths, insets = (np.frombuffer(v[at + i * n : at + (i + 1) * n], np.uint8).astype(np.int64) for i in range(2))
-    return np.frombuffer(v[8 : 8 + 8 * n], U64), np.frombuffer(v[8 + 8 * n : at], np.int64), lengths, insets, np.frombuffer(v[at + 2 * n :], np.uint8)
+    data = np.frombuffer(v[at + 2 * n :], np.uint8)
+    anchors = anchor_digests(data, np.cumsum(lengths) - lengths + insets)
+    return anchors, np.frombuffer(v[8:at], np.int64), lengths, insets, data
 
 
 def _span_texts(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -352,7 +370,7 @@ def _pack_batches(text_col: str):
         def flush() -> pa.RecordBatch:
             batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as w:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
                 w.write_batch(batch)
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "bytes", "rows"])
 
@@ -400,13 +418,21 @@ def _by_bucket(solve, schema: list[str]):
     return run
 
 
+def _anchor_blob(u: np.ndarray, multi: np.ndarray) -> bytes:
+    """Leading ANCHOR_BYTES of each digest, and the flags as bits."""
+    lead = np.ascontiguousarray(u >> U64(64 - 8 * ANCHOR_BYTES)).view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
+    return np.array([len(u)], np.int64).tobytes() + lead.tobytes() + np.packbits(multi).tobytes()
+
+
 def _repeated_anchors(blobs: list[bytes]) -> list[bytes]:
     """For each pack's anchors: 1 where two documents of the corpus have it."""
     read = []
     for b in blobs:
         v = np.frombuffer(b, np.uint8)
-        n = len(v) // 9
-        read.append((v[: 8 * n].view(U64), v[8 * n :].astype(bool)))
+        n = int(v[:8].view(np.int64)[0])
+        short = np.zeros((n, 8), np.uint8)
+        short[:, :ANCHOR_BYTES] = v[8 : 8 + ANCHOR_BYTES * n].reshape(n, ANCHOR_BYTES)
+        read.append((short.view(U64)[:, 0], np.unpackbits(v[8 + ANCHOR_BYTES * n :], count=n).astype(bool)))
     every, multi = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
     order = np.argsort(every, kind="stable")
     s = every[order]
@@ -440,7 +466,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     than any; rows that share an id do not remove each other's text. An empty
     table gives an empty result.
 
-    Nothing but anchors (8 bytes for about every 18 of text, once per pack)
+    Nothing but anchors (5 bytes for about every 18 of text, once per pack)
     and fragments of anchors that occur in two documents (once per pack) is
     shuffled by content, so that a hot passage sends one copy per pack; texts
     are shuffled twice, as compressed packs. Packs, answers and collections are
@@ -460,7 +486,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 parts = Pack(_open(raw), id_col, text_col, width).anchors(buckets)
                 if parts:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([u.tobytes() + m.tobytes() for _, u, m in parts], pa.binary())], ["bucket", "pack", "blob"]
+                        [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([_anchor_blob(u, m) for _, u, m in parts], pa.binary())], ["bucket", "pack", "blob"]
                     )
 
     def dealt(rows: DataFrame) -> DataFrame:
@@ -496,7 +522,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 pack = Pack(_open(raw), id_col, text_col, width)
                 removed = []  # starts of removed windows
                 own = {x["bucket"]: x["owners"] for x in told_ or []}
-                for k, (hits, number, _, _, windows, _, _) in pack.repeated(buckets, _unpack(told_)).items():
+                for k, (hits, number, _, windows, _, _) in pack.repeated(buckets, _unpack(told_)).items():
                     v = _expand(own[k])
                     n = int(np.frombuffer(v[:8], np.int64)[0])
                     run, who = np.frombuffer(v[8 : 8 + 8 * n], np.int64), np.frombuffer(v[8 + 8 * n :], np.int64)
