@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import scratch_path, small_batches
+from .util import scratch_path, small_batches, stored
 
 CRLF = b"\r\n"
 #: Fixed values of the WARC format.
@@ -313,11 +313,12 @@ def payloads(records: DataFrame) -> DataFrame:
 def resolve(decoded: DataFrame) -> DataFrame:
     """Per record: size and digest of the full payload, revisits looked up at the record they refer to.
 
-    A revisit whose record is missing has null size and page. Only digests and
-    sizes are joined, never payloads.
+    A revisit whose record is missing has null size and page. Archives are read once:
+    digests and sizes are stored, and only they are joined.
     """
     d = decoded.select("record_id", "warc_type", "page_id", "refers_to", "whole", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"), "payload_digest")
     d = d.withColumn("whole", F.col("whole") & ((F.col("warc_type") != "response") | F.col("payload_digest").isNull() | (F.col("payload_digest") == F.col("digest"))))
+    d = stored(d, "records")
     own = d.where("warc_type = 'response'")
     base = own.groupBy(F.col("record_id").alias("base_id")).agg(F.max("page_id").alias("base_page"), F.max("n").alias("base_n"), F.max("digest").alias("base_digest"), F.min("whole").alias("base_whole"))
     back = d.where("warc_type = 'revisit'").join(base, F.col("refers_to") == F.col("base_id"), "left")
