@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bytefeat import U64, mix64, span_hashes, text_buffers
-from .util import small_batches, stored
+from .util import release, small_batches, stored
 
 #: Bytes of a repeated string; bytes of an anchor. An anchor lies in each window of WIDTH bytes.
 WIDTH, GRAM = 50, 16
@@ -495,6 +495,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     small_batches(spark, 2)
     digests = packs.select("pack", "rows").mapInArrow(anchors, "bucket int, pack long, blob binary")
     bits = stored(dealt(digests).mapInArrow(_by_bucket(_repeated_anchors, ["pack", "bucket", "bits"]), "pack long, bucket int, bits binary"), "anchors")
+    del digests
+    release(spark)
     told = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,6 +511,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     sent = packs.select("pack", "rows").join(told, "pack").select("pack", "rows", "bits").mapInArrow(send, "bucket int, pack long, blob binary")
     owners = stored(dealt(sent).mapInArrow(_by_bucket(lambda blobs: owners_of_bucket(blobs, width), ["pack", "bucket", "owners"]), "pack long, bucket int, owners binary"), "owners")
+    del sent, told
+    release(spark)
     answers = bits.join(owners, ["pack", "bucket"]).groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "owners")).alias("answers"))
 
     out_schema = StructType(source.schema.fields[:])

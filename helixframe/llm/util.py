@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,6 +67,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are stored and whose plans are out of scope."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound Arrow batches by rows: texts can be long and Python workers are small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
