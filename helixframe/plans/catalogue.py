@@ -731,8 +731,7 @@ def revcomp(spark, d):
 
 
 def _sites(spark, d):
-    r = _siegfried(spark, d).where("pos <= 500")
-    return duet.clean_reactivity(r)
+    return duet.clean_reactivity(_siegfried(spark, d))
 
 
 def _events(spark, d):
