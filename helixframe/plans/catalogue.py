@@ -705,7 +705,7 @@ def interval_merge(spark, d):
 
 
 def _transcripts(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 300")
+    p = spark.read.parquet(f"{d}/part.parquet")
     return p.select(
         F.concat(F.lit("c"), F.col("p_partkey") % 3).alias("seqname"), F.lit("x").alias("source"), (F.col("p_partkey") % 60 * 4 + 1).cast("long").alias("start"), (F.col("p_partkey") % 60 * 4 + F.col("p_size")).cast("long").alias("end"),
         F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("t"), F.col("p_partkey") % 20).alias("transcript_id"), F.concat(F.lit("g"), F.col("p_partkey") % 20).alias("gene_id"),

@@ -25,3 +25,8 @@ def whole(spark, name: str, *cuts: tuple[str, str]) -> None:
 @pytest.mark.parametrize("name", ["duet_windows", "duet_window_means", "duet_contiguity", "duet_feature_counts"])
 def test_duet_all_positions(spark, name):
     whole(spark, name, (" and pos <= 500", ""))
+
+
+def test_splice_all_exons(spark):
+    whole(spark, "transcripts_splice", (" where p_partkey <= 300", ""))
+    assert sum(r["n_exons"] for r in catalogue.queries()["transcripts_splice"](spark, SF).collect()) == spark.read.parquet(f"{SF}/part.parquet").count()
