@@ -30,3 +30,15 @@ def test_duet_all_positions(spark, name):
 def test_splice_all_exons(spark):
     whole(spark, "transcripts_splice", (" where p_partkey <= 300", ""))
     assert sum(r["n_exons"] for r in catalogue.queries()["transcripts_splice"](spark, SF).collect()) == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_ttest_all_sites(spark):
+    whole(spark, "compare_replicates_ttest", (" where n1 >= 2 and n2 >= 2", ""))
+
+
+def test_wilcoxon_all_sites(spark):
+    whole(
+        spark, "compare_wilcoxon",
+        ("select g.*, least(wp, wm) as st from g join w", "select w.chr, w.strand, w.pos, case when odd = 0 then n end as n, case when odd = 0 then least(wp, wm) end as st from w left join g"), (" where odd = 0)", ")"),
+        ("round(st, 6)::double as statistic, round(", "coalesce(round(st, 6)::double, 0) as statistic, coalesce(round("), (", 6) as p_value", ", 6), 1) as p_value"),
+    )
