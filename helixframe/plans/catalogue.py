@@ -513,7 +513,7 @@ select chr, strand, cast(count(*) as bigint) as windows, round(max(q), 6) as top
 )
 def scan_q_top(spark, d):
     s = _pairs(spark, d).select(*KEY, (1.0 / (1.0 + 20.0 * F.abs(F.col("m_stop") - F.col("u_stop")))).alias("p_value"))
-    return _round(regions.scan_q(s, 5, 12).groupBy(*GROUP).agg(F.count("*").alias("windows"), F.max("q").alias("top")))
+    return _round(regions.scan_q(s).groupBy(*GROUP).agg(F.count("*").alias("windows"), F.max("q").alias("top")))
 
 
 @query()

@@ -42,3 +42,7 @@ def test_wilcoxon_all_sites(spark):
         ("select g.*, least(wp, wm) as st from g join w", "select w.chr, w.strand, w.pos, case when odd = 0 then n end as n, case when odd = 0 then least(wp, wm) end as st from w left join g"), (" where odd = 0)", ")"),
         ("round(st, 6)::double as statistic, round(", "coalesce(round(st, 6)::double, 0) as statistic, coalesce(round("), (", 6) as p_value", ", 6), 1) as p_value"),
     )
+
+
+def test_scan_all_lengths(spark):
+    whole(spark, "scan_q_top", ("range(5, 13)", "range(5, 51)"))
