@@ -523,7 +523,7 @@ def window_wilcoxon(spark, d):
 
 @query()
 def mc_threshold(spark, d):
-    return _round(regions.q_threshold(regions.window_tests(_series(spark, d)), iterations=50))
+    return _round(regions.q_threshold(regions.window_tests(_series(spark, d))))
 
 
 @query()

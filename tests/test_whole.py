@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pytest
 
+from helixframe.operators import regions
 from helixframe.plans import catalogue
 
 from .helpers import same
@@ -46,3 +47,10 @@ def test_wilcoxon_all_sites(spark):
 
 def test_scan_all_lengths(spark):
     whole(spark, "scan_q_top", ("range(5, 13)", "range(5, 51)"))
+
+
+def test_threshold_of_200_shuffles(spark):
+    small = "/root/testdata/sf0.001"
+    want = regions.q_threshold(regions.window_tests(catalogue._series(spark, small)), iterations=200)
+    get = lambda df: sorted((r["chr"], r["strand"], round(r["threshold"], 6)) for r in df.collect())
+    assert get(catalogue.queries()["mc_threshold"](spark, small)) == get(want)
