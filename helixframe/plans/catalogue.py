@@ -625,12 +625,12 @@ m as (select s.chr, s.strand, h.id as shift, sum((s.b = replace(t.base, 'U', 'T'
 
 @query(_SHIFT + " select chr, strand, shift::int as shift, matches, checked from m", "signal_", "structure_")
 def shift_matches(spark, d):
-    return evaluate.match_counts(_shifted(spark, d), view(spark, d, "structure_"), 8, GROUP)
+    return evaluate.match_counts(_shifted(spark, d), view(spark, d, "structure_"), 20, GROUP)
 
 
 @query(_SHIFT + ", r as (select *, row_number() over (partition by chr, strand order by matches desc, shift) as i from m) select chr, strand, shift::int as shift, matches from r where i = 1", "signal_", "structure_")
 def auto_shift_best(spark, d):
-    return evaluate.best_shift(_shifted(spark, d), view(spark, d, "structure_"), 8, GROUP)
+    return evaluate.best_shift(_shifted(spark, d), view(spark, d, "structure_"), 20, GROUP)
 
 
 @query("select s.chr, s.strand, s.pos, t.base as sbase, t.is_single, round(s.stop, 6) as reactivity_stop from signal_ s join structure_ t on t.pos = s.pos where not masked and replace(t.base, 'U', 'T') in ('A', 'C')", "signal_", "structure_")
@@ -643,7 +643,7 @@ def structure_join_by_base(spark, d):
 @query()
 def evaluate_both_signals(spark, d):
     r = _siegfried(spark, d).drop("base").join(view(spark, d, "structure_").select("pos", "base"), "pos")
-    return _round(evaluate.both_signals(r, view(spark, d, "structure_"), 5, GROUP))
+    return _round(evaluate.both_signals(r, view(spark, d, "structure_"), keys=GROUP))
 
 
 @query()

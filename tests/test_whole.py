@@ -54,3 +54,10 @@ def test_threshold_of_200_shuffles(spark):
     want = regions.q_threshold(regions.window_tests(catalogue._series(spark, small)), iterations=200)
     get = lambda df: sorted((r["chr"], r["strand"], round(r["threshold"], 6)) for r in df.collect())
     assert get(catalogue.queries()["mc_threshold"](spark, small)) == get(want)
+
+
+def test_shifts_up_to_20(spark):
+    whole(spark, "shift_matches", ("range(-8, 9)", "range(-20, 21)"))
+    whole(spark, "auto_shift_best", ("range(-8, 9)", "range(-20, 21)"))
+
+
