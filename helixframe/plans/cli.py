@@ -131,14 +131,12 @@ def plot(spark, a) -> None:
     p = tables.read_pileup(spark, a.mod)
     stats = extract.gene_stats(p, min_coverage=a.coverage, min_depth=a.depth)
     figures = [("coverage", svg.coverage_figure(stats))]
-    for r in stats.where("high").orderBy(F.col("avg_depth").desc()).limit(50).collect():
-        one = p.where((F.col("chr") == r["chr"]) & (F.col("strand") == r["strand"]))
-        figures += [(f"{r['chr']}_{r['strand']}_{s}", svg.signal_figure(one, s, f"{r['chr']} {r['strand']}")) for s in ("stop", "mutation")]
+    signals = svg.signal_figures(p.join(stats.where("high").select("chr", "strand"), ["chr", "strand"], "left_semi"))
     if a.reactivity and a.svg_template:
         text = "\n".join(x["value"] for x in spark.read.text(a.svg_template, wholetext=True).collect())
         drawn = svg.color_template(text, tables.read_reactivity(spark, a.reactivity).where(F.col("strand") == a.svg_strand), a.svg_signal, bases=a.svg_bases, filled=a.svg_circle_filled)
         figures.append(("structure", svg.interactive_html(drawn) if a.interactive else drawn))
-    spark.createDataFrame(figures, "name string, value string").write.mode("overwrite").partitionBy("name").text(a.output)
+    spark.createDataFrame(figures, "name string, value string").unionByName(signals).write.mode("overwrite").partitionBy("name").text(a.output)
 
 
 def transcripts(spark, a) -> None:

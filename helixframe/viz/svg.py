@@ -1,12 +1,14 @@
-"""SVG figures. Tables are aggregated in Spark; what is drawn is bounded by the figure (``MAX_MARKS``)."""
+"""SVG figures. Tables are aggregated in Spark; longer series are binned (``MAX_MARKS``), no group is left out."""
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Sequence
 from html import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ def binned(df: DataFrame, x: str, ys: Sequence[str], marks: int = MAX_MARKS) ->
     return [(r["_x"], *[r[y] for y in ys]) for r in rows]
 
 
+def binned_by(df: DataFrame, keys: list[str], x: str, ys: Sequence[str], marks: int = MAX_MARKS) -> DataFrame:
+    """keys, _b, _x, ys: ``binned`` for every group of keys at once."""
+    edge = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / marks, F.lit(1e-12))
+    b = F.least(F.floor((F.col(x) - F.col("_lo")) / width), F.lit(marks - 1))
+    return df.join(edge, keys).groupBy(*keys, b.alias("_b")).agg(F.avg(x).alias("_x"), *[F.avg(F.when(~F.isnan(F.col(y).cast("double")), F.col(y))).alias(y) for y in ys])
+
+
 def _scale(values: Sequence[float], low: float, high: float):
     v = [x for x in values if x is not None]
     a, b = (min(v), max(v)) if v else (0.0, 1.0)
@@ -87,6 +97,20 @@ def signal_figure(pileup: DataFrame, signal: str, title: str) -> str:
     return lines({signal: binned(p, "pos", ["y"])}, title, "position", f"{signal} rate")
 
 
+def signal_figures(pileup: DataFrame) -> DataFrame:
+    """name, value: ``signal_figure`` of stops and of mutations for every strand, drawn on the executors from at most MAX_MARKS bins each."""
+    rate = lambda c: F.when(F.col("depth") > 0, F.col(c) / F.col("depth")).otherwise(0.0)
+    p = pileup.select("chr", "strand", "pos", rate("stop_count").alias("stop"), rate("mut_count").alias("mutation"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_b")
+        at, strand = g["chr"].iloc[0], g["strand"].iloc[0]
+        points = lambda s: [(x, None if math.isnan(y) else y) for x, y in zip(g["_x"], g[s].astype(float), strict=True)]
+        return pd.DataFrame([(f"{at}_{strand}_{s}", lines({s: points(s)}, f"{at} {strand}", "position", f"{s} rate")) for s in ("stop", "mutation")], columns=["name", "value"])
+
+    return binned_by(p, ["chr", "strand"], "pos", ["stop", "mutation"]).groupBy("chr", "strand").applyInPandas(run, "name string, value string")
+
+
 def reactivity_figure(reactivity: DataFrame, signal: str, title: str) -> str:
     """Bars coloured by the default ranges."""
     pts = binned(reactivity.select("pos", F.col(f"reactivity_{signal}").alias("y")), "pos", ["y"])
@@ -95,18 +119,21 @@ def reactivity_figure(reactivity: DataFrame, signal: str, title: str) -> str:
 
 
 def coverage_figure(stats: DataFrame, title: str = "genes") -> str:
-    """Coverage against log10(depth + 1) of ``extract.gene_stats``; at most MAX_MARKS genes, the deepest."""
-    rows = stats.select("coverage", F.log10(F.col("avg_depth") + 1).alias("d"), "high").orderBy(F.col("d").desc()).limit(MAX_MARKS).collect()
+    """Coverage against log10(depth + 1) of ``extract.gene_stats``; of more than MAX_MARKS genes, one mark for each cell of 1/200 by 1/20 that holds any."""
+    genes = stats.select("coverage", F.log10(F.col("avg_depth") + 1).alias("d"), "high")
+    if genes.count() > MAX_MARKS:
+        genes = genes.groupBy("high", F.floor(F.col("coverage") * 200), F.floor(F.col("d") * 20)).agg(F.avg("coverage").alias("coverage"), F.avg("d").alias("d"))
+    rows = genes.orderBy(F.col("d").desc(), "coverage", "high").collect()
     return scatter([(r["coverage"], r["d"], "#d7301f" if r["high"] else "#888888") for r in rows], title, "coverage", "log10(depth + 1)")
 
 
 def roc_figure(curve: DataFrame, keys: list[str], title: str = "ROC") -> str:
     """One line per group of ``evaluate.curve``."""
-    name = F.concat_ws(" ", *keys) if keys else F.lit("all")
-    series = {}
-    for r in curve.select(name.alias("n")).distinct().orderBy("n").limit(20).collect():
-        pts = binned(curve.where(name == r["n"]), "fpr", ["tpr"], 400)
-        series[r["n"]] = [(0.0, 0.0), *pts, (1.0, 1.0)]
+    named = curve.withColumn("n", F.concat_ws(" ", *keys) if keys else F.lit("all"))
+    series: dict[str, list] = {}
+    for r in binned_by(named, ["n"], "fpr", ["tpr"], 400).orderBy("n", "_b").collect():
+        series.setdefault(r["n"], [(0.0, 0.0)]).append((r["_x"], r["tpr"]))
+    series = {n: [*pts, (1.0, 1.0)] for n, pts in series.items()}
     return lines(series, title, "false positive rate", "true positive rate", diagonal=True)
 
 
@@ -115,8 +142,13 @@ def pr_figure(curve: DataFrame, title: str = "precision and recall") -> str:
 
 
 def ensemble_figure(bases: DataFrame, title: str = "ensembles") -> str:
-    """Confidence of ``duet.base_records`` by ensemble and position."""
-    rows = bases.select(F.col("ensemble").cast("string").alias("e"), "pos", "confidence").orderBy("e", "pos").limit(MAX_MARKS).collect()
+    """Confidence of ``duet.base_records`` by ensemble and position; of more than MAX_MARKS cells, means over 100 bins of positions for every ensemble."""
+    cells = bases.select(F.col("ensemble").cast("string").alias("e"), "pos", "confidence")
+    if cells.count() > MAX_MARKS:
+        lo, hi = cells.agg(F.min("pos"), F.max("pos")).first()
+        step = (hi - lo) // 100 + 1
+        cells = cells.groupBy("e", (F.floor((F.col("pos") - lo) / step) * step + lo).alias("pos")).agg(F.avg("confidence").alias("confidence"))
+    rows = cells.orderBy("e", "pos").collect()
     return heatmap(sorted({r["e"] for r in rows}), sorted({r["pos"] for r in rows}), {(r["e"], r["pos"]): r["confidence"] for r in rows}, title)
 
 
