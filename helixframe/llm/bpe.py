@@ -5,6 +5,12 @@ neighbouring tokens to the merge table and contracts every word's leftmost
 pair of least rank, until no word has a pair left. Words are encoded once per
 task and looked up after that. Decoding joins token rows to the vocabulary and
 puts the pieces together by an ordered aggregation.
+
+Very long words go through the same query in windows. A sequence of tokens is
+the encoding of its bytes if every two neighbours are the encoding of theirs:
+merges happen in order of rank and place, so the first merge across a border
+between two tokens would also happen if these two stood alone. Two windows that
+overlap in a token are thus joined at it without changing a token.
 """
 
 from __future__ import annotations
@@ -18,55 +24,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import small_batches
-
-#: Words longer than this many bytes contract all their least pairs in one step.
-LONG_WORD = 200
+from .util import stored
 
-#: Words are handed to the query in batches of about this many; a cache above CACHE_WORDS starts anew.
-BATCH_WORDS, CACHE_WORDS = 40_000, 400_000
+#: Words longer than LONG_WORD bytes go through the query in windows of WINDOW bytes.
+LONG_WORD, WINDOW = 256, 128
 
-#: One step over ``state`` (rows of word, pos, id in order): neighbours are the next and previous rows.
-#: A row out of order would be an error, never a wrong neighbour.
-_STEP = """
-    with pairs as (
-      select s.word, s.pos, s.id, s.before, m.rank from (
-        select word, pos, id,
-          case when lead(word) over () = word then case when lead(pos) over () > pos then lead(id) over () else error('rows out of order') end end as after,
-          case when lag(word) over () = word then case when lag(pos) over () < pos then lag(pos) over () else error('rows out of order') end end as before
-        from {state} where not done) s
-      left join merges m on m.pair = s.id::bigint * 65536 + s.after),
-    best as (select word, min(rank::bigint * 1048576 + pos) as b from pairs group by word)
-    select p.word, p.pos, case when b.b % 1048576 = p.pos then (b.b // 1048576)::int else p.id end as id, b.b is null as done
-    from pairs p join best b on b.word = p.word where b.b is null or p.before is null or p.before <> b.b % 1048576
-"""
+#: Bytes of the words of one query; tokens of one decoding query. A cache above CACHE_WORDS starts anew.
+BATCH_BYTES, BATCH_TOKENS, CACHE_WORDS = 1 << 18, 1 << 18, 400_000
 
-ENCODE_SQL = f"""
+ENCODE_SQL = """
 with recursive step as (
   select word, pos, id, false as done from bytes_
   union all
-  select word, pos, id, done from ({_STEP.format(state="step")}))
+  select word, pos, id, done from (
+    with pairs as (
+      select s.word, s.pos, s.id, s.before, m.rank from (
+        select word, pos, id, lead(id) over w as after, lag(pos) over w as before from step where not done window w as (partition by word order by pos)) s
+      left join merges m on m.pair = s.id::bigint * 65536 + s.after),
+    best as (select word, min(rank::bigint * 4294967296 + pos) as b from pairs group by word)
+    select p.word, p.pos, case when b.b % 4294967296 = p.pos then (b.b // 4294967296)::int else p.id end as id, b.b is null as done
+    from pairs p join best b on b.word = p.word where b.b is null or p.before is null or p.before <> b.b % 4294967296))
 select word, id from step where done order by word, pos
 """
 
-#: For long words, one step at a time on a table: every pair of the word's least rank is contracted,
-#: left to right, those that share a token with one taken excepted. No merge makes a pair of a lower
-#: or equal rank in a vocabulary built by merges, so the result is that of single contractions.
-_LONG_STEP = """
-create or replace table next_ as
-  with pairs as (
-    select s.word, s.pos, s.id, m.rank, s.n from (
-      select word, pos, id, lead(id) over w as after, row_number() over w as n from long_ window w as (partition by word order by pos)) s
-    left join merges m on m.pair = s.id::bigint * 65536 + s.after),
-  hits as (
-    select p.word, p.pos, p.id, p.n, p.rank, coalesce(p.rank = b.least, false) as hit
-    from pairs p join (select word, min(rank) as least from pairs group by word) b on b.word = p.word),
-  runs as (select *, n - row_number() over (partition by word, hit order by n) as run from hits),
-  marked as (select *, hit and (row_number() over (partition by word, hit, run order by n) - 1) % 2 = 0 as taken from runs),
-  gone as (select *, coalesce(lag(taken) over (partition by word order by n), false) as dropped from marked)
-  select word, pos, case when taken then rank else id end as id from gone where not dropped
-"""
-
 DECODE_SQL = "select row, list(piece order by pos) as pieces from tokens_ join vocab using (id) group by row"
 
 
@@ -112,7 +92,7 @@ class Codec:
         import regex
 
         self.split = regex.compile(vocabulary.pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.register("m_", pa.table({"pair": vocabulary.pair, "rank": vocabulary.rank}))
         self.db.execute("create table merges as select pair, rank from m_")
         known = [(i, p) for i, p in enumerate(vocabulary.pieces) if p is not None]
@@ -121,6 +101,7 @@ class Codec:
         self.db.execute("create table vocab as select * from v_")
         self.whole = {p: i for i, p in known}
         self.byte_id = np.array([self.whole[bytes([i])] for i in range(256)], np.int32)
+        self.size = np.array([len(p or b"") for p in vocabulary.pieces], np.int64)
         self.cache: dict[str, bytes] = {}
 
     def _rows(self, words: list[bytes]) -> pa.Table:
@@ -129,12 +110,89 @@ class Codec:
         pos = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
         return pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": pos.astype(np.int32), "id": self.byte_id[data]})
 
-    def _store(self, words: list[str], got: pa.Table) -> None:
-        word, ids = got.column("word").to_numpy(), got.column("id").to_numpy().astype("<u4")
-        edge = np.searchsorted(word, np.arange(len(words) + 1)) * 4
-        raw = ids.tobytes()
-        for w, a, b in zip(words, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            self.cache[w] = raw[a:b]
+    def _query(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word by the recursive query, a bounded number of bytes at a time."""
+        out: list[np.ndarray] = []
+        i = 0
+        while i < len(words):
+            j, size = i, 0
+            while j < len(words) and (j == i or size + len(words[j]) <= BATCH_BYTES):
+                size += len(words[j])
+                j += 1
+            self.db.register("bytes_", self._rows(words[i:j]))
+            got = self.db.sql(ENCODE_SQL).to_arrow_table()
+            ids = got.column("id").to_numpy()
+            edge = np.searchsorted(got.column("word").to_numpy(), np.arange(j - i + 1))
+            out += [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            i = j
+        return out
+
+    def _places(self, ids: np.ndarray, start: int) -> np.ndarray:
+        """Where each token starts, and where the last one ends."""
+        return start + np.concatenate([[0], np.cumsum(self.size[ids])])
+
+    def _windows(self, data: bytes) -> np.ndarray | None:
+        """Ids of a long word: windows, and for each seam a stretch from a token of one window to a token of the next; None if some don't meet."""
+        cut = list(range(0, len(data), WINDOW))
+        known: dict[bytes, np.ndarray] = {}
+
+        def encoded(parts: list[bytes]) -> list[np.ndarray]:
+            new = list(dict.fromkeys(x for x in parts if x not in known))
+            known.update(zip(new, self._query(new), strict=True))
+            return [known[x] for x in parts]
+
+        ids = encoded([data[a : a + WINDOW] for a in cut])
+        at = [self._places(x, a) for x, a in zip(ids, cut, strict=True)]
+        first = [min(int(np.searchsorted(p[:-1], a + WINDOW // 2)), len(x) - 1) for x, p, a in zip(ids, at, cut, strict=True)]  # a token of the later half
+        ends = [int(p[min(int(np.searchsorted(p[1:], a + WINDOW // 2)), len(x) - 1) + 1]) for x, p, a in zip(ids, at, cut, strict=True)]
+        begin = [int(p[f]) for p, f in zip(at[:-1], first[:-1], strict=True)]
+        seams = encoded([data[a:b] for a, b in zip(begin, ends[1:], strict=True)])
+        out, done = [], 0  # tokens of the current window before ``done`` are written
+        for i, seam in enumerate(seams):
+            p = self._places(seam, begin[i])
+            left = np.searchsorted(at[i][:-1], p[:-1])
+            ok = (left < len(ids[i])) & (p[:-1] < cut[i + 1])
+            left = np.minimum(left, len(ids[i]) - 1)
+            ok &= (at[i][left] == p[:-1]) & (ids[i][left] == seam) & (left >= done)
+            right = np.searchsorted(at[i + 1][:-1], p[:-1])
+            ok2 = (right < len(ids[i + 1])) & (p[:-1] >= cut[i + 1])
+            right = np.minimum(right, len(ids[i + 1]) - 1)
+            ok2 &= (at[i + 1][right] == p[:-1]) & (ids[i + 1][right] == seam)
+            if not ok.any() or not ok2.any():
+                return None
+            x, y = int(np.argmax(ok)), int(np.argmax(ok2))
+            out += [ids[i][done : left[x]], seam[x:y]]
+            done = int(right[y])
+        out.append(ids[-1][done:])
+        return np.concatenate(out)
+
+    def _scan(self, data: bytes) -> np.ndarray:
+        """Ids of a long word from left to right: each window starts at a token of the one before and must begin with it again."""
+        known: dict[bytes, np.ndarray] = {}
+        out, size, back = np.zeros(0, np.int32), 2 * WINDOW, 1
+        start = 0  # of the last token of ``out``, or of the word
+        while True:
+            part = data[start : start + size]
+            if part not in known:
+                if len(known) > 4096:
+                    known.clear()
+                known[part] = self._query([part])[0]
+            ids = known[part]
+            if len(out) and ids[0] != out[-1]:  # more of what comes before is needed
+                back, size = 2 * back, 2 * size
+                out = out[: max(0, len(out) - back)]
+                start = int(self._places(out, 0)[-2]) if len(out) else 0
+                continue
+            if start + size >= len(data):
+                return np.concatenate([out[:-1], ids])
+            ends = self._places(ids, 0)[1:]
+            y = int(np.searchsorted(ends, size * 3 // 4, side="right")) - 1
+            if y < 1:
+                size *= 2
+                continue
+            out = np.concatenate([out[:-1], ids[: y + 1]])
+            start += int(ends[y - 1])
+            size, back = 2 * WINDOW, 1
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not in the cache."""
@@ -145,19 +203,11 @@ class Codec:
                 self.cache[w] = i.to_bytes(4, "little")
             else:
                 (short if len(data) <= LONG_WORD else long).append((w, data))
-        for i in range(0, len(short), BATCH_WORDS):
-            part = short[i : i + BATCH_WORDS]
-            self.db.register("bytes_", self._rows([d for _, d in part]))
-            self._store([w for w, _ in part], self.db.sql(ENCODE_SQL).to_arrow_table())
+        for (w, _), ids in zip(short, self._query([d for _, d in short]), strict=True):
+            self.cache[w] = ids.astype("<u4").tobytes()
         for w, data in long:
-            self.db.register("bytes_", self._rows([data]))
-            self.db.execute("create or replace table long_ as select word, pos, id from bytes_")
-            before, now = -1, len(data)
-            while now != before:
-                self.db.execute(_LONG_STEP)
-                self.db.execute("create or replace table long_ as select * from next_")
-                before, now = now, self.db.execute("select count(*) from long_").fetchall()[0][0]
-            self._store([w], self.db.sql("select word, id from long_ order by pos").to_arrow_table())
+            ids = self._windows(data)
+            self.cache[w] = (self._scan(data) if ids is None else ids).astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -171,11 +221,25 @@ class Codec:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence; an id that is not in the vocabulary adds nothing."""
+        parts = [x[i : i + 4 * BATCH_TOKENS] for x in ids for i in range(0, max(len(x), 1), 4 * BATCH_TOKENS)]
+        done: list[bytes] = []
+        i = 0
+        while i < len(parts):
+            j, size = i, 0
+            while j < len(parts) and (j == i or size + len(parts[j]) <= 4 * BATCH_TOKENS):
+                size += len(parts[j])
+                j += 1
+            done += self._pieces(parts[i:j])
+            i = j
+        it = iter(done)
+        return [b"".join(next(it) for _ in range(0, max(len(x), 1), 4 * BATCH_TOKENS)) for x in ids]
+
+    def _pieces(self, ids: list[bytes]) -> list[bytes]:
         out = [b""] * len(ids)
         lens = np.array([len(x) // 4 for x in ids], np.int64)
         if not lens.sum():
             return out
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        flat = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(ids, lens, strict=True)), "<u4").astype(np.int32)
         self.db.register("tokens_", pa.table({"row": np.repeat(np.arange(len(ids), dtype=np.int32), lens), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
         got = self.db.sql(DECODE_SQL).to_arrow_table()
         text = got.column("pieces").combine_chunks()
@@ -203,10 +267,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     """doc_id, ids: every whole text's ids as little-endian unsigned 32-bit integers, without special tokens.
 
     Null and empty texts have no ids; repeated rows are encoded alike; other
-    columns are ignored. No shuffle; a task holds one batch of texts and a
-    cache of at most CACHE_WORDS words and one batch's.
+    columns are ignored; an empty table gives an empty result. No shuffle; a
+    task holds one batch of texts and a cache of at most CACHE_WORDS words and
+    one batch's.
     """
-    small_batches(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
@@ -215,12 +279,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             for i, j in _chunks(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(codec.encode(texts[i:j]), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary"), "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids, data: the bytes that the ids stand for (null ids: none)."""
-    small_batches(encoded.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
@@ -235,16 +298,15 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), pa.array(codec.decode(ids[start:end]), pa.binary())], ["doc_id", "ids", "data"])
                 start = end
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary")
+    return stored(encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary"), "decoded")
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids alone.
 
     Both in one pass with one codec, so a task has one Python worker and one
-    set of tables.
+    set of tables. Nulls, repeats, extra columns and empty tables as in ``encode``.
     """
-    small_batches(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
@@ -255,9 +317,43 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "ids", "data"])
 
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, data binary")
-    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    digests = both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    return stored(digests, "tokens")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return round_trip(docs, Vocabulary.public())
+
+
+#: Unicode white space, and a character that no text holds, put between the white space that stands alone and that before a word.
+_SPACE, _STOP = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", 0x10FFFF
+
+_OP9_SQL = r"""
+with recursive vocab as (select hex(from_base64(b64)) as piece, id from read_csv('{path}', delim=' ', header=false, quote='', escape='', columns={{'b64': 'varchar', 'id': 'int'}})),
+t as (select doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '([{space}]+)([{space}])([^{space}])', '\1' || chr({stop}) || '\2\3', 'g'),
+  '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}\x{{10FFFF}}]+|[{space}]+') as ws from documents),
+u as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from t),
+v as (select row_number() over () as word, w, hex(encode(w)) as h from (select distinct w from u)),
+step as (
+  select word, p as pos, substr(h, 2 * p::int + 1, 2) as piece, false as done from (select word, h, unnest(range(length(h) // 2)) as p from v)
+  union all
+  select word, pos, piece, done from (
+    with pairs as (
+      select s.word, s.pos, s.piece, s.before, s.both, m.id from (
+        select word, pos, piece, piece || lead(piece) over w as both, lag(pos) over w as before from step where not done window w as (partition by word order by pos)) s
+      left join vocab m on m.piece = s.both),
+    best as (select word, min(id::bigint * 4294967296 + pos) as b from pairs group by word)
+    select p.word, p.pos, case when b.b % 4294967296 = p.pos then p.both else p.piece end as piece, b.b is null as done
+    from pairs p join best b on b.word = p.word where b.b is null or p.before is null or p.before <> b.b % 4294967296)),
+e as (select word, count(*) as n, string_agg(printf('%02X%02X0000', id % 256, id // 256), '' order by pos) as ids, string_agg(piece, '' order by pos) as back from step join vocab using (piece) where done group by word),
+x as (select doc_id, sum(n)::bigint as n, string_agg(ids, '' order by i) as ids, string_agg(back, '' order by i) as back from u join v using (w) join e using (word) group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_tokens, sha256(unhex(coalesce(ids, ''))) as ids_sha256, sha256(unhex(coalesce(back, ''))) as decoded_sha256 from documents left join x using (doc_id)
+"""
+
+
+def op9_sql() -> str:
+    """The same recursion over the distinct words of ``documents``; the pattern's look-ahead is written as a mark in the text."""
+    import public_tokenizers
+
+    return _OP9_SQL.format(path=public_tokenizers.path("byte_bpe_50k.tiktoken"), space=_SPACE, stop=_STOP)

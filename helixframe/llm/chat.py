@@ -1,10 +1,12 @@
 """Chat formatting from event logs.
 
-A conversation is a log of events. Logs are partitioned by conversation,
-sorted by sequence number, folded into final messages (streamed deltas, edits,
-regenerations, retractions) and rendered by a template that marks turns and
-escapes its own control strings inside texts, so that the output parses back
-to the same turns.
+A log has a row per event: conv_id, seq, event, message, payload. ``seq`` orders
+the events of a conversation, whose messages may be streamed, edited and
+regenerated while others go on; ``message`` names the message that an event is
+about. Logs are partitioned by conversation, sorted by sequence number, folded
+into final messages (streamed deltas, edits, regenerations, retractions) and
+rendered by a template that marks turns and escapes its own control strings
+inside texts, so that the output parses back to the same turns.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .util import small_batches
+from .util import Scratch
 
 #: The control strings of the template. None holds the escape character.
 BOS, EOS = "<s>", "</s>"
@@ -80,119 +83,112 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 # ---------------------------------------------------------------- events
 
-#: start: a message with its role and place; delta: append; edit: replace the whole text;
-#: regenerate: throw the text away, deltas follow; retract: the message goes.
+#: Fixed values of the log. start: a message begins, the payload is its role; delta: append; edit: replace the whole text;
+#: regenerate: throw the text away, deltas follow; retract: the message goes, until it starts again.
 EVENTS = ("start", "delta", "edit", "regenerate", "retract")
 
+#: Sequence numbers: room for so many messages in a place, and events in a message.
+_PLACE, _EVENTS = 10**19, 10**9
+
+LOG = "conv_id long, seq decimal(38,0), event string, message string, payload string"
+
 
 def conversation_events(rows: DataFrame, chunk: int = 512) -> DataFrame:
-    """An event log that ends in ``rows`` (conv_id, turn, role, text).
+    """A log (``LOG``) that ends in ``rows`` (conv_id, turn, role, text), for want of a recorded one.
 
-    Messages are placed by turn (null last; ties by role, then text). A text
-    arrives in deltas of ``chunk`` characters; every third message is first
-    streamed with a wrong text and regenerated, every fifth is streamed short
-    and then edited. Columns: conv_id, message (place of the message: turn,
-    role, text hash, copy), seq, event, role, payload.
+    Messages start in order of turn (null last; ties by role, then text; a row
+    that repeats another is a message of its own). A text arrives in deltas of
+    ``chunk`` characters. Of fifteen messages, five are first streamed with a
+    wrong text and regenerated, and three are streamed short and edited when
+    the next turn has begun, between the events of that turn's messages.
     """
-    r = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    r = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(2**63 - 1)).alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    r = r.withColumn("n", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    r = r.withColumn("at", F.col("turn").cast("decimal(38,0)") * F.lit(str(_PLACE)).cast("decimal(20,0)") + (F.col("n") * F.lit(_EVENTS)).cast("decimal(20,0)"))
     r = r.withColumn("kind", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(15)))
-    stale = F.struct(F.lit("delta").alias("event"), F.lit("</s>draft ").alias("payload"))
-    again = F.struct(F.lit("regenerate").alias("event"), F.lit("").alias("payload"))
-    # split by code points without re-reading the prefix for every piece
+    event = lambda name, payload, late=0: F.struct(F.lit(name).alias("event"), payload.alias("payload"), F.lit(late).alias("late"))
+    # split by code points
     n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / F.lit(chunk))).cast("int")
-    deltas = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit("delta").alias("event"), F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)).alias("payload"))
-    )
-    edit = F.array(F.struct(F.lit("delta").alias("event"), F.substring("text", 1, 7).alias("payload")), F.struct(F.lit("edit").alias("event"), F.col("text").alias("payload")))
-    log = F.when(F.col("kind") % 5 == 0, edit).when(F.col("kind") % 3 == 0, F.concat(F.array(stale, again), deltas)).otherwise(deltas)
-    start = F.array(F.struct(F.lit("start").alias("event"), F.col("role").alias("payload")))
-    # all events of a row share its place; seq orders them within it
-    return r.select("conv_id", "turn", "role", F.xxhash64("text").alias("tag"), F.posexplode(F.concat(start, log)).alias("seq", "e")).select(
-        "conv_id", "turn", "role", "tag", "seq", "e.event", "e.payload"
-    )
-
-
-def fold(events: Iterable[tuple[str, str]]) -> list[str]:
-    """Texts of the messages that a sequence of (event, payload) leaves; each ``start`` begins one."""
-    done: list[list[str] | None] = []
-    for event, payload in events:
+    deltas = F.transform(F.sequence(F.lit(0), n - 1), lambda i: event("delta", F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))
+    again = F.concat(F.array(event("delta", F.lit("</s>draft ")), event("regenerate", F.lit(""))), deltas)
+    edited = F.array(event("delta", F.substring("text", 1, 7)), event("edit", F.col("text"), 1))
+    log = F.concat(F.array(event("start", F.col("role"))), F.when(F.col("kind") % 5 == 0, edited).when(F.col("kind") % 3 == 0, again).otherwise(deltas))
+    r = r.select("conv_id", "at", F.concat_ws(".", F.col("turn").cast("string"), F.col("n").cast("string")).alias("message"), F.posexplode(log).alias("i", "e"))
+    late = F.when(F.col("e.late") == 1, F.lit(str(_PLACE))).otherwise(F.lit("0")).cast("decimal(20,0)")
+    return r.select("conv_id", (F.col("at") + late + F.col("i")).cast("decimal(38,0)").alias("seq"), "e.event", "message", "e.payload")
+
+
+class Message:
+    """What the events of a message, in order, have left so far."""
+
+    def __init__(self) -> None:
+        self.role: str | None = None  # None: not begun, or retracted
+        self.parts: list[str] = []
+
+    def apply(self, event: str, payload: str | None) -> None:
         if event == "start":
-            done.append([])
-        elif not done or done[-1] is None:
-            continue  # events without a message, or after its retraction, change nothing
+            self.role, self.parts = payload or "", []
+        elif event not in EVENTS:
+            raise ValueError(f"unknown event {event}")
+        elif self.role is None:
+            pass  # events before a start, or after a retraction, change nothing
         elif event == "delta":
-            done[-1].append(payload)
+            self.parts.append(payload or "")
         elif event == "edit":
-            done[-1] = [payload]
+            self.parts = [payload or ""]
         elif event == "regenerate":
-            done[-1] = []
-        elif event == "retract":
-            done[-1] = None
+            self.parts = []
         else:
-            raise ValueError(f"unknown event {event}")
-    return [x if x is None else "".join(x) for x in done]
-
-
-_MESSAGES = "conv_id long, turn long, role string, tag long, text string"
+            self.role, self.parts = None, []
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by place and seq; only the message being folded is held."""
-    key, parts, copies, out, size = None, None, 0, [], 0
-
-    def finish() -> None:
-        nonlocal size
-        if parts is not None:
-            text = "".join(parts)
-            out.extend([(*key, text)] * copies)
-            size += len(text) * copies
+    """Rows sorted by conversation, message and seq -> a row per message that is left; only the message being folded is held."""
+    key, message, first, last, out, size = None, Message(), None, None, [], 0
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["conv_id", "turn", "role", "tag", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()), strict=True)], ["conv_id", "place", "message", "role", "text"])
 
-    last = None
     for batch in batches:
-        for conv, turn, role, tag, seq, event, payload in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if (conv, turn, role, tag) != key:
-                finish()
-                key, parts, copies, last = (conv, turn, role, tag), None, 0, None
-            if event == "start":
-                copies += 1
-            if seq == last:  # a repeated row: its events come in pairs, the text is the same
+        for conv, name, seq, event, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if (conv, name) != key:
+                if message.role is not None:
+                    out.append((key[0], first, key[1], message.role, "".join(message.parts)))
+                    size += sum(map(len, message.parts))
+                    if size > 4 << 20:
+                        yield flush()
+                        out, size = [], 0
+                key, message, first, last = (conv, name), Message(), None, None
+            if (seq, event, payload) == last:  # delivered twice
                 continue
-            last = seq
+            last = (seq, event, payload)
+            message.apply(event, payload)
             if event == "start":
-                parts = []
-            elif parts is None:
-                continue
-            elif event == "delta":
-                parts.append(payload)
-            elif event == "edit":
-                parts = [payload]
-            elif event == "regenerate":
-                parts = []
-            elif event == "retract":
-                parts = None
-            if size > 4 << 20:
-                yield flush()
-                out, size = [], 0
-    finish()
+                first = seq
+    if message.role is not None:
+        out.append((key[0], first, key[1], message.role, "".join(message.parts)))
     if out:
         yield flush()
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, turn, role, tag, text) of an event log.
-
-    Partitioned by conversation and place, so one conversation that holds much
-    of the log is dealt over many tasks; within a message, by seq. Rows that
-    repeat another wholly give as many equal messages. Retracted messages, and
-    events before any start, leave nothing.
+    """Final messages of a log (``LOG``): conv_id, place (seq of the last start), message, role, text.
+
+    An event names its message and changes no other, so the log of a
+    conversation is dealt out by conversation and message and each part folded
+    in order of seq: one conversation with much of the log is no hot task, and
+    a task holds one message at a time. Events that repeat another wholly count
+    once; events of equal seq are taken in order of event and payload; null
+    payloads are empty; messages that are retracted or never start leave
+    nothing; null conv_id is one conversation, null message one message. An
+    empty log gives no rows; other columns are ignored. Not yet computed: to be
+    stored with few rows a batch.
     """
-    small_batches(events.sparkSession)
-    place = ["conv_id", "turn", "role", "tag"]
-    return events.select(*place, "seq", "event", "payload").repartition(*place).sortWithinPartitions(*place, "seq").mapInArrow(_fold_batches, _MESSAGES)
+    rows = events.select(F.col("conv_id").cast("long").alias("conv_id"), "message", F.col("seq").cast("decimal(38,0)").alias("seq"), "event", "payload")
+    dealt = rows.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "event", "payload")
+    folded = dealt.withColumn("seq", F.col("seq").cast("string")).mapInArrow(_fold_batches, "conv_id long, place string, message string, role string, text string")
+    return folded.withColumn("place", F.col("place").cast("decimal(38,0)"))
 
 
 _FORMATTED = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>"
@@ -211,7 +207,7 @@ def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FORMATTED_PA, strict=True)], schema=_FORMATTED_PA)
 
     for batch in batches:
-        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4)), strict=True):
+        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
             if key != (conv,):
                 if key is not None:
                     out.append((key[0], "".join(parts), spans))
@@ -231,19 +227,21 @@ def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans.
-
-    ``events``: conv_id, turn, role, tag, seq, event, payload (see
-    ``conversation_events``); other columns are ignored. Null roles and texts
-    count as empty; null turns come last; null conv_id is one conversation; a
-    conversation without messages has no row. The log is folded message by
-    message first; only final texts are then gathered by conversation, in
-    order, and rendered as they stream by: one row is one training text, and it
-    alone must fit a task.
+    """One row per conversation of a log (``LOG``): conv_id, formatted, loss_spans.
+
+    Messages are in order of the seq of their start, ties by name; a
+    conversation without messages has no row; odd rows as in ``fold_events``.
+    The log is folded first; only final texts are then gathered by conversation
+    and rendered as they stream by: one row is one training text, and it alone
+    must fit a task.
     """
+    with Scratch(events.sparkSession) as tmp:
+        return tmp.keep(tmp.stored(_formatted(events), "formatted"))
+
+
+def _formatted(events: DataFrame) -> DataFrame:
     m = fold_events(events)
-    order = ["conv_id", F.col("turn").isNull(), "turn", "role", "text"]
-    return m.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_render_batches, _FORMATTED)
+    return m.repartition("conv_id").sortWithinPartitions("conv_id", "place", "message").mapInArrow(_render_batches, _FORMATTED)
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -267,7 +265,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of the turns and of the text under the loss mask, parsed from the formatted text alone."""
+    """Digests of the turns and of the text under the loss mask, parsed from the formatted text alone. Not yet computed."""
     return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(_digest_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -275,7 +273,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
-    return read_back(format_conversations(conversation_events(rows.unionByName(extra))))
+    with Scratch(spark) as tmp:
+        return tmp.keep(tmp.stored(read_back(_formatted(conversation_events(rows.unionByName(extra)))), "read"))
 
 
 _HIDDEN = r"regexp_replace(replace(t, '\', '\\'), '(<)(s>|/s>)|(\[)(INST\]|/INST\]|ROLE|/ROLE\])', '\1\3\\\2\4', 'g')"

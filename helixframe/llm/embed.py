@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .topk import usable
-from .util import BROADCAST_ROWS, connected_components, cut, small_batches, stored
+from .util import BROADCAST_ROWS, Scratch, connected_components, cut, distinct_digests
 
 #: Blocks a vector is split into.
-BLOCKS = 8
+BLOCKS = 4
 
 #: A strip of more vectors than this is cut into chunks that meet pairwise.
-CHUNK = 8192
+CHUNK = 16_384
 
 #: Rows of a distance matrix held at once.
 TILE = 512
@@ -56,7 +56,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def _strip_batches(total: float):
+def _strip_batches(total: float, kind: type):
     """cls, weight, vector -> one row per block with the strip of its first rotated coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def _strip_batches(total: float):
                 part = b.take(pa.array(pick))
                 x = part.column(2).flatten().to_numpy().reshape(-1, d)
                 y = unit(x) @ rotation(d)
-                raw = pa.array([r.tobytes() for r in x.astype(np.float64)], pa.binary())
+                raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                 for k, (edge, w) in enumerate(zip(block_edges(d)[:-1], np.sqrt(budgets(d, total)), strict=True)):
                     strip = np.floor(y[:, edge] / (w * (1 + 1e-6))).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -105,14 +105,14 @@ def _pairs_within(ya: np.ndarray, yb: np.ndarray, ua: np.ndarray, ub: np.ndarray
                 yield x[found], y[found]
 
 
-def _link_batches(total: float, cosine: float):
+def _link_batches(total: float, cosine: float, dtype: type):
     """Rows sorted by task; a task is one chunk against itself (side 0 only) or against another (sides 0 and 1)."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         d, k, kind = t.column(0)[0].as_py(), t.column(1)[0].as_py(), t.column(3)[0].as_py()
         side, cls, weight = np.asarray(t.column(6)), np.asarray(t.column(7)), np.asarray(t.column(8))
-        u = unit(np.frombuffer(b"".join(t.column(9).to_pylist()), np.float64).reshape(-1, d))
+        u = unit(np.frombuffer(b"".join(t.column(9).to_pylist()), dtype).reshape(-1, d))
         y = u @ rotation(d)
         left = np.flatnonzero(side == 0)
         right = left if kind == 0 else np.flatnonzero(side == 1)
@@ -175,18 +175,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     pairwise, so no task holds more than two chunks. Tasks return a row per
     linked class and block at most: links counted and the least class reached.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    with Scratch(vectors.sparkSession) as tmp:
+        return tmp.keep(tmp.stored(_near_vectors(vectors, tmp, cosine, id_col, vector_col), "near"))
+
+
+def _near_vectors(vectors: DataFrame, tmp: Scratch, cosine: float, id_col: str, vector_col: str) -> DataFrame:
     total = 2.0 - 2.0 * cosine
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     fit = usable(F.col("v")) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    v = v.withColumn("ok", fit).withColumn("cls", F.when(F.col("ok"), F.xxhash64("v"))).withColumn("check", F.xxhash64(F.lit(1), "v"))
-    classes = stored(
-        v.where("ok").groupBy("cls", "check").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("v").alias("v")),
-        "vectors",
-    )
-    strips = stored(
-        classes.select("cls", "weight", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(_strip_batches(total), "d int, block int, strip long, cls long, weight long, vec binary"), "strips"
+    v = v.withColumn("ok", fit)
+    of_class = lambda salt: v.withColumn("cls", F.when(F.col("ok"), F.xxhash64(F.lit(salt), "v")))
+    make = lambda salt: of_class(salt).where("ok").groupBy("cls", F.xxhash64(F.lit(-1), "v").alias("check")).agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("v").alias("v"))
+    classes, salt = distinct_digests(make, "cls", tmp)
+    v = of_class(salt)
+    # single precision travels as it is; all is computed in double
+    kind, name = (np.float32, "float") if v.schema["v"].dataType.elementType.simpleString() == "float" else (np.float64, "double")
+    strips = tmp.stored(
+        classes.select("cls", "weight", F.transform("v", lambda x: x.cast(name)).alias("v")).mapInArrow(_strip_batches(total, kind), "d int, block int, strip long, cls long, weight long, vec binary"), "strips", 4096
     )
     sizes = cut(strips.groupBy("d", "block", "strip").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
     side = F.broadcast if sizes.count() <= BROADCAST_ROWS else (lambda x: x)
@@ -207,7 +212,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     behind = F.transform(upto(F.col("prev")), lambda j: task(F.col("strip") - 1, 2, j, own, one))
     dealt = rows.select("d", "block", "cls", "weight", "vec", F.explode(F.concat(within, ahead, behind)).alias("t")).select("d", "block", "t.strip", "t.kind", "t.i", "t.j", "t.side", "cls", "weight", "vec")
     keys = ["d", "block", "strip", "kind", "i", "j"]
-    found = stored(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_batches(total, cosine), "cls long, links long, root long"), "links")
+    found = tmp.stored(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_batches(total, cosine, kind), "cls long, links long, root long"), "links", 4096)
+    tmp.drop(strips)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     owner = (

@@ -16,14 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytefeat import gram_buckets, padded, pieces, text_buffers
-from .mix import doc_hash
-from .util import small_batches
+from .util import step, stored
 
 BITS, ORDERS = 12, (1, 2, 3)
 
 #: The classifier is fitted on a sample of about so many rows, spread evenly over the languages.
 MAX_TRAIN_ROWS = 2000
 
+#: Languages learned: those with the most rows (ties by name).
+MAX_LANGS = 256
+
 #: Answer for texts without a letter.
 UNDETERMINED = "und"
 
@@ -131,23 +133,24 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
-def learn(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
+def learn(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_langs: int = MAX_LANGS) -> Model | None:
     """Fit on ``docs`` (doc_id, text, lang): rows held out, or with null text or lang, are not used.
 
-    The sample is chosen by hash of the id, at a rate per language that gives
-    about ``max_rows`` rows in all; only their feature vectors reach the
-    driver. None if nothing is left to learn from.
+    The sample is chosen by a hash of the row, at a rate per language that
+    gives about ``max_rows`` rows in all; rows that repeat another count once;
+    only feature vectors reach the driver, and the table of rates has at most
+    ``max_langs`` rows. None if nothing is left to learn from.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     seen = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = seen.groupBy("lang").count().orderBy("lang").collect()
+    counts = seen.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_langs).collect()
     if not counts:
         return None
-    langs = [r["lang"] for r in counts]
-    each = max(1, max_rows // len(langs))
-    rates = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * 2**60)) for r in counts], "lang string, rate long")
-    sample = seen.join(F.broadcast(rates), "lang").where(doc_hash(F.col("doc_id")) <= F.col("rate"))
-    rows = sample.select("lang", "text").mapInArrow(_feature_batches, "lang string, x binary").toArrow()
+    each = max(1, max_rows // len(counts))
+    rates = spark.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * 2**60)) for r in counts], "lang string, rate long")
+    sample = seen.join(F.broadcast(rates), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 4) <= F.col("rate"))
+    with step(spark):
+        rows = sample.select("lang", "text").mapInArrow(_feature_batches, "lang string, x binary").distinct().toArrow()
     if not rows.num_rows:
         return None
     names = rows.column("lang").to_pylist()
@@ -161,9 +164,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred, score, ambiguous for every row, from its whole text alone.
 
     Null texts, texts without a letter and, with no model, all texts get
-    ``und`` with score 0. Repeated rows get equal answers.
+    ``und`` with score 0. Repeated rows get equal answers; ties go to the
+    language of least name; other columns are ignored; an empty table gives an
+    empty result.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("usable"), held_out(F.col(id_col)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return stored(rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"), "languages")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytefeat import U64, lower_ascii, mix64, pieces, shingle_hashes, span_hashes, text_buffers, words
-from .util import BROADCAST_ROWS, connected_components, cut, small_batches, stored
+from .util import Scratch, broadcast_if_small, connected_components, cut, distinct_digests, pieces_of
 
 #: Minwise tokens per set, trees, branches a node selects, levels before sizes are looked at.
 TOKENS, TREES, BRANCHES, FIRST_LEVELS = 64, 5, 2, 3
@@ -33,9 +33,12 @@ LEAST_AGREE = 0.55
 #: Classes of a dense node that one task compares with as many others on full sets.
 DENSE_CHUNK = 2048
 
-#: Bytes of a shingle hash in the sets that travel.
+#: Bytes of a shingle hash in the sets that travel: two shingles of a pair of texts of 1,000 are taken for one with probability 2e-9.
 SET_BYTES = 6
 
+#: Node rows of a task; rows of dense tiles of a task.
+TASK_ROWS, TILE_ROWS = 20_000, 4 * DENSE_CHUNK
+
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * U64(2) + U64(1)
@@ -63,10 +66,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _set_key(x: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit digests of a set, as signed integers."""
+def _set_key(x: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set, as signed integers; the first depends on the salt."""
     with np.errstate(over="ignore"):
-        a = mix64(mix64(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)[None] + U64(len(x)))
+        a = mix64(mix64(x ^ U64(0x5851F42D4C957F2D + salt)).sum(dtype=U64)[None] + U64(len(x)))
         b = mix64(x * U64(0xDA942042E4DD58B5)).sum(dtype=U64)[None]
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
@@ -85,14 +88,14 @@ def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _feature_batches(k: int):
+def _feature_batches(k: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = text_buffers(batch.column(1))
             for i, j in pieces(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 sig = signatures(sets)
-                keys = [_set_key(x) for x in sets]
+                keys = [_set_key(x, salt) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -150,42 +153,30 @@ def _branch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _agree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node: node and the mean share of tokens in which its members agree with its first one."""
-    node, head, total, n = None, None, 0.0, 0
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([total / max(n, 1)])], ["node", "agree"])
-
+    """node, low bytes of a member, those of its node's head -> node, summed share of tokens that agree, members: a row per batch and node."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        nodes, low = np.asarray(batch.column(0)), _low(batch.column(1))
-        edges = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if nodes[a] != node:
-                if node is not None:
-                    yield row()
-                node, head, total, n = int(nodes[a]), low[a].copy(), 0.0, 0
-            total += float((low[a:b] == head).mean(1).sum())
-            n += b - a
-    if node is not None:
-        yield row()
-
-
-def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        node, at = np.unique(np.asarray(batch.column(0)), return_inverse=True)
+        share = (_low(batch.column(1)) == _low(batch.column(2))).mean(1)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(at, share)), pa.array(np.bincount(at))], ["node", "agree", "members"])
+
+
+def leaves(reps: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
     """(small, dense) terminal nodes of all trees: node, cls. ``reps``: cls, sig, low (stored).
 
     A large node branches while that shrinks it: members that agree with one of
-    them in a share a of the tokens come back BRANCHES * a times on the next
-    level. If that is once or more on average, the node is dense and compared
-    as it is. Two levels are branched between looks at the sizes.
+    them, its head, in a share a of the tokens come back BRANCHES * a times on
+    the next level. If that is once or more on average, the node is dense and
+    compared as it is. Two levels are branched between looks at the sizes.
+    Sizes, heads and shares are aggregates that combine before the shuffle, so
+    no node is ever gathered in a task here.
     """
-    spark = reps.sparkSession
     rows = reps.select("cls", "sig").mapInArrow(_root_batches, "node long, cls long")
     small, dense, level = [], [], FIRST_LEVELS
     while True:
         size = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = stored(rows.join(size, "node"), "nodes")
+        sized = tmp.stored(rows.join(size, "node"), "nodes", 4096)
         small.append(sized.where(F.col("size") <= NODE_LIMIT).select("node", "cls"))
         large = sized.where(F.col("size") > NODE_LIMIT).select("node", "cls")
         if large.isEmpty():
@@ -193,13 +184,13 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         if level >= MAX_LEVEL:
             dense.append(large)
             break
-        big = stored(large.join(reps, "cls").select("node", "cls", "sig", "low").repartition("node").sortWithinPartitions("node", "cls"), "large")
-        small_batches(spark, 4096)
-        tight = cut(big.select("node", "low").mapInArrow(_agree_batches, "node long, agree double").groupBy("node").agg(F.max("agree").alias("agree")).where(F.col("agree") * BRANCHES >= 1).select("node"))
-        small_batches(spark)
-        side = F.broadcast(tight) if tight.count() <= BROADCAST_ROWS else tight
-        dense.append(big.join(side, "node", "left_semi").select("node", "cls"))
-        rows = big.join(side, "node", "left_anti").select("node", "cls", "sig").mapInArrow(_branch_batches, "node long, cls long").distinct()
+        big = tmp.stored(large.join(reps, "cls").select("node", "cls", "sig", "low"), "large")
+        heads = broadcast_if_small(cut(big.groupBy("node").agg(F.min_by("low", "cls").alias("head"))))
+        shares = big.select("node", "low").join(heads, "node").select("node", "low", "head").mapInArrow(_agree_batches, "node long, agree double, members long")
+        tight = shares.groupBy("node").agg((F.sum("agree") / F.sum("members")).alias("agree")).where(F.col("agree") * BRANCHES >= 1).select("node")
+        tight = broadcast_if_small(cut(tight, 4096))
+        dense.append(big.join(tight, "node", "left_semi").select("node", "cls"))
+        rows = big.join(tight, "node", "left_anti").select("node", "cls", "sig").mapInArrow(_branch_batches, "node long, cls long")
         level += 2
 
     def union(parts: list[DataFrame]) -> DataFrame:
@@ -208,7 +199,7 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = out.unionByName(d)
         return out
 
-    return union(small), stored(union(dense), "dense")
+    return union(small), union(dense)
 
 
 def _grouped(columns: int, solve):
@@ -276,14 +267,15 @@ def _similar(x: int, y: np.ndarray, both: np.ndarray, numerator: int, denominato
 def _dense_links(numerator: int, denominator: int):
     """One tile of a dense node on full sets: pairs that join its members into their components.
 
-    Members already joined are not compared again, so a group of near copies
-    costs about one comparison each.
+    Members already joined, those of the core among them, are not compared
+    again, so a group of near copies costs about one comparison each.
     """
 
     def solve(t: pa.RecordBatch) -> pa.RecordBatch | None:
         same = t.column(1)[0].as_py() == t.column(2)[0].as_py()
         side, cls, low = np.asarray(t.column(3)), np.asarray(t.column(4)), _low(t.column(5))
-        sets = [_open_set(x) for x in t.column(6)]
+        core = np.asarray(t.column(6).to_pylist(), bool)
+        sets = [_open_set(x) for x in t.column(7)]
         size = np.array([len(x) for x in sets])
         item, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.cumsum(count > 1) - 1  # items of one set only don't matter
@@ -296,6 +288,7 @@ def _dense_links(numerator: int, denominator: int):
             bits = np.zeros((len(sets), max(1, width)), U64)
             np.bitwise_or.at(bits, (row[on], place >> 6), U64(1) << (place & 63).astype(U64))
         label, out_i, out_j = np.arange(len(cls)), [], []
+        label[core] = len(cls)  # linked with the head, so one component already
         for i in range(len(cls)):
             if not same and side[i] == 1:
                 continue
@@ -335,13 +328,13 @@ def _verify_batches(numerator: int, denominator: int):
     return run
 
 
-def _set_batches(k: int):
+def _set_batches(k: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = text_buffers(batch.column(1))
             for i, j in pieces(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x)[0] for x in sets], pa.int64()), pa.array([_pack_set(x) for x in sets], pa.binary())], ["cls", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x, salt)[0] for x in sets], pa.int64()), pa.array([_pack_set(x) for x in sets], pa.binary())], ["cls", "set"])
 
     return run
 
@@ -362,76 +355,95 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     by partial aggregation). Node rows are (key, class) pairs; tokens join only
     nodes of two members or more, full sets only classes with a likely
     partner. Of a small node, a spanning forest of likely pairs is confirmed
-    first, then what is likely across the components that are left. Dense
-    nodes are compared on full sets, in tiles of two chunks, and give a
-    spanning forest of links. The similarity must be 0.8 or more for the token
-    filter to hold.
+    first, then what is likely across the components that are left. Of a dense
+    node, every member is confirmed against the head, and only the others, if
+    any, meet all members in tiles of two chunks of full sets. The similarity
+    must be 0.8 or more for the token filter to hold. Sets are compared by 48
+    bits a shingle.
     """
     if numerator < 0.8 * denominator:
         raise ValueError("the token filter is set for similarities of 0.8 and more")
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = stored(source.mapInArrow(_feature_batches(k), "doc_id long, n_shingles long, cls long, check long, sig binary, low binary"), "shingles")
-    classes = stored(
-        feats.where("n_shingles > 0")
-        .groupBy("cls", "check", "n_shingles")
-        .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**62)).alias("o"), "sig", "low")).alias("s"))
-        .select("cls", "least", "s.sig", "s.low"),
-        "classes",
-    )
-    small, dense = leaves(classes.select("cls", "sig", "low"))
-    low = classes.select("cls", "low")
-    placed = stored(small.join(low, "cls").select("node", "cls", "low").repartition("node").sortWithinPartitions("node", "cls"), "placed")
-    small_batches(spark, 4096)
-    forest = stored(placed.mapInArrow(_grouped(1, _likely_forest), "a long, b long").distinct(), "pairs")
-
-    # the full sets of all classes with a likely partner
-    wanted = forest.select(F.col("a").alias("cls")).union(forest.select("b")).union(dense.select("cls")).distinct()
-    wanted = cut(wanted.join(classes.select("cls", "least"), "cls"))
-    small_batches(spark)
-    texts = source.join(wanted.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_set_batches(k), "cls long, set binary")
-    sets = stored(texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        small_batches(spark, 64)
-        a, b = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-        out = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify_batches(numerator, denominator), "a long, b long"), "links")
-        small_batches(spark, 4096)
-        return out
-
-    links = confirmed(forest)
-    if not dense.isEmpty():
-        chunks = dense.groupBy("node").agg(F.ceil(F.count("*") / DENSE_CHUNK).cast("int").alias("n"))
-        tiles = dense.join(chunks, "node").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int"))
-        other = F.sequence(F.lit(0), F.col("n") - 1)
-        tiles = tiles.withColumn("j", F.explode(other)).select(
-            "node", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), (F.col("own") > F.col("j")).cast("int").alias("side"), "cls"
+    with Scratch(spark) as tmp:
+        made: list[DataFrame] = []
+
+        def make_classes(salt: int) -> DataFrame:
+            tmp.drop(*made)
+            made[:] = [tmp.stored(source.mapInArrow(_feature_batches(k, salt), "doc_id long, n_shingles long, cls long, check long, sig binary, low binary"), "shingles")]
+            return (
+                made[0]
+                .where("n_shingles > 0")
+                .groupBy("cls", "check", "n_shingles")
+                .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**62)).alias("o"), "sig", "low")).alias("s"))
+                .select("cls", "least", "s.sig", "s.low")
+            )
+
+        classes, salt = distinct_digests(make_classes, "cls", tmp)
+        feats = made[0]
+        low = classes.select("cls", "low")
+        small, dense = leaves(classes.select("cls", "sig", "low"), tmp)
+        dense = tmp.stored(dense, "dense")
+        placed = tmp.stored(small.join(low, "cls").select("node", "cls", "low"), "placed")
+        tasks = pieces_of(spark, placed.count(), TASK_ROWS)
+
+        def by_node(rows: DataFrame, solve) -> DataFrame:
+            """Pairs that ``solve`` finds in each node, whose rows are together and in order of class."""
+            return rows.repartition(tasks, "node").sortWithinPartitions("node", "cls").mapInArrow(_grouped(1, solve), "a long, b long").distinct()
+
+        forest = tmp.stored(by_node(placed, _likely_forest), "pairs", 4096)
+
+        # the full sets of all classes with a likely partner: a text of each, found by its id (null ids are looked up, too)
+        wanted = forest.select(F.col("a").alias("cls")).union(forest.select("b")).union(dense.select("cls")).distinct()
+        wanted = cut(wanted.join(classes.select("cls", "least"), "cls"))
+        texts = source.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").mapInArrow(_set_batches(k, salt), "cls long, set binary")
+        sets = tmp.stored(texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+        def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+            a, b = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
+            return tmp.stored(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify_batches(numerator, denominator), "a long, b long"), name, 64)
+
+        links = confirmed(forest, "links")
+        tmp.drop(forest)
+        if not dense.isEmpty():
+            heads = broadcast_if_small(cut(dense.groupBy("node").agg(F.min("cls").alias("head"), F.count("*").alias("size"))))
+            headed = dense.join(heads, "node").select("node", "cls", "head", F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
+            star = confirmed(headed.where("a < b").select("a", "b").distinct(), "star")
+            member = tmp.stored(headed.join(star.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("node", "cls", (F.col("linked").isNotNull() | (F.col("a") == F.col("b"))).alias("core")), "members")
+            n = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / DENSE_CHUNK).cast("int")
+            chunks = cut(member.groupBy("node").agg(n(~F.col("core")).alias("n0"), n(F.col("core")).alias("n1"), F.count("*").alias("size")).where("n0 > 0"))
+            total = chunks.agg(F.sum(F.col("size") * F.col("n0"))).first()[0] or 0
+            tiles = member.join(broadcast_if_small(chunks), "node")
+            own = F.when(F.col("core"), F.col("n0") + F.pmod(F.xxhash64("cls"), F.col("n1"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("n0"))).cast("int")
+            tiles = tiles.withColumn("own", own)
+            other = F.filter(F.sequence(F.lit(0), F.col("n0") + F.col("n1") - 1), lambda j: F.least(j, F.col("own")) < F.col("n0"))
+            tiles = tiles.withColumn("j", F.explode(other)).select(
+                "node", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), (F.col("own") > F.col("j")).cast("int").alias("side"), "cls", "core"
+            )
+            rows = tiles.join(low, "cls").join(sets, "cls").select("node", "i", "j", "side", "cls", "low", "core", "set")
+            rows = rows.repartition(pieces_of(spark, 2 * total, TILE_ROWS), "node", "i", "j").sortWithinPartitions("node", "i", "j", "cls")
+            found = tmp.stored(rows.mapInArrow(_grouped(3, _dense_links(numerator, denominator)), "a long, b long"), "found")
+            links = tmp.stored(links.unionByName(star).unionByName(found), "links")
+            tmp.drop(member, star, found)
+        comps = cut(connected_components(links))
+
+        # what is likely across the components that a small node still holds; members keep their order, so the forest is the same
+        member = placed.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("node", "cls", "low", F.coalesce("component", "cls").alias("comp"))
+        more = confirmed(cut(by_node(member, _likely_across), 4096), "more")
+        if not more.isEmpty():
+            comps = cut(connected_components(links.unionByName(more)))
+
+        owner = (
+            classes.select("cls", "least")
+            .join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left")
+            .withColumn("component", F.coalesce("component", "cls"))
         )
-        rows = tiles.join(low, "cls").join(sets, "cls").select("node", "i", "j", "side", "cls", "low", "set")
-        small_batches(spark)
-        found = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls").mapInArrow(_grouped(3, _dense_links(numerator, denominator)), "a long, b long")
-        links = stored(links.unionByName(found), "links")
-        small_batches(spark, 4096)
-    comps = cut(connected_components(links))
-
-    # what is likely across the components that a small node still holds; members keep their order, so the forest is the same
-    member = placed.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("node", "cls", "low", F.coalesce("component", "cls").alias("comp"))
-    across = member.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(_grouped(1, _likely_across), "a long, b long")
-    more = confirmed(cut(across.distinct()))
-    if not more.isEmpty():
-        comps = cut(connected_components(links.unionByName(more)))
-
-    owner = (
-        classes.select("cls", "least")
-        .join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left")
-        .withColumn("component", F.coalesce("component", "cls"))
-    )
-    least = owner.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = owner.join(least, "component").select(F.col("cls").alias("cls2"), "component_id")
-    out = feats.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, F.col("cls") == F.col("cls2"), "left")
-    comp = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))
+        least = owner.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = owner.join(least, "component").select(F.col("cls").alias("cls2"), "component_id")
+        out = feats.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, F.col("cls") == F.col("cls2"), "left")
+        comp = F.coalesce("component_id", "doc_id")
+        out = out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))
+        return tmp.keep(tmp.stored(out, "near"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,5 +27,7 @@ def oracle_sql():
         "op3_chat": chat.OP3_SQL,
         "op4_embed": embed.OP4_SQL,
         "op5_mix": mix.OP5_SQL,
+        "op6_suffix": suffix.OP6_SQL,
         "op8_minhash": minhash.OP8_SQL,
+        "op9_bpe": bpe.op9_sql(),
     }

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bytefeat import U64, mix64, span_hashes, text_buffers
-from .util import release, small_batches, stored
+from .util import Scratch
 
 #: Bytes of a repeated string; bytes of an anchor. An anchor lies in each window of WIDTH bytes.
 WIDTH, GRAM = 50, 16
@@ -41,6 +41,9 @@ ANCHOR_BYTES = 5
 #: Fragments whose suffix order is built together (more if they share an anchor).
 COLLECTION = 16_384
 
+#: Packs, or blobs of a bucket, in an Arrow batch.
+PACKS_AT_ONCE = 2
+
 #: Stands for a null id: larger than any.
 NO_ID = np.iinfo(np.int64).max
 
@@ -154,7 +157,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
         return none.view(U64), none, none, none, none
     eight = np.ndarray((n - 7,), "<u8", data.tobytes(), 0, (1,))  # the eight bytes from each place on
     gram = _gram_hash(eight[: n - GRAM + 1], eight[GRAM - 8 :])
-    low = U64((1 << 28) - 1)
+    low = U64((1 << 36) - 1)  # places; the rest of the hash decides first
     key = (gram & ~low) | (np.arange(len(gram), dtype=U64) & low)
     best, size = key, 1
     while size * 2 <= span:
@@ -474,10 +477,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """
     if not GRAM <= width <= 127:
         raise ValueError("width must be between 16 and 127")
+    with Scratch(docs.sparkSession) as tmp:
+        return tmp.keep(tmp.stored(_without_repeats(docs, tmp, width, id_col, text_col, as_text), "repeats", PACKS_AT_ONCE))
+
+
+def _without_repeats(docs: DataFrame, tmp: Scratch, width: int, id_col: str, text_col: str, as_text: bool) -> DataFrame:
+    """The rows of ``remove_repeats``, not yet computed; to be stored with PACKS_AT_ONCE rows a batch while ``tmp`` lives."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
     source = docs.select(*[F.col(c) if c != text_col else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in docs.columns])
-    packs = stored(source.mapInArrow(_pack_batches(text_col), "pack long, bytes long, rows binary"), "packs")
+    packs = tmp.stored(source.mapInArrow(_pack_batches(text_col), "pack long, bytes long, rows binary"), "packs")
     buckets = max(12, -(-int(packs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // BUCKET_BYTES))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,11 +500,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket", "pack")
 
-    small_batches(spark, 2)
     digests = packs.select("pack", "rows").mapInArrow(anchors, "bucket int, pack long, blob binary")
-    bits = stored(dealt(digests).mapInArrow(_by_bucket(_repeated_anchors, ["pack", "bucket", "bits"]), "pack long, bucket int, bits binary"), "anchors")
-    del digests
-    release(spark)
+    bits = tmp.stored(dealt(digests).mapInArrow(_by_bucket(_repeated_anchors, ["pack", "bucket", "bits"]), "pack long, bucket int, bits binary"), "anchors", PACKS_AT_ONCE)
     told = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,9 +515,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     )
 
     sent = packs.select("pack", "rows").join(told, "pack").select("pack", "rows", "bits").mapInArrow(send, "bucket int, pack long, blob binary")
-    owners = stored(dealt(sent).mapInArrow(_by_bucket(lambda blobs: owners_of_bucket(blobs, width), ["pack", "bucket", "owners"]), "pack long, bucket int, owners binary"), "owners")
-    del sent, told
-    release(spark)
+    owners = tmp.stored(dealt(sent).mapInArrow(_by_bucket(lambda blobs: owners_of_bucket(blobs, width), ["pack", "bucket", "owners"]), "pack long, bucket int, owners binary"), "owners", PACKS_AT_ONCE)
     answers = bits.join(owners, ["pack", "bucket"]).groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "owners")).alias("answers"))
 
     out_schema = StructType(source.schema.fields[:])
@@ -542,7 +545,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 cover = np.cumsum(step[:-1]) > 0
                 yield from _finished(pack, cover, arrow_schema)
 
-    small_batches(spark, 2)
     return packs.select("pack", "rows").join(answers, "pack", "left").select("pack", "rows", "answers").mapInArrow(apply, out_schema)
 
 
@@ -569,4 +571,24 @@ def _finished(pack: Pack, cover: np.ndarray, schema: pa.Schema) -> Iterator[pa.R
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    with Scratch(spark) as tmp:
+        out = _without_repeats(docs, tmp, WIDTH, "doc_id", "text", False)
+        return tmp.keep(tmp.stored(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")), "repeats", PACKS_AT_ONCE))
+
+
+#: Every 50-byte string by its place, as hexadecimal digits; texts are taken in pieces, so that no string is cut from the far end of a long one.
+OP6_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, i * 1000 as base, substr(h, i * 2000 + 1, 2098) as h from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 50 + 1000, 0) // 1000 + 1)) as i from d where length(h) >= 100)),
+w as (select doc_id, base + j as spot, substr(h, 2 * j + 1, 100) as s from (select doc_id, base, h, unnest(range(0, least(1000, greatest(length(h) // 2 - 49, 0)))) as j from p)),
+o as (select s, min(doc_id) as least from w group by s having min(doc_id) < max(doc_id)),
+g as (select w.doc_id, w.spot from w join o on w.s = o.s and o.least < w.doc_id),
+r as (select doc_id, spot, case when spot - lag(spot) over (partition by doc_id order by spot) <= 50 then 0 else 1 end as fresh from g),
+n as (select doc_id, spot, sum(fresh) over (partition by doc_id order by spot) as run from r),
+x as (select doc_id, run, min(spot) as a, max(spot) + 50 as b from n group by all),
+k as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as c from x),
+z as (select k.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, max(b) as e, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' order by a) as kept from k join d using (doc_id) group by k.doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(case when e is null then h else kept || substr(h, 2 * e + 1) end)) as kept_sha256
+from d left join z using (doc_id)
+"""

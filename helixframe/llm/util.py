@@ -3,79 +3,158 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a step runs, unless the step says otherwise: texts can be long and Python workers are small.
+BATCH_ROWS = 512
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-process tests) a private folder is
-    made, once per session, and removed when the process ends.
+    Where the setting is absent, a private folder is made once per session and
+    removed when the process ends, but only if driver and executors are one
+    process; on a cluster, executors could not see it, and RuntimeError is raised.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if base is None:
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
+        if not jsc.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="helixframe-ckpt-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return base if base is not None else jsc.getCheckpointDir().get()
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM exits."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/helixframe-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hadoop_path = _file_system(spark, path)
     fs.mkdirs(hadoop_path.getParent())
     fs.deleteOnExit(hadoop_path)
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop_path, True)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: object) -> Iterator[None]:
+    """Session settings (dots written as ``__``) that hold inside the block; the caller's come back after it."""
+    names = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def step(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Settings of one step, until it has run: Arrow batches of ``rows``, and shuffle files that go when the step ends."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+class Scratch:
+    """Tables of one operator's run, written to the shared folder.
+
+    ``stored`` writes a table once and reads it back, which cuts the lineage in
+    a way that survives lost executors and lets later readers prune columns.
+    Tables live until ``drop`` is called on them or the block ends; those named
+    by ``keep`` stay, as the result reads them, until the driver's JVM exits.
+    """
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, tuple[object, str]] = {}
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder as Parquet and read it back.
+    def __enter__(self) -> Scratch:
+        return self
 
-    Cuts the lineage in a way that survives lost executors, and lets later
-    readers prune columns.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __exit__(self, *_: object) -> None:
+        for held, _path in list(self.paths.values()):
+            self.drop(held)
+
+    def path(self, name: str) -> str:
+        """A path for files of the caller's own, deleted when the block ends."""
+        path = scratch_path(self.spark, name)
+        self.paths[id(path)] = (path, path)
+        return path
+
+    def stored(self, df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        with step(self.spark, rows):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: object) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            if (held := self.paths.pop(id(df), None)) is not None:
+                fs, hadoop_path = _file_system(self.spark, held[1])
+                fs.delete(hadoop_path, True)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave a table to the caller."""
+        self.paths.pop(id(df), None)
+        return df
 
-def cut(df: DataFrame) -> DataFrame:
+
+def stored(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` once to the shared folder as Parquet and read it back; the table stays until the driver's JVM exits."""
+    scratch = Scratch(df.sparkSession)
+    return scratch.keep(scratch.stored(df, name, rows))
+
+
+def cut(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """Eager reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with step(df.sparkSession, rows):
+        return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of steps whose results are stored and whose plans are out of scope."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def distinct_digests(make: Callable[[int], DataFrame], key: str, scratch: Scratch, tries: int = 5) -> tuple[DataFrame, int]:
+    """``make(salt)``, stored, for the first salt under which its rows all have different ``key``; and that salt.
 
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches by rows: texts can be long and Python workers are small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    The rows are classes told apart by more than the 64 bits of ``key``; if two
+    of them share it, all are made again under another salt, so that joins on
+    ``key`` alone never mix classes.
+    """
+    for salt in range(tries):
+        out = scratch.stored(make(salt), "classes")
+        rows, keys = out.agg(F.count("*"), F.countDistinct(key)).first()
+        if rows == keys:
+            return out, salt
+        scratch.drop(out)
+    raise RuntimeError(f"{key} collides under {tries} salts")
+
+
+def pieces_of(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for ``rows`` rows of work that Spark can't weigh by bytes: at most ``each`` rows in one on average."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-rows // each), min(usual, -(-8 * rows // each)), 1)
 
 
 #: A side is broadcast only when counted and found to have no more rows than this.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import scratch_path, small_batches, stored
+from .util import Scratch, broadcast_if_small, cut, step
 
 CRLF = b"\r\n"
 #: Fixed values of the WARC format.
@@ -107,17 +107,16 @@ def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
     Among payloads equal by SHA-1 and length, of at least ``min_revisit``
     bytes, the largest page_id holds it. Only digests are grouped (map-side
-    maxima), and only groups of two and more are joined back.
+    maxima). Groups of two and more are joined back, to the payloads of
+    ``min_revisit`` bytes and more alone, so that empty pages are no hot key;
+    the groups are broadcast if they are counted to be few.
     """
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     keyed = keyed.withColumn("digest", F.sha1("payload"))
-    shared = (
-        keyed.where(F.length("payload") >= min_revisit)
-        .groupBy(F.col("digest").alias("d2"))
-        .agg(F.max("page_id").alias("top"), F.count("*").alias("copies"))
-        .where("copies > 1")
-    )
-    return keyed.join(shared.select("d2", "top"), (F.col("digest") == F.col("d2")) & (F.length("payload") >= min_revisit), "left").drop("d2")
+    large = keyed.where(F.length("payload") >= min_revisit)
+    shared = large.groupBy(F.col("digest").alias("d2")).agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1").select("d2", "top")
+    told = large.join(broadcast_if_small(cut(shared)), F.col("digest") == F.col("d2"), "left").drop("d2")
+    return told.unionByName(keyed.where(F.length("payload") < min_revisit).withColumn("top", F.lit(None).cast("long")))
 
 
 def _write_batches(segment: int, chunk: int):
@@ -159,7 +158,7 @@ def _write_batches(segment: int, chunk: int):
     return run
 
 
-def write_warc(pages: DataFrame, path: str, segment: int = 64 << 10, chunk: int = 8 << 10, per_file: int = 4096) -> None:
+def write_warc(pages: DataFrame, path: str, segment: int = 64 << 10, chunk: int = 8 << 10, per_file: int = 1024) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) under ``path``.
 
     Null html is an empty payload; null url or page_id leave their header out;
@@ -172,11 +171,10 @@ def write_warc(pages: DataFrame, path: str, segment: int = 64 << 10, chunk: int
     separator. A file has at most ``per_file`` members of ``segment`` bytes.
     """
     assert 0 < segment < (16 << 20) - (64 << 10)
-    spark = pages.sparkSession
-    small_batches(spark)
     rows = plan_records(pages).withColumn("row", F.monotonically_increasing_id())
     members = rows.select("page_id", "url", "payload", "digest", "top", "row").mapInArrow(_write_batches(segment, chunk), "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", per_file).text(path)
+    with step(pages.sparkSession):
+        members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", per_file).text(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -247,12 +245,24 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records under ``path`` as they stand: headers that matter here and raw blocks."""
-    small_batches(spark)
+    """All records under ``path`` as they stand: headers that matter here and raw blocks.
+
+    A file is one row of Spark's binary reader, so it must fit a task and be
+    below 2 GB; ``write_warc`` keeps to 64 MB before compression. To be read
+    with few rows a batch (``util.step``).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_read_batches, READ_DDL)
 
 
+def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks put together, each byte copied once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = b"".join(x.as_buffer() for x in batch.column(6)[i].values if x.is_valid) if batch.column(6)[i].is_valid else b""
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1) for c in range(6)], pa.array([block], pa.binary()), batch.column(7).slice(i, 1)], ["record_id", "warc_type", "target_uri", "refers_to", "payload_digest", "page_id", "block", "complete"])
+
+
 def reassemble(records: DataFrame) -> DataFrame:
     """Whole records: segmented ones put together by origin, the others as they are.
 
@@ -276,16 +286,17 @@ def reassemble(records: DataFrame) -> DataFrame:
             F.max("segment_total").alias("total"),
             F.max(first).alias("has_first"),
         )
-        .withColumn("joined", F.expr("aggregate(parts, cast('' as binary), (acc, x) -> concat(acc, x.block))"))
         .withColumn(
             "complete",
             F.col("has_first")
             & F.expr("transform(parts, x -> x.segment_number) = sequence(1, size(parts))")
             & F.expr("forall(parts, x -> x.intact)")
-            & F.coalesce(F.length("joined") == F.col("total"), F.lit(False)),
+            & F.coalesce(F.expr("aggregate(parts, 0L, (n, x) -> n + length(x.block))") == F.col("total"), F.lit(False)),
         )
+        .select(F.col("origin").alias("record_id"), *cols[1:], F.expr("transform(parts, x -> x.block)").alias("blocks"), F.coalesce("complete", F.lit(False)).alias("complete"))
     )
-    return plain.unionByName(whole.select(F.col("origin").alias("record_id"), *cols[1:], F.col("joined").alias("block"), F.coalesce("complete", F.lit(False)).alias("complete")))
+    joined = whole.mapInArrow(_join_batches, "record_id string, warc_type string, target_uri string, refers_to string, payload_digest string, page_id long, block binary, complete boolean")
+    return plain.unionByName(joined)
 
 
 _DECODED = "record_id string, warc_type string, target_uri string, refers_to string, payload_digest string, page_id long, payload binary, whole boolean"
@@ -313,12 +324,18 @@ def payloads(records: DataFrame) -> DataFrame:
 def resolve(decoded: DataFrame) -> DataFrame:
     """Per record: size and digest of the full payload, revisits looked up at the record they refer to.
 
-    A revisit whose record is missing has null size and page. Archives are read once:
-    digests and sizes are stored, and only they are joined.
+    A revisit whose record is missing has null size and page; no records give
+    no rows. Archives are read once: digests and sizes are stored, and only
+    they are joined.
     """
+    with Scratch(decoded.sparkSession) as tmp:
+        return tmp.keep(tmp.stored(_resolved(decoded, tmp), "resolved"))
+
+
+def _resolved(decoded: DataFrame, tmp: Scratch) -> DataFrame:
     d = decoded.select("record_id", "warc_type", "page_id", "refers_to", "whole", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"), "payload_digest")
     d = d.withColumn("whole", F.col("whole") & ((F.col("warc_type") != "response") | F.col("payload_digest").isNull() | (F.col("payload_digest") == F.col("digest"))))
-    d = stored(d, "records")
+    d = tmp.stored(d, "records", 64)
     own = d.where("warc_type = 'response'")
     base = own.groupBy(F.col("record_id").alias("base_id")).agg(F.max("page_id").alias("base_page"), F.max("n").alias("base_n"), F.max("digest").alias("base_digest"), F.min("whole").alias("base_whole"))
     back = d.where("warc_type = 'revisit'").join(base, F.col("refers_to") == F.col("base_id"), "left")
@@ -328,9 +345,10 @@ def resolve(decoded: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    return resolve(payloads(read_warc(spark, path)))
+    with Scratch(spark) as tmp:
+        path = tmp.path("warc")
+        write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+        return resolve(payloads(read_warc(spark, path)))
 
 
 OP1_SQL = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -39,6 +40,38 @@ def test_components_both_ways(spark):
     assert util.connected_components(df.limit(0)).count() == 0
 
 
+def test_settings_come_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    d = odd_documents(spark)
+    suffix.remove_repeats(d).count()
+    minhash.near_duplicates(d).count()
+    bpe.round_trip(d, bpe.Vocabulary.public()).count()
+    assert spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), util.step(spark, 7):
+        assert spark.conf.get(key) == "7"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before
+
+
+def test_scratch_tables_go(spark):
+    with util.Scratch(spark) as tmp:
+        a, b = tmp.stored(spark.range(5), "a"), tmp.stored(spark.range(3), "b")
+        path = a.inputFiles()[0].rpartition("/")[0].removeprefix("file:").removeprefix("//")
+        tmp.keep(b)
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path) and b.count() == 3
+
+
+def test_colliding_digests_are_made_again(spark):
+    make = lambda salt: spark.range(10).select((F.col("id") % (5 + 5 * salt)).alias("cls"), "id")
+    with util.Scratch(spark) as tmp:
+        classes, salt = util.distinct_digests(make, "cls", tmp)
+        assert salt == 1 and classes.count() == 10
+        with pytest.raises(RuntimeError):
+            util.distinct_digests(lambda salt: make(0), "cls", tmp)
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 
@@ -70,6 +103,15 @@ def test_warc_round_trip(spark, tmp_path):
     lost = warc.payloads(raw.where("segment_number is null or segment_number <> 3"))
     assert lost.where("not whole").count() > 0
     warc.write_warc(pages(spark).limit(0), str(tmp_path / "e"))
+    assert warc.resolve(warc.payloads(warc.read_warc(spark, str(tmp_path / "e")))).count() == 0
+
+
+def test_warc_extra_columns_and_long_pages(spark, tmp_path):
+    extra = pages(spark).select("*", F.lit("x").alias("digest"), F.lit(3).alias("top"), F.lit("y").alias("payload"), F.lit(1).alias("row"), F.lit(2).alias("d2"))
+    long = spark.createDataFrame([(9, "u", "ab\r\n" * 700_000)], "page_id long, url string, html string")
+    warc.write_warc(extra.unionByName(long, allowMissingColumns=True), str(tmp_path / "w"))
+    got = {(r["page_id"], r["payload_bytes"]): r for r in warc.resolve(warc.payloads(warc.read_warc(spark, str(tmp_path / "w")))).collect()}
+    assert len(got) == 9 and all(r["whole"] for r in got.values()) and got[9, 2_800_000]["payload_digest"] == hashlib.sha1(b"ab\r\n" * 700_000).hexdigest()
 
 
 @settings(max_examples=50, deadline=None)
@@ -91,7 +133,32 @@ def test_topk_edges(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_topk_ties_and_blocks(spark):
+def clashing(df, *names):
+    return df.select("*", *[F.lit("x").alias(n) for n in names])
+
+
+def test_vectors_extra_columns(spark):
+    df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>")
+    names = ("v", "key", "vec", "cls", "segment", "cell", "side", "score", "rank", "query_id", "weight", "strip", "least", "ok", "check")
+    rows = lambda d: sorted(d.collect(), key=str)
+    assert rows(topk.top_k(clashing(df, *names), k=2)) == rows(topk.top_k(df, k=2))
+    assert rows(embed.near_vectors(clashing(df, *names))) == rows(embed.near_vectors(df))
+
+
+def test_topk_large_components(spark):
+    df = spark.createDataFrame([(i, [float(i) * 1e8, 1.0]) for i in range(0, 60, 3)], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, k=2).collect()]
+    q = {i: (64 * i * 10**8, 64) for i in range(0, 60, 3)}
+    score = lambda a, b: q[a][0] * q[b][0] + q[a][1] * q[b][1]
+    assert sorted(got) == [(0, 1, 3, 4096), (0, 2, 6, 4096)]
+    assert score(0, 3) == 4096
+
+
+@pytest.mark.parametrize("segment,group", [(2048, 24), (256, 2)])
+def test_topk_ties_and_blocks(spark, monkeypatch, segment, group):
+    monkeypatch.setattr(topk, "SEGMENT", segment)
+    monkeypatch.setattr(topk, "CELL_SEGMENTS", group)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 4)
     rng = np.random.default_rng(1)
     x = np.round(rng.standard_normal((3000, 8)) / 4, 1).astype(np.float32)
     x[500:1500] = x[500]
@@ -139,18 +206,65 @@ def test_template_is_reversible(turns):
     assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
-def test_fold():
-    e = [("delta", "lost"), ("start", "user"), ("delta", "a"), ("delta", "b"), ("start", "assistant"), ("delta", "x"), ("regenerate", ""), ("delta", "y"), ("edit", "z"), ("start", "user"), ("delta", "q"), ("retract", ""), ("delta", "no")]
-    assert chat.fold(e) == ["ab", "z", None]
+def replay(events):
+    """A naive reading of a log, event by event over the whole of a conversation: the texts that are left, in order of their start."""
+    state, done = {}, {}
+    for conv, seq, event, message, payload in sorted(set(events), key=lambda e: (e[0] or 0, e[1], e[2], e[4] or "")):
+        key = (conv, message)
+        if event == "start":
+            state[key] = [seq, payload or "", ""]
+        elif key in state:
+            if event == "delta":
+                state[key][2] += payload or ""
+            elif event == "edit":
+                state[key][2] = payload or ""
+            elif event == "regenerate":
+                state[key][2] = ""
+            else:
+                del state[key]
+    for (conv, message), (seq, role, text) in state.items():
+        done.setdefault(conv, []).append((seq, message, role, text))
+    return {c: [x[2:] for x in sorted(v)] for c, v in done.items()}
+
+
+def test_log_of_interleaved_messages(spark):
+    rng = random.Random(3)
+    events = []
+    for conv in (1, 2, None):
+        seq = 0
+        for _ in range(400):
+            m = f"m{rng.randrange(12)}"
+            seq += 1
+            event = rng.choice(["start", "delta", "delta", "delta", "edit", "regenerate", "retract"])
+            events.append((conv, seq, event, m, rng.choice(["user", "assistant"]) if event == "start" else rng.choice([f"t{seq} ", "</s>", "", None])))
+    want = replay(events)
+    events += events[::7]  # delivered twice
+    rng.shuffle(events)
+    log = spark.createDataFrame([(c, s, e, m, p, "x") for c, s, e, m, p in events], "conv_id long, seq long, event string, message string, payload string, place string")
+    got = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_conversations(log).collect()}
+    assert got == want and all(len(v) > 3 for v in want.values())
     with pytest.raises(ValueError):
-        chat.fold([("start", ""), ("what", "")])
+        chat.Message().apply("what", "")
+    assert chat.format_conversations(log.limit(0)).count() == 0
+
+
+def test_made_log_is_interleaved_and_ends_in_the_rows(spark):
+    df = spark.createDataFrame([(c, t, ["user", "assistant"][t % 2], f"text {c} {t} " * (1 + t * 40)) for c in range(4) for t in range(30)], "conv_id long, turn long, role string, text string")
+    log = chat.conversation_events(df).collect()
+    assert {r["event"] for r in log} == {"start", "delta", "edit", "regenerate"}
+    order = [r["message"] for r in sorted(log, key=lambda r: (r["conv_id"], r["seq"])) if r["conv_id"] == 0]
+    runs = [m for i, m in enumerate(order) if i == 0 or order[i - 1] != m]
+    assert len(runs) > len(set(runs))  # some messages go on after others began
+    want = replay([(r["conv_id"], r["seq"], r["event"], r["message"], r["payload"]) for r in log])
+    assert want == {c: [(r["role"], r["text"]) for r in df.where(f"conv_id = {c}").orderBy("turn").collect()] for c in range(4)}
+    assert {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_conversations(chat.conversation_events(df)).collect()} == want
 
 
 def test_chat_edges(spark):
-    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", ""), (2, 3, "assistant", "x" * 2000), (2, 1, "tool", "</s>\\[ROLE")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", ""), (2, 3, "assistant", "x" * 500_000), (2, 1, "tool", "</s>\\[ROLE")]
+    df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "seq", "event", "payload", "message", "n", "at", "kind", "i", "e", "place")
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(chat.conversation_events(df))).collect()}
-    assert (got[1]["n_turns"], got[2]["n_turns"], got[2]["loss_chars"], got[None]["loss_chars"]) == (3, 2, 2000, 0)
+    assert (got[1]["n_turns"], got[2]["n_turns"], got[2]["loss_chars"], got[None]["loss_chars"]) == (3, 2, 500_000, 0)
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\na\nuser\na\n\n\n").hexdigest()
     assert chat.format_conversations(chat.conversation_events(df.limit(0))).count() == 0
 
@@ -226,6 +340,14 @@ def test_repeats_on_documents(spark):
     assert suffix.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_repeats_in_long_texts(spark):
+    rng = random.Random(8)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, a[:40_000]), (2, a), (3, "x" * 100 + a[2_000_000:2_000_300] + "y" * 30)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == (0, 0) and got[2] == (40_000, 1) and got[3][0] >= 300 and got[3][0] <= 302
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for _ in range(40):
@@ -258,6 +380,157 @@ def test_language_accuracy(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def grams_of(text: str, orders) -> list[bytes]:
+    """Byte grams inside words, the spaces beside a word among its bytes; one place at a time."""
+    buf = b" " + bytes(32 if b in b" \t\n\v\f\r" else b for b in text.encode()) + b" "
+    out = []
+    for n in orders:
+        for i in range(len(buf) - n + 1):
+            g = buf[i : i + n]
+            if g.strip(b" ") and b" " not in g[1:-1] and not (n == 1 and g == b" "):
+                out.append(g)
+    return out
+
+
+def bucket_of(gram: bytes, bits: int) -> int:
+    h = (2166136261 + len(gram) * 97) & 0xFFFFFFFF
+    for b in gram:
+        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+    return ((h * 2654435761) & 0xFFFFFFFF) >> (32 - bits)
+
+
+ODD_TEXTS = ["", " \n", "x", "a bc  def\tghij", "Été Hello hello", "日本語 ab", "aa aa b b b", "z" * 300]
+
+
+def buffers(texts):
+    import pyarrow as pa
+
+    return bytefeat.text_buffers(pa.array(texts))[:2]
+
+
+def test_language_features_and_decoding_one_by_one():
+    got = langid.features(*buffers(ODD_TEXTS))
+    want = np.zeros_like(got)
+    for i, t in enumerate(ODD_TEXTS):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        for g in grams_of(low, langid.ORDERS):
+            want[i, bucket_of(g, langid.BITS)] += 1
+        want[i] = np.sqrt(want[i]) / max(np.sqrt(want[i].sum()), 1e-9)
+    assert np.abs(got - want).max() < 1e-5
+    rng = np.random.default_rng(0)
+    k = 7
+    code = langid.codewords(k)
+    n = code.shape[1]
+    trust = rng.random((k, n)).astype(np.float32)
+    trust /= trust.sum(1, keepdims=True)
+    m = langid.Model([str(i) for i in range(k)], code, rng.standard_normal((want.shape[1], n)).astype(np.float32), rng.standard_normal(n).astype(np.float32), trust)
+    best, score, vague = m.predict(got)
+    for i, x in enumerate(got):
+        f = [float(x @ m.weight[:, b] + m.bias[b]) for b in range(n)]
+        loss = [sum(trust[c, b] * np.log1p(np.exp(-code[c, b] * f[b])) for b in range(n)) for c in range(k)]
+        p = np.exp([-4 * (v - min(loss)) for v in loss])
+        p = np.sort(p / p.sum())[::-1]
+        assert best[i] == int(np.argmin(loss)) and abs(score[i] - p[0]) < 1e-4 and bool(vague[i]) == bool(p[0] - p[1] < 0.2)
+
+
+def test_language_fit_is_a_gradient_descent():
+    rng = np.random.default_rng(1)
+    x, y = rng.random((30, 12)).astype(np.float32), rng.integers(0, 3, 30)
+    m = langid.fit(x, y, ["a", "b", "c"], rounds=5, rate=2.0, decay=0.01)
+    code = langid.codewords(3)
+    w, b = np.zeros((12, code.shape[1])), np.zeros(code.shape[1])
+    share = np.array([1 / (y == i).sum() for i in y])
+    share /= share.sum()
+    for _ in range(5):
+        gw, gb = 0.01 * w, np.zeros_like(b)
+        for i in range(30):
+            for j in range(code.shape[1]):
+                t = code[y[i], j]
+                g = -t * share[i] / (1 + np.exp(t * (x[i] @ w[:, j] + b[j])))
+                gw[:, j] += g * x[i]
+                gb[j] += g
+        w, b = w - 2.0 * gw, b - 0.2 * gb
+    assert np.abs(m.weight - w).max() < 1e-4 and np.abs(m.bias - b).max() < 1e-4
+
+
+def test_language_rows_one_by_one(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.learn(d)
+    got = {r["doc_id"]: r for r in langid.identify(d, m).collect()}
+    for r in d.collect():
+        g = got[r["doc_id"]]
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (g["lang_pred"], g["score"]) == ("und", 0)
+        else:
+            k, score, vague = m.predict(langid.features(*buffers([r["text"]])))
+            assert g["lang_pred"] == m.langs[k[0]] and abs(g["score"] - score[0]) < 1e-5
+    few = langid.learn(d, max_langs=2)
+    top = [r["lang"] for r in d.where(~langid.held_out(F.col("doc_id")) & F.col("text").isNotNull()).groupBy("lang").count().where("lang is not null").orderBy(F.col("count").desc(), "lang").limit(2).collect()]
+    assert few.langs == sorted(top)
+
+
+def words_of(text):
+    return "".join(c if c not in "\t\n\v\f\r" else " " for c in text).split(" ")
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_quality_counts_and_scores_one_by_one(repeats):
+    data, offsets = buffers(ODD_TEXTS)
+    rng = np.random.default_rng(2)
+    m = quality.Model(rng.standard_normal(1 << quality.BITS).astype(np.float32), 0.3, repeats)
+    z = m.logits(data, offsets)
+    for i, (t, (ids, n)) in enumerate(zip(ODD_TEXTS, quality.counts(data, offsets, repeats), strict=True)):
+        want: dict[int, int] = {}
+        w = [x for x in words_of(t) if x]
+        for x in w:
+            raw = np.frombuffer(x.encode(), np.uint8)
+            b = int(bytefeat.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - quality.BITS))
+            want[b] = want.get(b, 0) + 1
+        if repeats:
+            for x, y in zip(w[:-1], w[1:], strict=True):
+                if x == y:
+                    want[quality.REPEAT] = want.get(quality.REPEAT, 0) + 1
+        for g in grams_of(t, quality.ORDERS):
+            b = bucket_of(g, quality.BITS)
+            want[b] = want.get(b, 0) + 1
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == want
+        assert abs(z[i] - (sum(m.table[b] * c for b, c in want.items()) / max(sum(want.values()), 1) + 0.3)) < 1e-4
+
+
+def test_quality_fit_is_a_gradient_descent():
+    rng = np.random.default_rng(5)
+    docs = [(np.sort(rng.choice(50, 6, replace=False)).astype(np.uint16), rng.integers(1, 4, 6).astype(np.uint32)) for _ in range(8)]
+    y, weight = np.array([0, 1] * 4), rng.random(8).astype(np.float32)
+    m = quality.fit(docs, y, weight, epochs=2, batch=4, rate=0.5, seed=1)
+    r = np.random.default_rng(1)
+    emb = r.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BITS, quality.DIM)).astype(np.float32).astype(float)
+    out, bias, step = r.uniform(-1, 1, (quality.DIM, 2)).astype(np.float32).astype(float), np.zeros(2), 0
+    for _ in range(2):
+        order = r.permutation(8)
+        for i in range(0, 8, 4):
+            ge, go, gb = np.zeros_like(emb), np.zeros_like(out), np.zeros(2)
+            for k in order[i : i + 4]:
+                share = docs[k][1] / docs[k][1].sum()
+                h = sum(s * emb[b] for b, s in zip(docs[k][0], share, strict=True))
+                p = np.exp(h @ out + bias)
+                g = (p / p.sum() - np.eye(2)[y[k]]) * weight[k] / 4
+                for b, s in zip(docs[k][0], share, strict=True):
+                    ge[b] += s * (out @ g)
+                go += np.outer(h, g)
+                gb += g
+            lr = 0.5 * (1 - step / 4)
+            step += 1
+            emb, out, bias = emb - 50 * lr * ge, out - lr * go, bias - lr * gb
+    assert np.abs(m.table - emb @ (out[:, 1] - out[:, 0])).max() < 1e-4 and abs(m.bias - (bias[1] - bias[0])) < 1e-5
+
+
+def test_quality_of_repeated_ids_and_labels(spark):
+    d = spark.createDataFrame([(i % 4, f"text {i % 4} {'good words here' if i % 2 else 'zz zz zz'}") for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i % 4, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = quality.score(d, quality.learn(d, labels, repeats=True)).collect()
+    assert len(got) == 40 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_language_edges(spark):
     d = odd_documents(spark)
     got = {(r["doc_id"], r["lang_pred"]): r for r in langid.identify(d, langid.learn(d)).collect()}
@@ -294,6 +567,15 @@ def test_near_duplicates_edges(spark):
         minhash.near_duplicates(d, numerator=70)
 
 
+def test_near_copies_with_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    rows = [(1, text()), (None, text(30)), (None, text(30, 31)), (5, text(30, 31, 32)), (9, "other " + text(5)), (None, "a b c d e f"), (None, "a b c d e f g")]
+    rows += [(None, " ".join(f"q{i}" for i in range(50))), (None, " ".join(f"q{i}" for i in range(1, 50)))]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), k=4).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (None, 1, False), (None, 1, False), (5, 1, False), (9, 1, False), *[(None, None, True)] * 4], key=str)
+
+
 def test_dense_families(spark, monkeypatch):
     """Families of copies at all distances, so large that nodes branch and dense ones are tiled."""
     monkeypatch.setattr(minhash, "NODE_LIMIT", 8)
@@ -352,6 +634,52 @@ def test_bpe_long_words_and_cache(codec, monkeypatch):
     assert [np.frombuffer(i, "<u4").tolist() for i in mine.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_very_long_words(codec):
+    mine, lib = codec
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120_000)), "a" * 400_001, "xyz" * 50_000 + "q", "é" * 5000, "".join(rng.choice("ab") for _ in range(20_000))]
+    ids = mine.encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [lib.encode_ordinary(t) for t in texts]
+    assert mine.decode(ids) == [t.encode() for t in texts]
+    for t in texts:  # from left to right, as for words whose windows don't meet
+        assert mine._scan(t[:9000].encode()).tolist() == lib.encode_ordinary(t[:9000])
+
+
+def test_bpe_any_order_of_rows(codec):
+    mine, lib = codec
+    words = [b"hello", b"unbelievable", b"internationalisation", b"aaaaaaa", b"strawberries"]
+    rows = mine._rows(words)
+    order = np.random.default_rng(0).permutation(rows.num_rows)
+    mine.db.register("bytes_", rows.take(order))
+    got = mine.db.sql(bpe.ENCODE_SQL).to_arrow_table()
+    ids = got.column("id").to_numpy()
+    edge = np.searchsorted(got.column("word").to_numpy(), np.arange(len(words) + 1))
+    assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == [lib.encode_ordinary(w.decode()) for w in words]
+
+
+def test_bpe_ranks_that_no_training_gives(tmp_path):
+    """Ranks at random, so that merges make pairs of lower rank: one least pair at a time, leftmost first, is still what comes out."""
+    rng = random.Random(7)
+    pool = {bytes([i]) for i in range(256)}
+    while len(pool) < 420:
+        pool.add(bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 7))))
+    tokens = sorted(pool, key=lambda t: (len(t) > 1, rng.random()))
+    (tmp_path / "r").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    mine = bpe.Codec(bpe.Vocabulary.load(str(tmp_path / "r"), r"\S+|\s+"))
+    ranks = {t: i for i, t in enumerate(tokens)}
+
+    def naive(data: bytes) -> list[int]:
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (5, 60, 200, 300, 700, 1500)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in mine.encode(texts)] == [[ranks[t.encode()]] if t.encode() in ranks else naive(t.encode()) for t in texts]
+
+
 def test_bpe_edges(spark, codec):
     got = {r["doc_id"]: r for r in bpe.round_trip(odd_documents(spark), bpe.Vocabulary.public()).collect()}
     assert got[0]["n_tokens"] == got[1]["n_tokens"] == 0 and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
