@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,11 +11,21 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the shared folder (a private one where none is set)."""
+    """Eager reliable checkpoint in the shared folder.
+
+    Where ``spark.checkpoint.dir`` is unset, a private folder serves while
+    driver and executors are one process; on a cluster RuntimeError is raised.
+    """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not jsc.isLocal():
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="helixframe-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 

@@ -62,8 +62,31 @@ def aligned_bases(reads: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa:
 
 
 def reference_bases(fasta: DataFrame) -> DataFrame:
-    """contig, seq -> chr, pos, base, length (1-based, upper case)."""
-    return fasta.select(F.col("contig").alias("chr"), F.length("seq").alias("length"), F.posexplode(F.split(F.upper("seq"), "")).alias("p", "base")).where("base <> ''").select("chr", (F.col("p") + 1).cast("int").alias("pos"), "base", "length")
+    """contig, seq and maybe start (0-based place of seq) -> chr, pos, base (1-based, upper case)."""
+    start = F.col("start") if "start" in fasta.columns else F.lit(0)
+    return fasta.select(F.col("contig").alias("chr"), start.alias("_s"), F.posexplode(F.split(F.upper("seq"), "")).alias("p", "base")).where("base <> ''").select("chr", (F.col("_s") + F.col("p") + 1).cast("int").alias("pos"), "base")
+
+
+def reference_parts(fasta: DataFrame, width: int = 4096) -> DataFrame:
+    """contig, seq and maybe start -> chr, bin, start, part: pieces that don't cross multiples of ``width``."""
+    f = fasta.select(F.col("contig").alias("chr"), (F.col("start") if "start" in fasta.columns else F.lit(0)).cast("long").alias("_s"), F.upper("seq").alias("_seq")).where("length(_seq) > 0")
+    f = f.withColumn("bin", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor((F.col("_s") + F.length("_seq") - 1) / width))))
+    start = F.greatest(F.col("bin") * width, F.col("_s"))
+    return f.select("chr", "bin", start.alias("start"), F.substring("_seq", (start - F.col("_s") + 1).cast("int"), ((F.col("bin") + 1) * width - start).cast("int")).alias("part"))
+
+
+def with_reference(rows: DataFrame, fasta: DataFrame, width: int = 4096) -> DataFrame:
+    """``rows`` (chr, pos) with base (N where the reference has none) and length of the contig (null if it is unknown).
+
+    The reference stays in pieces; a row picks its base out of the piece of its
+    bin, so the reference is never a row a base.
+    """
+    parts = reference_parts(fasta, width)
+    lengths = parts.groupBy(F.col("chr").alias("_c")).agg(F.max(F.col("start") + F.length("part")).alias("length"))
+    at = (F.col("chr") == F.col("_chr")) & (F.floor((F.col("pos") - 1) / width) == F.col("_bin")) & (F.col("pos") > F.col("_start")) & (F.col("pos") <= F.col("_start") + F.length("_part"))
+    j = rows.join(parts.select(*[F.col(c).alias(f"_{c}") for c in parts.columns]), at, "left")
+    j = j.select(*rows.columns, F.coalesce(F.substring(F.col("_part"), (F.col("pos") - F.col("_start")).cast("int"), F.lit(1)), F.lit("N")).alias("base"))
+    return j.join(lengths, F.col("chr") == F.col("_c"), "left").drop("_c")
 
 
 def stop_sites(reads: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -104,8 +127,7 @@ def pileup(reads: DataFrame, fasta: DataFrame, min_base_qual: int = 0, strand: s
         *[count(F.col("read_base").isin(v) & F.col("good")).alias(f"good_{k}") for k, v in letters.items()],
     )
     agg = agg.where("depth > 0")
-    ref = reference_bases(fasta)
-    out = agg.join(ref, ["chr", "pos"], "left").withColumn("base", F.coalesce("base", F.lit("N")))
+    out = with_reference(agg, fasta)
     same = F.coalesce(*[F.when(base_code(F.col("base")) == base_code(F.lit(v[0])), F.col(f"good_{k}")) for k, v in letters.items()], lit0)
     known = base_code(F.col("base")) != 15
     depth = F.col("depth") + F.col("del") if compat else F.col("depth")

@@ -91,8 +91,9 @@ def k_grid_losses(pairs: DataFrame, mod: str = "m_mut", unmod: str = "u_mut", lo
     """k, loss over a grid of k: the features of the highest tenth against the 40-60 % band of modified rates.
 
     Thresholds are exact order statistics from value counts (85 % and 30-50 %
-    where a band has fewer than 10 rows); the grid is a table of constants that
-    meets only the rows' combined sums.
+    where a band has fewer than 10 rows). Rows are combined to sums by the grid
+    point up to which they count, a row a point at most; the grid meets only
+    these.
     """
     vc = value_counts(pairs, [], mod)
     n = F.col("n")
@@ -107,11 +108,19 @@ def k_grid_losses(pairs: DataFrame, mod: str = "m_mut", unmod: str = "u_mut", lo
     use = (F.col("c0") >= 10) & (F.col("c1") >= 10)
     can = use | ((F.col("c2") >= 10) & (F.col("c3") >= 10))
     rows = rows.where(can).withColumn("is_high", F.when(use, strict[0]).otherwise(loose[0])).withColumn("is_low", F.when(use, strict[1]).otherwise(loose[1]))
-    grid = rows.sparkSession.range(int(round((high - low) / step)) + 1).select((F.lit(low) + F.col("id") * F.lit(step)).alias("k"))
-    x = rows.crossJoin(F.broadcast(grid)).withColumn("r", F.greatest(F.col("m") - F.col("k") * F.col("u"), F.lit(0.0)))
-    f = x.groupBy("k").agg(
-        F.avg(F.when(F.col("is_high"), F.col("r"))).alias("hi"), F.avg(F.when(F.col("is_low"), F.col("r"))).alias("lo"), F.avg("r").alias("every"), F.avg(F.when(F.col("is_high"), F.col("m"))).alias("hi_m")
-    )
+    # m - k u is above 0 for the grid points below m / u: sums by the last of these points, then for each k over the rows that reach it
+    points = int(round((high - low) / step)) + 1
+    last = F.when(F.col("u") > 0, F.ceil((F.col("m") / F.col("u") - low) / step) - 1).otherwise(F.when(F.col("m") > 0, F.lit(points - 1)).otherwise(F.lit(-1)))
+    rows = rows.withColumn("last", F.greatest(F.lit(-1), F.least(last, F.lit(points - 1))).cast("int"))
+    sets = {"hi": F.col("is_high"), "lo": F.col("is_low"), "every": F.lit(True)}
+    sums = [F.sum(F.when(c, F.col(v))).alias(f"{v}_{n}") for n, c in sets.items() for v in ("m", "u")] + [F.sum(c.cast("long")).alias(f"n_{n}") for n, c in sets.items()]
+    table = rows.groupBy("last").agg(*sums)
+    whole = table.agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in sets], F.sum("m_hi").alias("m_hi"))
+    grid = rows.sparkSession.range(points).select(F.col("id").alias("i"), (F.lit(low) + F.col("id") * F.lit(step)).alias("k"))
+    reach = grid.join(F.broadcast(table.select("last", *[f"{v}_{n}" for n in sets for v in ("m", "u")])), F.col("last") >= F.col("i"), "left")
+    part = lambda n: F.coalesce(F.sum(f"m_{n}"), F.lit(0.0)) - F.col("k") * F.coalesce(F.sum(f"u_{n}"), F.lit(0.0))
+    f = reach.groupBy("k").agg(*[part(n).alias(n) for n in sets]).crossJoin(F.broadcast(whole))
+    f = f.select("k", *[(F.col(n) / F.col(f"n_{n}")).alias(n) for n in sets], (F.col("m_hi") / F.col("n_hi")).alias("hi_m"))
     feature = {"vs_low": F.col("hi") / F.col("lo"), "vs_overall": F.col("hi") / F.col("every"), "correction": F.when(F.col("hi_m") > 0, F.col("hi") / F.col("hi_m")).otherwise(0.0)}
     f = f.where((F.col("lo") > 0) & (F.col("every") > 0))
     return f.select("k", sum(FEATURE_WEIGHTS[c] * feature_loss(e, c) for c, e in feature.items()).alias("loss"))

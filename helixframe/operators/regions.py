@@ -14,6 +14,9 @@ from . import stats
 
 GROUP = ["chr", "strand"]
 
+#: Tasks that share a strand's shuffles.
+SHARES = 8
+
 
 def window_tests(pairs: DataFrame, radius: int = 2, keys: list[str] = GROUP, compat: bool = False) -> DataFrame:
     """keys, pos, p_value: signed-rank test over the ``2 radius + 1`` neighbours (by rank of position) of each site.
@@ -45,24 +48,28 @@ def scan_q(sites: DataFrame, min_len: int = 5, max_len: int = 50, keys: list[str
 def q_threshold(sites: DataFrame, alpha: float = 0.05, iterations: int = 200, min_len: int = 5, max_len: int = 50, seed: int = 0, keys: list[str] = GROUP) -> DataFrame:
     """keys, threshold: the (1 - alpha) order statistic of the greatest q of shuffled sites.
 
-    Shuffles are seeded by (keys, seed, iteration), so results are repeatable;
-    iterations are dealt over tasks, each of which holds one strand's p-values.
+    Shuffles are seeded by (keys, seed, iteration), so results are repeatable.
+    A strand's p-values go to SHARES tasks, each of which makes a share of the
+    shuffles; the strand must fit a task.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         name = [g[k].iloc[0] for k in keys]
-        it = int(g["iteration"].iloc[0])
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(repr((name, seed, it)).encode()).digest()[:8], "little"))
         p = g.sort_values("pos")["p_value"].to_numpy()
-        v = np.where(p > 0, -np.log(np.where(p > 0, p, 1.0)), 0.0)
-        rng.shuffle(v)
-        pre = np.concatenate([[0.0], np.cumsum(v)])
-        best = max((float((pre[n:] - pre[:-n]).max()) / n**0.5 for n in range(min_len, min(max_len, len(v)) + 1)), default=float("-inf"))
-        return pd.DataFrame([{**dict(zip(keys, name, strict=True)), "iteration": it, "q": best}])
+        sorted_v = np.where(p > 0, -np.log(np.where(p > 0, p, 1.0)), 0.0)
+        out = []
+        for it in range(int(g["share"].iloc[0]), iterations + 1, SHARES):
+            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(repr((name, seed, it)).encode()).digest()[:8], "little"))
+            v = sorted_v.copy()
+            rng.shuffle(v)
+            pre = np.concatenate([[0.0], np.cumsum(v)])
+            best = max((float((pre[n:] - pre[:-n]).max()) / n**0.5 for n in range(min_len, min(max_len, len(v)) + 1)), default=float("-inf"))
+            out.append({**dict(zip(keys, name, strict=True)), "iteration": it, "q": best})
+        return pd.DataFrame(out, columns=[*keys, "iteration", "q"])
 
     schema = ", ".join(f"{k} {sites.schema[k].dataType.simpleString()}" for k in keys)
-    tries = sites.select(*keys, "pos", "p_value", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
-    maxima = tries.groupBy(*keys, "iteration").applyInPandas(run, f"{schema}, iteration int, q double").where(F.col("q") > float("-inf"))
+    tries = sites.select(*keys, "pos", "p_value", F.explode(F.sequence(F.lit(1), F.lit(min(SHARES, iterations)))).alias("share"))
+    maxima = tries.groupBy(*keys, "share").applyInPandas(run, f"{schema}, iteration int, q double").where(F.col("q") > float("-inf"))
     r = maxima.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("q")) - 1).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
     return r.groupBy(*keys).agg(F.min(F.when(F.col("i") == F.round((1.0 - alpha) * (F.col("n") - 1)), F.col("q"))).alias("threshold"))
 
@@ -83,10 +90,17 @@ def site_scores(pairs: DataFrame) -> DataFrame:
 def deltashape_regions(pairs: DataFrame, min_len: int = 5, max_len: int = 50, keys: list[str] = GROUP, compat: bool = False) -> DataFrame:
     """Runs of sites that start at a hit (``compat``: at each open site, hit or not), take up to ``max_len`` sites, end at the first miss after a hit, and hold hits in half their length.
 
-    keys, start, end, z_factor, z_score (greatest of the run), hits. A run's
-    end decides where the next begins, so a strand is one pandas call on four
-    numbers per site.
+    keys, start, end, z_factor, z_score (greatest of the run), hits. Runs that
+    start at hits are the runs of hits, cut every ``max_len`` sites: window
+    functions over the hits. With ``compat``, a run's end decides where the
+    next begins, so a strand is one pandas call on four numbers per site.
     """
+    if not compat:
+        w = W.partitionBy(*keys).orderBy("pos")
+        h = site_scores(pairs).withColumn("_i", F.row_number().over(w)).where("hit").withColumn("_run", F.col("_i") - F.row_number().over(w))
+        h = h.withColumn("_part", F.floor((F.row_number().over(W.partitionBy(*keys, "_run").orderBy("pos")) - 1) / max_len))
+        g = h.groupBy(*keys, "_run", "_part").agg(F.min("pos").cast("int").alias("start"), F.max("pos").cast("int").alias("end"), F.max("z_factor").alias("z_factor"), F.max("z_score").alias("z_score"), F.count("*").cast("int").alias("hits"))
+        return g.where(F.col("hits") >= min_len).drop("_run", "_part")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pos")
@@ -98,9 +112,6 @@ def deltashape_regions(pairs: DataFrame, min_len: int = 5, max_len: int = 50, ke
             if not len(hits):
                 at += 1  # nothing ahead within reach: this site alone
                 continue
-            if not compat:
-                at += int(hits[0])
-                stop, hits = min(at + max_len, len(pos)), hits[:1] * 0
             misses = np.flatnonzero(~hit[at + hits[0] : stop])
             last = at + hits[0] + (int(misses[0]) if len(misses) else stop - at - int(hits[0])) - 1
             n = int(hit[at : last + 1].sum())

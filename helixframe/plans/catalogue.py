@@ -83,14 +83,20 @@ def _nan_null(df: DataFrame, *cols: str) -> DataFrame:
 # ---------------------------------------------------------------- pileup
 
 
+def _merged(spark, d, where: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Pileup of the single counts of line items, added up by the operator; rows with depth."""
+    items = view(spark, d, "items_").where(where).withColumn("base", F.lit("N"))
+    return pileup.merge_pileups(items, by).where("depth > 0").select(*KEY, *by, "mut_count", "stop_count", "depth")
+
+
 @query("select chr, strand, pos, mut_count, stop_count, depth from pileup_mod_ where depth > 0", "pileup_mod_")
 def pileup_mod(spark, d):
-    return _mod(spark, d).where("depth > 0").select(*KEY, "mut_count", "stop_count", "depth")
+    return _merged(spark, d, "is_mod = 1")
 
 
 @query("select chr, strand, pos, mut_count, stop_count, depth from pileup_unmod_ where depth > 0", "pileup_unmod_")
 def pileup_unmod(spark, d):
-    return _unmod(spark, d).where("depth > 0").select(*KEY, "mut_count", "stop_count", "depth")
+    return _merged(spark, d, "is_mod = 0")
 
 
 @query("select chr, strand, pos, mut_count, stop_count, depth from pileup_mod_ where strand = '+'", "pileup_mod_")
@@ -100,7 +106,7 @@ def pileup_strand_filter(spark, d):
 
 @query("select chr, strand, pos, cell, mut_count, stop_count, depth from pileup_cell_", "pileup_cell_")
 def pileup_by_cell(spark, d):
-    return view(spark, d, "pileup_cell_").select(*KEY, "cell", "mut_count", "stop_count", "depth")
+    return _merged(spark, d, "true", ["cell"])
 
 
 @query("select chr, strand, pos, cast(sum(mut_count) as bigint) as mut_count, cast(sum(stop_count) as bigint) as stop_count, cast(sum(depth) as bigint) as depth from pileup_cell_ group by 1, 2, 3", "pileup_cell_")
@@ -211,7 +217,9 @@ def kfactor_grid(spark, d):
     return _round(reactivity.k_grid_losses(_pairs(spark, d)))
 
 
-@query()
+@query(
+    ORACLES["kfactor_grid"].replace("select round(k, 6) as k, round(2.5 *", "select round(k, 6) as k, round(round(2.5 *").replace(", 6) as loss from f where l > 0 and e > 0", ", 9), 6) as loss from f where l > 0 and e > 0 order by loss, k limit 1")
+)
 def kfactor_distribution(spark, d):
     return _round(reactivity.k_distribution(_pairs(spark, d)))
 
@@ -297,7 +305,13 @@ def norm_linear(spark, d):
     return _normal(spark, d, "winsor90", linear=True)
 
 
-@query()
+@query(
+    """with o as (select chr, strand, pos, stop as v, (row_number() over (partition by chr, strand order by pos) - 1) // 50 as w from signal_ where not masked),
+r as (select *, row_number() over (partition by chr, strand, w order by v) - 1 as i, count(*) over (partition by chr, strand, w) as n from o),
+t as (select chr, strand, w, max(n) as n, max(case when i = floor(n * 0.05) then v end) as lo, max(case when i = least((n * 95 + 99) // 100, n - 1) then v end) as hi from r group by 1, 2, 3)
+select o.chr, o.strand, o.pos, round(case when n >= 2 then least(greatest(v, lo), hi) / greatest(hi, 1e-6) else v end, 6) as reactivity_stop from o join t on o.chr = t.chr and o.strand = t.strand and o.w = t.w""",
+    "signal_",
+)
 def norm_dynamic(spark, d):
     r = _siegfried(spark, d).where(~F.isnan("reactivity_stop")).select(*KEY, "reactivity_stop")
     return _round(norm.dynamic_windows(r, "reactivity_stop"))
@@ -385,12 +399,32 @@ def bias_factor(spark, d):
     return _mod(spark, d).select(*KEY, F.round(f, 6).alias("factor"), C.corrected_depth(depth, f).alias("effective_depth"))
 
 
-@query()
+#: The fit as the least point of the grid: right where that is no edge, or the error falls all the way to the edge, as on these tables.
+_FIT = (
+    ORACLES["bias_grid_fit"].replace(" select round(scale, 6) as scale, round(a, 4) as a, round(yy - 2 * a * yg + a * a * gg, 6) as sse from a", "").replace("\nselect round(scale, 6) as scale, round(a, 4) as a, round(yy - 2 * a * yg + a * a * gg, 6) as sse from a", "")
+    + """,
+fit as (select scale, a from a order by yy - 2 * a * yg + a * a * gg, scale limit 1),
+line as (select a * 0.5 * exp(-greatest(id * 1.2 * hi / 199, 1e-10) / (2 * scale)) as y, row_number() over (order by id desc) - 1 as i from fit, e, range(200) t(id)),
+target as (select avg(y) as target from line where i in (99, 100)),
+c as (select chr, strand, pos, depth, depth::double as d, case when depth > 0 then mut_count::double / depth else 0 end as r, a * 0.5 * exp(-greatest(depth::double, 1e-10) / (2 * scale)) as y, target from pileup_mod_, fit, target),
+f as (select *, case when d > 1000 then 0.88 + 0.12 / (1 + pow(d / 500.0, 2)) - 0.08 * log10(d / 1000.0) else 0.88 + 0.12 / (1 + pow(d / 500.0, 2)) end as b from c),
+k as (select *, case when y > target then 1 + sqrt((y - target) / target) else least(greatest(b + (1 - b) * log2(1 + y / target), 0.5), 1.0) end as k from f)
+select chr, strand, pos, depth, case when r > 0 and r <= 0.1 then greatest(round(d * least(greatest(k, 0.5), 10.0))::bigint, 1) else greatest(depth, 1) end as effective_depth from k"""
+)
+
+
+@query(_FIT)
 def bias_correct(spark, d):
     return bias.correct(_full(_mod(spark, d))).select(*KEY, "depth", "effective_depth")
 
 
-@query()
+@query(
+    """with x as (select chr, strand, pos, depth, depth::double as d, case when depth > 0 then mut_count::double / depth else 0 end as r, 0.15 * 0.5 * exp(-greatest(depth::double, 1e-10) / 400.0) as y from pileup_mod_),
+f as (select *, case when d > 1000 then greatest(0.88 + 0.12 / (1 + pow(d / 500.0, 2)) - 0.08 * log10(d / 1000.0), 0.5) else 0.88 + 0.12 / (1 + pow(d / 500.0, 2)) end as b from x),
+k as (select *, least(greatest(case when y > 0.015 then 1 + sqrt((y - 0.015) / 0.015) else b + (1 - b) * log2(1 + y / 0.015) * 0.5 end, 0.5), 10.0) as k from f)
+select chr, strand, pos, depth, case when r > 0 and r <= 0.1 then greatest(trunc(d * k)::bigint, 1) else depth end as effective_depth from k""",
+    "pileup_mod_",
+)
 def bias_fixed(spark, d):
     return bias.correct_fixed(_full(_mod(spark, d))).select(*KEY, "depth", "effective_depth")
 
@@ -423,9 +457,9 @@ _P = f"2 * (1 - 0.5 * (1 + {_ERF}))"
 
 @query(
     f"""with g as (select chr, strand, pos, count(*) filter (grp = 1) as n1, count(*) filter (grp = 2) as n2, avg(value) filter (grp = 1) as m1, avg(value) filter (grp = 2) as m2, var_samp(value) filter (grp = 1) as v1, var_samp(value) filter (grp = 2) as v2 from replicates_ group by 1, 2, 3),
-p as (select *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) as pv from g where n1 >= 2 and n2 >= 2),
-s as (select *, case when pv > 0 then (m1 - m2) / sqrt(pv * (1.0 / n1 + 1.0 / n2)) else 0 end as st from p), z as (select *, abs(st) as z, 1 / (1 + 0.3275911 * abs(st) / sqrt(2.0)) as t from s)
-select chr, strand, pos, round(st, 6) as statistic, round({_P}, 6) as p_value from z""",
+p as (select *, case when n1 >= 2 and n2 >= 2 then ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) end as pv from g),
+s as (select *, case when n1 >= 2 and n2 >= 2 and pv > 0 then (m1 - m2) / sqrt(pv * (1.0 / n1 + 1.0 / n2)) else 0 end as st from p), z as (select *, abs(st) as z, 1 / (1 + 0.3275911 * abs(st) / sqrt(2.0)) as t from s)
+select chr, strand, pos, round(st, 6) as statistic, case when n1 >= 2 and n2 >= 2 then round({_P}, 6) else 1 end::double as p_value from z""",
     "replicates_",
 )
 def compare_replicates_ttest(spark, d):
@@ -451,9 +485,9 @@ p as (select chr, strand, pos, pair, max(value) filter (grp = 1) as a, max(value
 w as (select chr, strand, pos, max((a is null or b is null)::int) as odd from p group by 1, 2, 3),
 r as (select *, a - b as d, rank() over (partition by chr, strand, pos order by abs(a - b)) + (count(*) over (partition by chr, strand, pos, abs(a - b)) - 1) / 2.0 as rk from p where a <> b),
 g as (select chr, strand, pos, sum(case when d > 0 then rk else 0 end) as wp, sum(case when d < 0 then rk else 0 end) as wm, count(*) as n from r group by 1, 2, 3),
-s as (select g.*, least(wp, wm) as st from g join w on g.chr = w.chr and g.strand = w.strand and g.pos = w.pos where odd = 0),
+s as (select w.chr, w.strand, w.pos, case when odd = 0 then n end as n, case when odd = 0 then least(wp, wm) end as st from w left join g on g.chr = w.chr and g.strand = w.strand and g.pos = w.pos),
 z as (select *, abs((st - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0)) as z from s), t as (select *, 1 / (1 + 0.3275911 * z / sqrt(2.0)) as t from z)
-select chr, strand, pos, round(st, 6)::double as statistic, round({_P}, 6) as p_value from t""",
+select chr, strand, pos, coalesce(round(st, 6)::double, 0) as statistic, coalesce(round({_P}, 6), 1) as p_value from t""",
     "replicates_",
 )
 def compare_wilcoxon(spark, d):
@@ -507,7 +541,7 @@ def _series(spark, d):
 @query(
     """with s as (select chr, strand, pos, abs(m_stop - u_stop) as d, row_number() over (partition by chr, strand order by pos) as i, 1 / (1 + 20 * abs(m_stop - u_stop)) as p from rates_),
 c as (select *, sum(-ln(p)) over (partition by chr, strand order by pos) as upto from s),
-q as (select a.chr, a.strand, a.pos as s0, b.pos as e0, l.id as len, (b.upto - a.upto - ln(a.p)) / sqrt(l.id) as q from c a, range(5, 13) l(id), c b where a.chr = b.chr and a.strand = b.strand and b.i = a.i + l.id - 1)
+q as (select a.chr, a.strand, a.pos as s0, b.pos as e0, l.id as len, (b.upto - a.upto - ln(a.p)) / sqrt(l.id) as q from c a, range(5, 51) l(id), c b where a.chr = b.chr and a.strand = b.strand and b.i = a.i + l.id - 1)
 select chr, strand, cast(count(*) as bigint) as windows, round(max(q), 6) as top from q group by 1, 2""",
     "rates_",
 )
@@ -516,7 +550,15 @@ def scan_q_top(spark, d):
     return _round(regions.scan_q(s).groupBy(*GROUP).agg(F.count("*").alias("windows"), F.max("q").alias("top")))
 
 
-@query()
+@query(
+    f"""with s as (select chr, strand, pos, m_stop as a, u_stop as b, row_number() over (partition by chr, strand order by pos) as i from rates_),
+p as (select c.chr, c.strand, c.pos, s.a - s.b as d from s c join s on c.chr = s.chr and c.strand = s.strand and s.i between c.i - 2 and c.i + 2 where s.a <> s.b),
+r as (select *, rank() over (partition by chr, strand, pos order by abs(d)) + (count(*) over (partition by chr, strand, pos, abs(d)) - 1) / 2.0 as rk from p),
+g as (select chr, strand, pos, sum(case when d > 0 then rk else 0 end) as wp, sum(case when d < 0 then rk else 0 end) as wm, count(*) as n from r group by 1, 2, 3),
+z as (select *, abs((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0)) as z from g), t as (select *, 1 / (1 + 0.3275911 * z / sqrt(2.0)) as t from z)
+select s.chr, s.strand, s.pos, coalesce(round({_P}, 6), 1) as p_value from s left join t on s.chr = t.chr and s.strand = t.strand and s.pos = t.pos""",
+    "rates_",
+)
 def window_wilcoxon(spark, d):
     return _round(regions.window_tests(_series(spark, d)))
 
@@ -526,7 +568,14 @@ def mc_threshold(spark, d):
     return _round(regions.q_threshold(regions.window_tests(_series(spark, d))))
 
 
-@query()
+@query(
+    """with s as (select chr, strand, pos, m_stop as a, u_stop as b, abs(m_stop - u_stop) as d, row_number() over (partition by chr, strand order by pos) as i from rates_),
+z as (select *, case when d = 0 then 0 else 1 - 1.96 * 0.1 * (a + b) / d end as zf, d / 0.1 as zs from s),
+h as (select *, i - row_number() over (partition by chr, strand order by pos) as run from z where zf > 0 and zs >= 1.0),
+c as (select *, (row_number() over (partition by chr, strand, run order by pos) - 1) // 50 as part from h)
+select chr, strand, min(pos)::int as "start", max(pos)::int as "end", round(max(zf), 6) as z_factor, round(max(zs), 6) as z_score, count(*)::int as hits from c group by chr, strand, run, part""",
+    "rates_",
+)
 def deltashape_regions(spark, d):
     return _round(regions.deltashape_regions(_series(spark, d), min_len=1))
 
@@ -620,7 +669,7 @@ def _shifted(spark, d):
 
 
 _SHIFT = """with s as (select g.chr, g.strand, g.pos, replace(t.base, 'U', 'T') as b from signal_ g join structure_ t on t.pos - 3 = g.pos),
-m as (select s.chr, s.strand, h.id as shift, sum((s.b = replace(t.base, 'U', 'T'))::int)::bigint as matches, count(*)::bigint as checked from s, range(-8, 9) h(id), structure_ t where t.pos = s.pos + h.id group by 1, 2, 3)"""
+m as (select s.chr, s.strand, h.id as shift, sum((s.b = replace(t.base, 'U', 'T'))::int)::bigint as matches, count(*)::bigint as checked from s, range(-20, 21) h(id), structure_ t where t.pos = s.pos + h.id group by 1, 2, 3)"""
 
 
 @query(_SHIFT + " select chr, strand, shift::int as shift, matches, checked from m", "signal_", "structure_")
@@ -640,13 +689,31 @@ def structure_join_by_base(spark, d):
     return _round(evaluate.label(r, st, bases="AC").select(*KEY, "sbase", "is_single", "reactivity_stop"))
 
 
-@query()
+@query(
+    _SHIFT.replace("t.pos - 3 = g.pos", "t.pos = g.pos") + """, b as (select chr, strand, shift, row_number() over (partition by chr, strand order by matches desc, shift) as i from m),
+l as (select g.chr, g.strand, u.signal, u.v, t.is_single from signal_ g join structure_ o on o.pos = g.pos join b on b.chr = g.chr and b.strand = g.strand and b.i = 1 join structure_ t on t.pos = g.pos + b.shift,
+  lateral (values ('reactivity_stop', g.stop), ('reactivity_mutation', g.mutation)) u(signal, v) where not masked),
+g as (select chr, strand, signal, v, sum(is_single::int) as p, sum((not is_single)::int) as q from l group by 1, 2, 3, 4),
+c as (select *, sum(p) over w as tp, sum(q) over w as fp, sum(p) over k as p0, sum(q) over k as q0 from g window w as (partition by chr, strand, signal order by v desc), k as (partition by chr, strand, signal)),
+x as (select *, tp / p0 as tpr, fp / q0 as fpr, tp / (tp + fp) as pr from c where p0 > 0 and q0 > 0),
+y as (select *, tpr - fpr as youden, case when tp > 0 then 2 * pr * tpr / (pr + tpr) else 0 end as f1, tpr > 0 and tpr < 1 and fpr > 0 and fpr < 1 as inside from x),
+n as (select *, row_number() over (partition by chr, strand, signal order by inside desc, case when inside then youden else f1 end desc, v desc) as i from y),
+a as (select chr, strand, signal, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) as auc, sum(p)::bigint as positives, sum(q)::bigint as negatives, sum(pr * p) / sum(p) as average_precision from x group by 1, 2, 3)
+select a.chr, a.strand, a.signal, round(auc, 6) as auc, positives, negatives, round(average_precision, 6) as average_precision, round(v, 6) as threshold, round(tpr, 6) as tpr, round(fpr, 6) as fpr, round(pr, 6) as precision, round(f1, 6) as f1, round(youden, 6) as youden,
+  auc = max(auc) over (partition by a.chr, a.strand) as better from a join n on a.chr = n.chr and a.strand = n.strand and a.signal = n.signal and n.i = 1""",
+    "signal_", "structure_",
+)
 def evaluate_both_signals(spark, d):
     r = _siegfried(spark, d).drop("base").join(view(spark, d, "structure_").select("pos", "base"), "pos")
     return _round(evaluate.both_signals(r, view(spark, d, "structure_"), keys=GROUP))
 
 
-@query()
+@query(
+    _LABELLED + """, e as (select chr, strand, min(v) as lo, max(v) as hi from l group by 1, 2), t as (select chr, strand, lo + (id / 100.0::double) * (hi - lo) as th from e, range(101) r(id))
+select l.chr, l.strand, round(th, 6) as threshold, sum((v >= th and is_single)::int)::bigint as tp, sum((v >= th and not is_single)::int)::bigint as fp, sum((v < th and not is_single)::int)::bigint as tn, sum((v < th and is_single)::int)::bigint as fn
+from l join t on l.chr = t.chr and l.strand = t.strand group by l.chr, l.strand, th""",
+    "signal_", "structure_",
+)
 def roc_grid101(spark, d):
     return _round(evaluate.grid_curve(_labelled(spark, d), "reactivity_mutation", 101, GROUP))
 
@@ -709,7 +776,7 @@ def _transcripts(spark, d):
 
 
 @query(
-    """with e as (select 'c' || (p_partkey % 3) as seqname, p_partkey % 60 * 4 + 1 as s, p_partkey % 60 * 4 + p_size as e, case when p_partkey % 2 = 0 then '+' else '-' end as strand, 't' || (p_partkey % 20) as transcript_id from part where p_partkey <= 300),
+    """with e as (select 'c' || (p_partkey % 3) as seqname, p_partkey % 60 * 4 + 1 as s, p_partkey % 60 * 4 + p_size as e, case when p_partkey % 2 = 0 then '+' else '-' end as strand, 't' || (p_partkey % 20) as transcript_id from part),
 q as (select *, substr(repeat('ACGT', 103), s::int, (e - s + 1)::int) as part from e),
 t as (select transcript_id, max(strand) as strand, count(*)::int as n_exons, string_agg(part, '' order by s, e, part) as seq from q group by 1)
 select transcript_id, strand, n_exons, length(seq)::int as length, case when strand = '-' then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as seq from t where length(seq) > 0"""
@@ -736,7 +803,7 @@ def _events(spark, d):
     return e.join(_sites(spark, d).select(*KEY), KEY, "left_semi")
 
 
-_SITES = """with sites as (select chr, strand, pos, stop, mutation from signal_ where not masked and pos <= 500),
+_SITES = """with sites as (select chr, strand, pos, stop, mutation from signal_ where not masked),
 bounds as (select chr, strand, min(pos) as s0, max(pos) as e0 from sites group by 1, 2),
 win as (select distinct chr, strand, w as win_start, least(w + 99, e0) as win_end from (select chr, strand, e0, unnest(list_append(range(s0, greatest(e0, s0 + 1), 50), e0)) as w from bounds))"""
 _FEATURES = _SITES + """, ev as (select distinct chr, strand, read_id, pos, kind from (select chr, strand, read_id, mut_pos as pos, 'mutation' as kind from reads_ union all select chr, strand, read_id, stop_pos, 'stop' from reads_) e
@@ -766,7 +833,7 @@ def duet_feature_counts(spark, d):
 
 
 @query(
-    """with h as (select chr, strand, pos from signal_ where not masked and pos <= 500 and stop > 0.01),
+    """with h as (select chr, strand, pos from signal_ where not masked and stop > 0.01),
 n as (select *, case when pos - lag(pos) over (partition by chr, strand order by pos) <= 4 then 0 else 1 end as fresh from h), r as (select *, sum(fresh) over (partition by chr, strand order by pos) as run from n),
 c as (select *, count(*) over (partition by chr, strand, run) as k from r) select chr, strand, pos from c where k >= 3""",
     "signal_",
@@ -801,12 +868,31 @@ def _duet(spark, d):
     return duet.analyse(_events(spark, d), _sites(spark, d))
 
 
-@query()
+_CLUSTERS = _FEATURES + """, fc as (select chr, strand, win_start, stops, mutations, (stops > 0 and mutations > 0)::int as both, count(*)::bigint as reads from feat group by 1, 2, 3, 4, 5, 6),
+mo as (select chr, strand, win_start, sum(reads)::double as n, """ + ", ".join(f'sum("{c}" * reads)::double / sum(reads) as m_{c}, sqrt(greatest(sum("{c}" * "{c}" * reads)::double / sum(reads) - pow(sum("{c}" * reads)::double / sum(reads), 2), 0)) as d_{c}' for c in ("stops", "mutations", "both")) + """ from fc group by 1, 2, 3),
+pt as (select chr, strand, win_start, n, stops, mutations, "both", reads, row_number() over (partition by chr, strand, win_start order by stops, mutations, "both") as i, """ + ", ".join(f'("{c}" - m_{c}) / case when d_{c} < 1e-6 then 1 else d_{c} end as z_{c}' for c in ("stops", "mutations", "both")) + """ from fc join mo using (chr, strand, win_start)),
+pr as (select a.chr, a.strand, a.win_start, a.i, b.i as j, b.reads from pt a join pt b using (chr, strand, win_start) where pow(a.z_stops - b.z_stops, 2) + pow(a.z_mutations - b.z_mutations, 2) + pow(a.z_both - b.z_both, 2) <= 0.75 * 0.75 + 1e-12),
+co as (select chr, strand, win_start, i from pr group by 1, 2, 3, 4 having sum(reads) >= 5),
+ed as (select chr, strand, win_start, i, j from pr join co using (chr, strand, win_start, i) semi join (select chr, strand, win_start, i as j from co) c2 using (chr, strand, win_start, j)),
+re as (select chr, strand, win_start, i, i as seen from co union select re.chr, re.strand, re.win_start, re.i, ed.j from re join ed on re.chr = ed.chr and re.strand = ed.strand and re.win_start = ed.win_start and re.seen = ed.i),
+ro as (select chr, strand, win_start, i, min(seen) as root from re group by 1, 2, 3, 4),
+nu as (select chr, strand, win_start, i, dense_rank() over (partition by chr, strand, win_start order by root) as k from ro),
+la as (select chr, strand, win_start, pr.i, min(k) as k from pr join nu using (chr, strand, win_start) where nu.i = pr.j group by 1, 2, 3, 4),
+cl as (select pt.chr, pt.strand, pt.win_start::int as win_start, stops, mutations, "both", reads, (case when n < 5 then 1 else coalesce(nu.k, la.k, 0) end)::int as cluster,
+  case when n < 5 then 'insufficient_reads' when max(coalesce(nu.k, la.k, 0)) over (partition by pt.chr, pt.strand, pt.win_start) > 0 then 'ok' else 'low_density' end as status
+  from pt left join nu using (chr, strand, win_start, i) left join la using (chr, strand, win_start, i))"""
+
+
+@query(_CLUSTERS + " select * from cl", "signal_", "reads_", recursive=True)
 def duet_dbscan(spark, d):
     return duet.cluster_windows(duet.read_features(_events(spark, d), _sites(spark, d)))
 
 
-@query()
+@query(
+    _CLUSTERS + """ select chr, strand, win_start, cluster, sum(reads)::bigint as reads, round(sum(stops * reads)::double / sum(reads), 6) as mean_stops, round(sum(mutations * reads)::double / sum(reads), 6) as mean_mutations, round(sum("both" * reads)::double / sum(reads), 6) as dual_share,
+  any_value(status) as status, round(sum(reads)::double / sum(sum(reads)) over (partition by chr, strand, win_start), 6) as occupancy, cluster = 0 as noise from cl group by chr, strand, win_start, cluster""",
+    "signal_", "reads_", recursive=True,
+)
 def duet_cluster_summary(spark, d):
     return _round(duet.cluster_summary(duet.cluster_windows(duet.read_features(_events(spark, d), _sites(spark, d)))))
 

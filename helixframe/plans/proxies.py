@@ -27,6 +27,8 @@ CTE = {
     "pileup_mod_": _PILEUP.format(extra="", where="where l_linenumber % 2 = 1", group=""),
     "pileup_unmod_": _PILEUP.format(extra="", where="where l_linenumber % 2 = 0", group=""),
     "pileup_cell_": _PILEUP.format(extra=", concat('RHX', cast(l_linenumber as string)) as cell", where="", group=", 4"),
+    "items_": """select concat('chr', cast(l_suppkey % 3 as string)) as chr, case when l_linestatus = 'O' then '+' else '-' end as strand, cast(l_partkey as int) as pos, concat('RHX', cast(l_linenumber as string)) as cell,
+        cast(l_linenumber % 2 as int) as is_mod, cast(case when l_discount >= 0.07 then 1 else 0 end as bigint) as mut_count, cast(case when l_tax >= 0.06 then 1 else 0 end as bigint) as stop_count, cast(l_quantity as bigint) as depth from lineitem""",
     "structure_": "select cast(p_partkey as int) as pos, substring('ACGU', cast(p_size % 4 as int) + 1, 1) as base, p_size > 25 as is_single from part",
     "genes_": """select concat('chr', cast(n_regionkey % 3 as string)) as seqname, cast(1 + n_nationkey * 80 as bigint) as g_start, cast(120 + n_nationkey * 80 as bigint) as g_end,
         case when n_nationkey % 2 = 0 then '+' else '-' end as g_strand, concat('gene', cast(n_nationkey as string)) as gene_id from nation""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -69,13 +72,82 @@ def unpivot_signals(df: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """contig (first word of the header), seq (upper case). A record is one row, so it must fit one."""
-    raw = spark.read.option("lineSep", ">").text(path)
+    """contig (first word of the header), seq (upper case). A record is one row, so it must fit one; ``read_reference`` has no such limit."""
+    raw = spark.read.option("lineSep", "\n>").text(path)
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n", 2)
-    out = raw.select(F.regexp_extract(F.element_at(lines, 1), r"^(\S+)", 1).alias("contig"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), r"\s", "")).alias("seq"))
+    out = raw.select(F.regexp_extract(F.element_at(lines, 1), r"^>?(\S+)", 1).alias("contig"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), r"\s", "")).alias("seq"))
     return out.where("contig <> ''")
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """file, block (place of the split in the file), value: lines, in order within each split."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _block_runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[str]]]:
+    file, block, value = (batch.column(i) for i in range(3))
+    files, blocks = file.to_pylist(), block.to_pylist()
+    edge = [0, *(i for i in range(1, len(files)) if (files[i], blocks[i]) != (files[i - 1], blocks[i - 1])), len(files)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if b > a:
+            yield files[a], blocks[a], value.slice(a, b - a).to_pylist()
+
+
+def read_reference(spark: SparkSession, path: str, piece: int = 1 << 16) -> DataFrame:
+    """contig, start (0-based), seq (upper case): FASTA records in pieces of about ``piece`` bases, so that a contig needs no row of its own size.
+
+    Files are read in splits, twice: first the bases after each header and at
+    the head of each split are counted, which gives every stretch its place,
+    then pieces are cut. Headers are lines that begin with '>'.
+    """
+
+    def stretches(batches: Iterator[pa.RecordBatch], out) -> Iterator[pa.RecordBatch]:
+        """``out`` gets (file, block, number of the stretch, its contig or None, its lines in a batch)."""
+        key, i, name = None, 0, None
+        for batch in batches:
+            for file, block, lines in _block_runs(batch):
+                if (file, block) != key:
+                    key, i, name = (file, block), 0, None
+                held: list[str] = []
+                for line in lines:
+                    if line.startswith(">"):
+                        yield from out(file, block, i, name, held)
+                        i, held = i + 1, []
+                        name = (line[1:].split() or [""])[0]
+                    else:
+                        held.append(line)
+                yield from out(file, block, i, name, held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "block", "i", "contig", "bases"]
+        row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], names)
+        yield from stretches(batches, lambda file, block, i, name, held: [row(file, block, i, name, sum(len("".join(x.split())) for x in held))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "block", "i", "offset", "seq"]
+        done: dict[str, object] = {"key": None, "at": 0}
+
+        def out(file, block, i, name, held):
+            if done["key"] != (file, block, i):
+                done.update(key=(file, block, i), at=0)
+            text = "".join("".join(x.split()) for x in held).upper()
+            for k in range(0, len(text), piece):
+                part = text[k : k + piece]
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([i], pa.int32()), pa.array([done["at"]], pa.int64()), pa.array([part])], names)
+                done["at"] += len(part)
+
+        yield from stretches(batches, out)
+
+    lines = _blocks(spark, path)
+    per = lines.mapInArrow(count, "file string, block long, i int, contig string, bases long").groupBy("file", "block", "i").agg(F.max("contig").alias("contig"), F.sum("bases").alias("bases"))
+    order = W.partitionBy("file").orderBy("block", "i")
+    per = per.withColumn("record", F.sum(F.col("contig").isNotNull().cast("long")).over(order)).withColumn("contig", F.last("contig", ignorenulls=True).over(order))
+    before = F.sum("bases").over(W.partitionBy("file", "record").orderBy("block", "i")) - F.col("bases")
+    place = per.select("file", "block", "i", "contig", before.alias("before")).where("contig is not null and contig <> ''")
+    pieces = lines.mapInArrow(cut, "file string, block long, i int, offset long, seq string")
+    return pieces.join(place, ["file", "block", "i"]).select("contig", (F.col("before") + F.col("offset")).alias("start"), "seq")
+
+
 def write_fasta(df: DataFrame, path: str, name: Column, seq: Column, width: int = 80) -> None:
     from ..functions.columns import wrap_fasta
 
@@ -142,9 +214,27 @@ def write_genes(extracted: DataFrame, path: str) -> None:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, value: lines numbered from 1 within each file, for formats in which order matters."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return whole.select("file", (F.col("n") + 1).alias("n"), "value")
+    """file, n, value: lines numbered from 1 within each file, for formats in which order matters.
+
+    Files are read in splits, twice: lines are counted per split, which gives
+    each split its first number, and numbered within it.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, i = None, 0
+        for batch in batches:
+            for file, block, lines in _block_runs(batch):
+                if (file, block) != key:
+                    key, i = (file, block), 0
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([block] * n, pa.int64()), pa.array(range(i + 1, i + n + 1), pa.int64()), pa.array(lines, pa.string())], ["file", "block", "i", "value"])
+                i += n
+
+    lines = _blocks(spark, path)
+    count = lines.groupBy("file", "block").agg(F.count("*").alias("c"))
+    base = count.select("file", "block", (F.sum("c").over(W.partitionBy("file").orderBy("block")) - F.col("c")).alias("base"))
+    rows = lines.mapInArrow(number, "file string, block long, i long, value string")
+    return rows.join(base, ["file", "block"]).select("file", (F.col("base") + F.col("i")).alias("n"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def last_in_order(value: Column, keys: list[str], order: str) -> Column:
