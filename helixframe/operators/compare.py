@@ -85,3 +85,58 @@ def reactivity_results(one: DataFrame, two: DataFrame, signal: str = "reactivity
     long = j.select(*KEY, F.explode(F.array(F.struct(F.lit(1).alias("grp"), F.col("value1").alias("value")), F.struct(F.lit(2).alias("grp"), F.col("value2").alias("value")))).alias("x")).select(*KEY, "x.grp", F.lit(0).alias("pair"), "x.value")
     d = j.withColumn("difference", F.col("value1") - F.col("value2")).withColumn("fold", C.fold_change(F.col("value1"), F.col("value2")))
     return d.join(stats.run_test(long, KEY, test, alpha), KEY)
+
+
+# ---------------------------------------------------------------- tables of fixed layout
+
+_SITE = [("chr", "ChrID"), ("strand", "Strand"), ("pos", "Position")]
+_TEST = [("statistic", "Test_Statistic"), ("p_value", "P_Value"), ("significant", "Significant"), ("effect_size", "Effect_Size")]
+
+#: Column and header of the tables that comparisons write.
+SAMPLES_LAYOUT = [
+    *_SITE, ("base", "RefBase"), ("mod_mut_count", "Mod_RFC"), ("mod_stop_count", "Mod_PIPC"), ("mod_depth", "Mod_Depth"), ("unmod_mut_count", "Unmod_RFC"), ("unmod_stop_count", "Unmod_PIPC"), ("unmod_depth", "Unmod_Depth"),
+    ("mutation_fold", "RFC_FoldChange"), ("stop_fold", "PIPC_FoldChange"), *_TEST, ("score", "Modification_Score"),
+]
+REPLICATES_LAYOUT = [
+    *_SITE, ("base", "RefBase"), ("mut_mean1", "Group1_Mean_RFC"), ("mean1", "Group1_Mean_PIPC"), ("depth1", "Group1_Mean_Depth"), ("mut_mean2", "Group2_Mean_RFC"), ("mean2", "Group2_Mean_PIPC"), ("depth2", "Group2_Mean_Depth"),
+    ("mutation_fold", "RFC_FoldChange"), ("fold", "PIPC_FoldChange"), *_TEST, ("score", "Modification_Score"),
+]
+REACTIVITY_LAYOUT = [
+    *_SITE, ("mean1", "{0}1_Mean{1}"), ("std1", "{0}1_Std{1}"), ("mean2", "{0}2_Mean{1}"), ("std2", "{0}2_Std{1}"), ("fold", "FoldChange"), *_TEST,
+]
+
+
+def layout(df: DataFrame, columns: list[tuple[str, str]], *names: str) -> DataFrame:
+    """The columns of a layout that ``df`` has, under their headers; flags as Yes and No."""
+    flag = lambda c: F.when(F.col(c), "Yes").otherwise("No") if c == "significant" else F.col(c)
+    return df.select(*[flag(c).alias(h.format(*names)) for c, h in columns if c in df.columns])
+
+
+def samples_table(mod: DataFrame, unmod: DataFrame, **options) -> DataFrame:
+    """``mod_vs_unmod`` in its layout: 17 columns with a test, 13 without."""
+    return layout(mod_vs_unmod(mod, unmod, **options), SAMPLES_LAYOUT)
+
+
+def replicates_table(group1: list[DataFrame], group2: list[DataFrame], **options) -> DataFrame:
+    """``replicates`` with the means of mutations and the base: 17 columns."""
+    out = replicates(group1, group2, **options)
+    m = group_summary(stack(group1, 1, "mut_count").unionByName(stack(group2, 2, "mut_count"))).select(*KEY, F.col("mean1").alias("mut_mean1"), F.col("mean2").alias("mut_mean2"))
+    base = reduce(DataFrame.unionByName, [t.select(*KEY, "base") for t in group1]).groupBy(*KEY).agg(F.min("base").alias("base"))
+    out = out.join(m, KEY).join(base, KEY).withColumn("mutation_fold", C.fold_change(F.col("mut_mean1"), F.col("mut_mean2")))
+    return layout(out.withColumn("score", C.modification_score(F.col("fold"), F.col("mutation_fold"))), REPLICATES_LAYOUT)
+
+
+def groups_table(group1: list[DataFrame], group2: list[DataFrame], **options) -> DataFrame:
+    """``reactivity_groups``: 12 columns."""
+    return layout(reactivity_groups(group1, group2, **options), REACTIVITY_LAYOUT, "Group", "_Reactivity")
+
+
+def results_table(results: DataFrame) -> DataFrame:
+    """``reactivity_results``: 12 columns, deviations of single values 0."""
+    r = results.withColumnsRenamed({"value1": "mean1", "value2": "mean2"}).withColumn("std1", F.lit(0.0)).withColumn("std2", F.lit(0.0))
+    return layout(r, REACTIVITY_LAYOUT, "Reactivity", "")
+
+
+def regions_table(regions: DataFrame, threshold: str, score: str) -> DataFrame:
+    """Regions in eight columns; ``score`` and ``threshold`` name the columns that fill MaxQ and MonteCarlo_Threshold."""
+    return regions.select(F.col("chr").alias("ChrID"), F.col("strand").alias("Strand"), F.col("start").alias("Start"), F.col("end").alias("End"), (F.col("end") - F.col("start") + 1).alias("Length"), F.col(score).alias("MaxQ"), F.col(threshold).alias("MonteCarlo_Threshold"), F.lit("Yes").alias("Significant"))

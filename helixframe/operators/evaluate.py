@@ -30,6 +30,24 @@ def shift_range(n_signal: int, n_structure: int) -> int:
     return min(abs(n_signal - n_structure) + 5, 20)
 
 
+def base_shifts(template: DataFrame, signal: DataFrame, max_shift: int = 20, genomic: int = 100_000) -> DataFrame:
+    """base, shift for drawings: the shift at which most template positions of a base fall on signal positions, ties by equal bases, then the smaller.
+
+    ``template``: pos, base. The search is around the difference of the least
+    positions of the base, 1,000 either way at least; template positions from
+    ``genomic`` on are places already and take no part. The shifts explode the
+    template, one molecule's positions.
+    """
+    wide = max(max_shift, 1000)
+    t = template.where(F.col("pos") < genomic).select(F.col("pos").alias("tpos"), normalize_base(F.col("base")).alias("base"))
+    s = signal.select("pos", normalize_base(F.col("base")).alias("sbase")).distinct()
+    first = t.groupBy("base").agg(F.min("tpos").alias("t0")).join(s.groupBy(F.col("sbase").alias("base")).agg(F.min("pos").alias("s0")), "base").select("base", (F.col("s0") - F.col("t0")).alias("guess"))
+    tries = t.join(first, "base").withColumn("shift", F.explode(F.sequence(F.col("guess") - wide, F.col("guess") + wide))).withColumn("pos", F.col("tpos") + F.col("shift"))
+    n = tries.join(s, "pos").groupBy("base", "shift").agg(F.count("*").alias("checked"), F.sum((F.col("base") == F.col("sbase")).cast("long")).alias("matches"))
+    best = n.groupBy("base").agg(F.max(F.struct("checked", "matches", (-F.col("shift")).alias("n"))).alias("b"))
+    return best.select("base", (-F.col("b.n")).cast("int").alias("shift"))
+
+
 def label(signal: DataFrame, structure: DataFrame, shift: int | DataFrame = 0, keys: list[str] = [], bases: str | None = None, match_only: bool = False) -> DataFrame:  # noqa: B006
     """Signal rows that fall on the structure at pos + shift, with sbase and is_single; the base stays with its row.
 

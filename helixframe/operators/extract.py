@@ -49,10 +49,15 @@ def gene_stats(pileup: DataFrame, keys: list[str] = ["chr", "strand"], min_cover
 
 
 def annotated_only(pileup: DataFrame, strands: DataFrame) -> DataFrame:
-    """Rows whose contig (a suffix from '_Eup' on taken off) is annotated on their strand, or is not annotated at all."""
+    """Rows whose contig (a suffix from '_Eup' on taken off) is annotated on their strand; contigs without annotation go."""
     p = pileup.withColumn("_id", F.regexp_replace("chr", "_Eup.*$", ""))
-    s = strands.select(F.col("id").alias("_id"), F.col("strand").alias("_strand"))
-    return p.join(s, "_id", "left").where(F.col("_strand").isNull() | (F.col("_strand") == F.col("strand"))).drop("_id", "_strand")
+    s = strands.select(F.col("id").alias("_id"), "strand")
+    return p.join(s, ["_id", "strand"], "left_semi").select(*pileup.columns)
+
+
+def shared_genes(mod: DataFrame, unmod: DataFrame, keys: list[str] = ["chr", "strand"], **limits: float) -> DataFrame:  # noqa: B006
+    """``gene_stats`` of the modified pileup for the genes that the control has, too."""
+    return gene_stats(mod, keys, **limits).join(unmod.select(*keys).distinct(), keys, "left_semi")
 
 
 def splice_transcripts(exons: DataFrame, fasta: DataFrame, mapping: DataFrame | None = None, gene_list: DataFrame | None = None, min_length: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import safe_name
+from ..operators.components import cut
 from ..schemas import PILEUP_HEADER, PILEUP_HEADER_EFFECTIVE, PILEUP_NAMES, REACTIVITY_HEADER
 
 _LONGS = ["mut_count", "stop_count", "depth", "effective_depth", "ins", "del", "base_a", "base_c", "base_g", "base_t"]
@@ -32,12 +34,19 @@ def read_pileup(spark: SparkSession, path: str) -> DataFrame:
     return df.select("chr", "strand", "pos", "base", *_LONGS, *[c for c in df.columns if c not in ("chr", "strand", "pos", "base", *_LONGS)])
 
 
-def write_pileup(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Pileup CSV of rows with depth, with effective_depth if any row can have one; ``by`` makes a folder per value (cells)."""
-    eff = "effective_depth" in df.columns and not df.where("effective_depth is not null").isEmpty()
-    names = PILEUP_HEADER_EFFECTIVE if eff else PILEUP_HEADER
+def write_pileup(df: DataFrame, path: str, by: str | None = None, effective: bool | None = None) -> None:
+    """Pileup CSV of rows with depth; ``by`` makes a folder per value (cells).
+
+    ``effective``: with effective_depth or without (None: with it if any row
+    has one). The rows are computed once, into a checkpoint, and then sorted by
+    range and written.
+    """
+    df = cut(df.where("depth > 0"))
+    if effective is None:
+        effective = "effective_depth" in df.columns and not df.where("effective_depth is not null").isEmpty()
+    names = PILEUP_HEADER_EFFECTIVE if effective else PILEUP_HEADER
     cols = [F.col(PILEUP_NAMES[n]).alias(n) for n in names]
-    out = df.where("depth > 0").repartitionByRange("chr", "strand", "pos").sortWithinPartitions("chr", "strand", "pos")
+    out = df.repartitionByRange("chr", "strand", "pos").sortWithinPartitions("chr", "strand", "pos")
     out = out.select(*cols, *([F.col(by)] if by else []))
     writer = out.write.option("header", True).mode("overwrite")
     (writer.partitionBy(by) if by else writer).csv(path)
@@ -65,6 +74,32 @@ def write_reactivity(df: DataFrame, path: str) -> None:
     out.write.option("header", True).mode("overwrite").csv(path)
 
 
+def read_signal(spark: SparkSession, path: str, signal: str = "all", strand: str = "+") -> DataFrame:
+    """signal, pos, base, value for drawings, from tables of several layouts (chr[, strand], pos at the third place, base).
+
+    Signal columns are found by header: names with reactivity_, or any column
+    from the fifth on; without a header, or without such columns, the fifth
+    (the fourth of a table of four) is the signal ``score``. A signal that the
+    table lacks falls back to its only one. Tables of five columns and more are
+    filtered by strand ('both': all); rows without a position or a number go.
+    """
+    raw = spark.read.csv(path)
+    first = raw.first()
+    names = ["" if x is None else x for x in first] if first else []
+    header = len(names) >= 3 and not (names[2] or "").strip().isdigit()
+    found: dict[str, int] = {}
+    if header:
+        found = {n.replace("reactivity_", ""): i for i, n in enumerate(names) if "reactivity_" in n or (i >= 4 and n not in ("Strand", "Position", "Base"))}
+    elif len(names) >= 5:
+        found = {"score": len(names) - 1}
+    found = found or {"score": 4 if len(names) >= 5 else 3}
+    pick = found if signal == "all" or (signal not in found and len(found) == 1) else {k: v for k, v in found.items() if k == signal}
+    rows = raw if len(names) < 5 or strand == "both" else raw.where(F.trim("_c1") == ("-" if strand == "-" else "+"))
+    out = [rows.select(F.lit(k).alias("signal"), F.col("_c2").try_cast("int").alias("pos"), F.upper(F.substring("_c3", 1, 1)).alias("base"), F.col(f"_c{i}").try_cast("double").alias("value")) for k, i in pick.items() if i < len(names)]
+    empty = spark.createDataFrame([], "signal string, pos int, base string, value double")
+    return reduce(DataFrame.unionByName, out, empty).where("pos is not null and value is not null")
+
+
 def unpivot_signals(df: DataFrame) -> DataFrame:
     """chr, strand, pos, base, signal, value of every column whose name begins with reactivity_."""
     signals = [c for c in df.columns if c.startswith("reactivity_")]
@@ -154,6 +189,15 @@ def write_fasta(df: DataFrame, path: str, name: Column, seq: Column, width: int
     df.select(F.concat(F.lit(">"), name, F.lit("\n"), wrap_fasta(seq, width)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_exons(exons: DataFrame, transcripts: DataFrame, path: str) -> None:
+    """GTF of the exons of some transcripts (column transcript_id), in order of transcript and place."""
+    kept = exons.join(transcripts.select("transcript_id").distinct(), "transcript_id", "left_semi")
+    tags = F.concat(F.lit('gene_id "'), F.coalesce("gene_id", F.lit("")), F.lit('"; transcript_id "'), F.col("transcript_id"), F.lit('";'))
+    dot = F.lit(".")
+    line = F.concat_ws("\t", "seqname", "source", F.lit("exon"), F.col("start").cast("string"), F.col("end").cast("string"), dot, "strand", dot, tags)
+    kept.repartitionByRange("transcript_id", "start", "end").sortWithinPartitions("transcript_id", "start", "end").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     """seqname, source, feature, start, end, strand, gene_id, gene_name, transcript_id, attributes; other lines are skipped."""
     raw = spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema("seqname string, source string, feature string, start string, end string, score string, strand string, frame string, attributes string").csv(path)

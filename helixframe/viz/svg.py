@@ -97,18 +97,34 @@ def signal_figure(pileup: DataFrame, signal: str, title: str) -> str:
     return lines({signal: binned(p, "pos", ["y"])}, title, "position", f"{signal} rate")
 
 
-def signal_figures(pileup: DataFrame) -> DataFrame:
-    """name, value: ``signal_figure`` of stops and of mutations for every strand, drawn on the executors from at most MAX_MARKS bins each."""
+def signal_figures(pileup: DataFrame, unmod: DataFrame | None = None, reactivity: DataFrame | None = None) -> DataFrame:
+    """name, value: figures of every strand, drawn on the executors from at most MAX_MARKS bins a line.
+
+    Stop and mutation rates, those of a control beside them, and, where there
+    is any, both reactivities.
+    """
     rate = lambda c: F.when(F.col("depth") > 0, F.col(c) / F.col("depth")).otherwise(0.0)
-    p = pileup.select("chr", "strand", "pos", rate("stop_count").alias("stop"), rate("mut_count").alias("mutation"))
+    counts = {"stop": "stop_count", "mutation": "mut_count"}
+
+    def rates(p: DataFrame, name: str | None) -> DataFrame:
+        each = [F.struct(F.lit(s).alias("figure"), F.lit(name or s).alias("series"), rate(c).alias("y")) for s, c in counts.items()]
+        return p.select("chr", "strand", "pos", F.explode(F.array(*each)).alias("f")).select("chr", "strand", "f.figure", "f.series", "pos", "f.y")
+
+    long = rates(pileup, None if unmod is None else "modified")
+    if unmod is not None:
+        long = long.unionByName(rates(unmod, "control"))
+    if reactivity is not None:
+        each = [F.struct(F.lit(f"reactivity_{s}").alias("figure"), F.lit(f"{s} reactivity").alias("series"), F.col(f"reactivity_{s}").alias("y")) for s in counts]
+        long = long.unionByName(reactivity.join(pileup.select("chr", "strand").distinct(), ["chr", "strand"], "left_semi").select("chr", "strand", "pos", F.explode(F.array(*each)).alias("f")).select("chr", "strand", "f.figure", "f.series", "pos", "f.y"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_b")
-        at, strand = g["chr"].iloc[0], g["strand"].iloc[0]
-        points = lambda s: [(x, None if math.isnan(y) else y) for x, y in zip(g["_x"], g[s].astype(float), strict=True)]
-        return pd.DataFrame([(f"{at}_{strand}_{s}", lines({s: points(s)}, f"{at} {strand}", "position", f"{s} rate")) for s in ("stop", "mutation")], columns=["name", "value"])
+        at, strand, figure = (g[c].iloc[0] for c in ("chr", "strand", "figure"))
+        points = lambda p: [(x, None if math.isnan(y) else y) for x, y in zip(p["_x"], p["y"].astype(float), strict=True)]
+        series = {name: points(p.sort_values("_b")) for name, p in g.sort_values("series", ascending=False).groupby("series", sort=False)}
+        label = "reactivity" if figure.startswith("reactivity") else f"{figure} rate"
+        return pd.DataFrame([(f"{at}_{strand}_{figure}", lines(series, f"{at} {strand}", "position", label))], columns=["name", "value"])
 
-    return binned_by(p, ["chr", "strand"], "pos", ["stop", "mutation"]).groupBy("chr", "strand").applyInPandas(run, "name string, value string")
+    return binned_by(long, ["chr", "strand", "figure", "series"], "pos", ["y"]).groupBy("chr", "strand", "figure").applyInPandas(run, "name string, value string")
 
 
 def reactivity_figure(reactivity: DataFrame, signal: str, title: str) -> str:
@@ -160,18 +176,21 @@ def template_positions(svg: str) -> list[tuple[int, str]]:
     return [(int(p), b) for p, b in _LABEL.findall(svg)]
 
 
-def color_template(svg: str, reactivity: DataFrame, signal: str = "stop", shift: int = 0, bases: str = "ACGT", ranges: Sequence[tuple[float, float, str]] = DEFAULT_RANGES, filled: bool = False) -> str:
+def color_template(svg: str, reactivity: DataFrame, signal: str = "stop", shift: int | dict[str, int] = 0, bases: str = "ACGT", ranges: Sequence[tuple[float, float, str]] = DEFAULT_RANGES, filled: bool = False) -> str:
     """A structure drawing with a circle at every labelled position, coloured by reactivity at position + shift.
 
-    Circles go before the closing tag, at the place of the label's text; a
-    legend lists the ranges.
+    ``shift`` may differ by base; positions of 100,000 and more are places
+    already. Circles go before the closing tag, at the place of the label's
+    text; a legend lists the ranges.
     """
+    moved = lambda p, b: p if p >= 100_000 else p + (shift if isinstance(shift, int) else shift.get(b.upper().replace("U", "T"), 0))
+    place = {p: moved(p, b) for p, b in template_positions(svg)}
     want = reactivity.where(F.lit(bases.replace("U", "T")).contains(normalize_base(F.col("base"))))
-    color = {r["pos"]: r["c"] for r in want.select((F.col("pos") - shift).alias("pos"), color_bucket(F.col(f"reactivity_{signal}"), list(ranges)).alias("c")).where(F.col("pos").isin([p for p, _ in template_positions(svg)])).collect()}
+    color = {r["pos"]: r["c"] for r in want.where(F.col("pos").isin(list(place.values()))).select("pos", color_bucket(F.col(f"reactivity_{signal}"), list(ranges)).alias("c")).collect()}
     out = []
     for m in _LABEL.finditer(svg):
         at = re.search(r'<text[^>]*\bx="([-\d.]+)"[^>]*\by="([-\d.]+)"', svg[m.end() :])
-        if at and (c := color.get(int(m[1]))):
+        if at and (c := color.get(place[int(m[1])])):
             out.append(f'<circle cx="{at[1]}" cy="{at[2]}" r="4" stroke="{c}" fill="{c if filled else "none"}"/>')
     legend = "".join(f'<rect x="5" y="{5 + 18 * i}" width="30" height="15" fill="{c}"/><text x="40" y="{17 + 18 * i}" font-size="10">{a:g}-{b:g}</text>' for i, (a, b, c) in enumerate(ranges))
     return svg.replace("</svg>", f'<g id="reactivity">{"".join(out)}</g><g id="legend">{legend}</g></svg>')
