@@ -12,6 +12,7 @@ branch again. Candidates are confirmed on full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ from .util import Scratch, broadcast_if_small, connected_components, cut, distin
 #: Minwise tokens per set, trees, branches a node selects, levels before sizes are looked at.
 TOKENS, TREES, BRANCHES, FIRST_LEVELS = 64, 5, 2, 3
 
+#: Members of a large node that are tried as its head.
+HEADS = 4
+
 #: Nodes up to this size are compared by their tokens in one piece; no branch is followed beyond MAX_LEVEL.
 NODE_LIMIT, MAX_LEVEL = 64, 12
 
@@ -148,28 +152,29 @@ def _branch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not batch.num_rows:
             continue
         node, cls, sig = np.asarray(batch.column(0)).view(U64), np.asarray(batch.column(1)), _sig(batch.column(2))
-        kids = [k for child in _children(node, sig) for k in _children(child, sig)]
+        kids = _children(node, sig)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(cls, len(kids)))], ["node", "cls"])
 
 
 def _agree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, low bytes of a member, those of its node's head -> node, summed share of tokens that agree, members: a row per batch and node."""
+    """node, low bytes of a member, those of its node's heads -> node, summed share of tokens that agree with each head, members: a row per batch and node."""
     for batch in batches:
         if not batch.num_rows:
             continue
         node, at = np.unique(np.asarray(batch.column(0)), return_inverse=True)
-        share = (_low(batch.column(1)) == _low(batch.column(2))).mean(1)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(at, share)), pa.array(np.bincount(at))], ["node", "agree", "members"])
+        low = _low(batch.column(1))
+        sums = [pa.array(np.bincount(at, (low == _low(batch.column(2 + i))).mean(1))) for i in range(HEADS)]
+        yield pa.RecordBatch.from_arrays([pa.array(node), *sums, pa.array(np.bincount(at))], ["node", *[f"a{i}" for i in range(HEADS)], "members"])
 
 
 def leaves(reps: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(small, dense) terminal nodes of all trees: node, cls. ``reps``: cls, sig, low (stored).
+    """(small, dense) terminal nodes of all trees: node, cls, those of dense ones with the node's head. ``reps``: cls, sig, low (stored).
 
     A large node branches while that shrinks it: members that agree with one of
-    them, its head, in a share a of the tokens come back BRANCHES * a times on
-    the next level. If that is once or more on average, the node is dense and
-    compared as it is. Two levels are branched between looks at the sizes.
-    Sizes, heads and shares are aggregates that combine before the shuffle, so
+    them in a share a of the tokens come back BRANCHES * a times on the next
+    level. If that is once or more on average for one of HEADS members, the
+    node is dense and compared as it is, first with that one, its head. Sizes,
+    heads and shares are aggregates that combine before the shuffle, so
     no node is ever gathered in a task here.
     """
     rows = reps.select("cls", "sig").mapInArrow(_root_batches, "node long, cls long")
@@ -181,25 +186,22 @@ def leaves(reps: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
         large = sized.where(F.col("size") > NODE_LIMIT).select("node", "cls")
         if large.isEmpty():
             break
+        big = tmp.stored(large.join(reps, "cls").select("node", "cls", "sig", "low"), "large")
+        pick = [F.min_by(F.struct("cls", "low"), F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(HEADS)]
+        heads = broadcast_if_small(cut(big.groupBy("node").agg(*pick)))
+        shares = big.select("node", "low").join(heads, "node").select("node", "low", *[F.col(f"h{i}.low").alias(f"l{i}") for i in range(HEADS)]).mapInArrow(_agree_batches, f"node long, {''.join(f'a{i} double, ' for i in range(HEADS))}members long")
+        best = F.greatest(*[F.struct((F.sum(f"a{i}") / F.sum("members")).alias("agree"), F.lit(i).alias("i")) for i in range(HEADS)])
+        told = shares.groupBy("node").agg(best.alias("best")).where((F.col("best.agree") * BRANCHES >= 1) | F.lit(level >= MAX_LEVEL))
+        head = F.coalesce(*[F.when(F.col("best.i") == i, F.col(f"h{i}.cls")) for i in range(HEADS)])
+        tight = broadcast_if_small(cut(told.join(heads, "node").select("node", head.alias("head")), 4096))
+        dense.append(big.join(tight, "node").select("node", "cls", "head"))
         if level >= MAX_LEVEL:
-            dense.append(large)
             break
-        big = tmp.stored(large.join(reps, "cls").select("node", "cls", "sig", "low"), "large")
-        heads = broadcast_if_small(cut(big.groupBy("node").agg(F.min_by("low", "cls").alias("head"))))
-        shares = big.select("node", "low").join(heads, "node").select("node", "low", "head").mapInArrow(_agree_batches, "node long, agree double, members long")
-        tight = shares.groupBy("node").agg((F.sum("agree") / F.sum("members")).alias("agree")).where(F.col("agree") * BRANCHES >= 1).select("node")
-        tight = broadcast_if_small(cut(tight, 4096))
-        dense.append(big.join(tight, "node", "left_semi").select("node", "cls"))
         rows = big.join(tight, "node", "left_anti").select("node", "cls", "sig").mapInArrow(_branch_batches, "node long, cls long")
-        level += 2
-
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0] if parts else small[0].limit(0)
-        for d in parts[1:]:
-            out = out.unionByName(d)
-        return out
+        level += 1
 
-    return union(small), union(dense)
+    none = small[0].withColumn("head", F.col("cls")).limit(0)
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense, none)
 
 
 def _grouped(columns: int, solve):
@@ -406,8 +408,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
         links = confirmed(forest, "links")
         tmp.drop(forest)
         if not dense.isEmpty():
-            heads = broadcast_if_small(cut(dense.groupBy("node").agg(F.min("cls").alias("head"), F.count("*").alias("size"))))
-            headed = dense.join(heads, "node").select("node", "cls", "head", F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
+            headed = dense.select("node", "cls", F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
             star = confirmed(headed.where("a < b").select("a", "b").distinct(), "star")
             member = tmp.stored(headed.join(star.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("node", "cls", (F.col("linked").isNotNull() | (F.col("a") == F.col("b"))).alias("core")), "members")
             n = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / DENSE_CHUNK).cast("int")
