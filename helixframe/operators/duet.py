@@ -297,3 +297,72 @@ def analyse(events: DataFrame, sites: DataFrame, eps: float = 0.75, min_samples:
     scored = cut(confidence(p, sites))
     m = ensembles(scored.select(*GROUP, "pos", "node", "reads", "stops", "mutations"))
     return {"windows": window_means(sites, size, step), "clusters": c, "summary": cluster_summary(c), "scores": cluster_scores(scored), "positions": scored, "ensembles": ensemble_summary(scored, m), "bases": base_records(scored, m), "mapping": m}
+
+
+# ---------------------------------------------------------------- tables of fixed layout
+
+
+def numbered(ensembles: DataFrame) -> DataFrame:
+    """ensemble, GlobalEnsembleID: E1, E2, ... in order of strand and place (one row an ensemble)."""
+    order = W.orderBy("chr", "strand", "start", "ensemble")
+    return ensembles.select("ensemble", F.concat(F.lit("E"), F.row_number().over(order).cast("string")).alias("GlobalEnsembleID"))
+
+
+def _clusters(out: dict[str, DataFrame]) -> DataFrame:
+    """Clusters of all windows with confidence and the ensemble's name."""
+    node = F.xxhash64(*WINDOW, "cluster")
+    named = out["mapping"].select("node", "ensemble").join(numbered(out["ensembles"]), "ensemble").select("node", "GlobalEnsembleID")
+    c = out["summary"].join(out["scores"].select(*WINDOW, "cluster", "confidence"), [*WINDOW, "cluster"], "left").withColumn("node", node)
+    return c.join(named, "node", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).drop("node")
+
+
+def _windows(out: dict[str, DataFrame], sites: DataFrame, size: int, step: int) -> DataFrame:
+    return windows(sites, size, step).join(out["windows"], WINDOW, "left")
+
+
+def windows_table(out: dict[str, DataFrame], sites: DataFrame, size: int = 100, step: int = 50) -> DataFrame:
+    """15 columns, a row per window: reads, ensembles, the one with most reads, shares of noise and of reads with both signals, clusters in words."""
+    c = _clusters(out)
+    real, r = ~F.col("noise"), F.col("reads")
+    six = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+    words = F.format_string("c%d(occ=%.3f,conf=%.3f,stop=%.2f,mut=%.2f)", "cluster", "occupancy", "confidence", "mean_stops", "mean_mutations")
+    listed = lambda cond, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("cluster", x.alias("w"))))), lambda s: s["w"]), ";")
+    g = c.groupBy(*WINDOW).agg(
+        F.first("status").alias("Status"), F.sum("reads").alias("ReadCount"), F.sum(real.cast("long")).alias("EnsembleCount"), F.max(F.when(real, F.struct("reads", (-F.col("cluster")).alias("n"), "occupancy"))).alias("top"),
+        (F.sum(F.when(~real, r).otherwise(0)) / F.sum("reads")).alias("noise"), (F.sum(F.col("dual_share") * r) / F.sum("reads")).alias("dual"), listed(real, words).alias("words"),
+        F.max(F.when(~real, F.format_string("noise=%.3f", "occupancy"))).alias("noise_words"), listed(F.col("GlobalEnsembleID").isNotNull(), F.format_string("c%d->%s", "cluster", "GlobalEnsembleID")).alias("global"),
+    )
+    w = _windows(out, sites, size, step).join(g, WINDOW, "left")
+    text = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("NA"))
+    return w.select(
+        F.col("chr").alias("ChrID"), F.col("strand").alias("Strand"), F.col("win_start").alias("WindowStart"), F.col("win_end").alias("WindowEnd"), F.coalesce("Status", F.lit("insufficient_reads")).alias("Status"), F.coalesce("ReadCount", F.lit(0)).alias("ReadCount"),
+        F.coalesce("EnsembleCount", F.lit(0)).alias("EnsembleCount"), F.coalesce((-F.col("top.n")).cast("string"), F.lit("NA")).alias("PrimaryEnsembleID"), six(F.col("top.occupancy")).alias("PrimaryOccupancy"), six(F.col("noise")).alias("NoiseFraction"),
+        six(F.col("dual")).alias("DualSignalFraction"), six(F.col("mean_stop")).alias("MeanStopReactivity"), six(F.col("mean_mutation")).alias("MeanMutationReactivity"), text(F.concat_ws(";", F.nullif("words", F.lit("")), "noise_words")).alias("ClusterSummary"), text(F.col("global")).alias("GlobalEnsembles"),
+    )
+
+
+def summary_table(out: dict[str, DataFrame], sites: DataFrame, size: int = 100, step: int = 50) -> DataFrame:
+    """17 columns, a row per window and cluster (one row of NA for a window without reads)."""
+    c = _clusters(out).withColumn("ReadCount", F.sum("reads").over(W.partitionBy(*WINDOW)))
+    j = _windows(out, sites, size, step).join(c, WINDOW, "left")
+    six = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+    return j.select(
+        F.col("chr").alias("ChrID"), F.col("strand").alias("Strand"), F.col("win_start").alias("WindowStart"), F.col("win_end").alias("WindowEnd"), F.coalesce("status", F.lit("insufficient_reads")).alias("Status"), F.coalesce("ReadCount", F.lit(0)).alias("ReadCount"),
+        F.coalesce(F.col("cluster").cast("string"), F.lit("NA")).alias("EnsembleID"), F.coalesce("GlobalEnsembleID", F.lit("NA")).alias("GlobalEnsembleID"), F.coalesce("noise", F.lit(False)).alias("IsNoise"), F.coalesce("reads", F.lit(0)).alias("Members"),
+        *[six(F.col(a)).alias(b) for a, b in (("occupancy", "Occupancy"), ("confidence", "ClusterConfidence"), ("mean_stops", "MeanStopCount"), ("mean_mutations", "MeanMutationCount"), ("dual_share", "DualSignalFraction"), ("mean_stop", "MeanStopReactivity"), ("mean_mutation", "MeanMutationReactivity"))],
+    )
+
+
+def global_table(out: dict[str, DataFrame]) -> DataFrame:
+    """11 columns, a row per ensemble; reads with stops, mutations and both from its clusters' means."""
+    c = _clusters(out).where("GlobalEnsembleID is not null")
+    reads = lambda x: F.round(F.sum(F.col(x) * F.col("reads"))).cast("long")
+    t = c.groupBy("GlobalEnsembleID").agg(F.sum("reads").alias("n"), reads("mean_stops").alias("TotalStopReads"), reads("mean_mutations").alias("TotalMutationReads"), reads("dual_share").alias("DualSignalReads"))
+    e = out["ensembles"].join(numbered(out["ensembles"]), "ensemble").join(t, "GlobalEnsembleID")
+    return e.select(F.col("chr").alias("ChrID"), F.col("strand").alias("Strand"), "GlobalEnsembleID", F.col("windows").alias("WindowCount"), F.col("clusters").alias("ClusterCount"), F.col("n").alias("ReadCount"), "TotalStopReads", "TotalMutationReads", "DualSignalReads", F.col("positions").alias("UniquePositions"), F.round("confidence", 6).alias("Confidence"))
+
+
+def bases_table(out: dict[str, DataFrame], sites: DataFrame) -> DataFrame:
+    """9 columns, a row per ensemble and position."""
+    b = out["bases"].join(numbered(out["ensembles"]), "ensemble").join(sites.select(*GROUP, "pos", "stop", "mutation"), [*GROUP, "pos"])
+    return b.select(F.col("chr").alias("ChrID"), F.col("strand").alias("Strand"), F.col("pos").alias("Position"), "GlobalEnsembleID", F.col("stops").alias("StopReads"), F.col("mutations").alias("MutationReads"), F.round("stop", 6).alias("StopReactivity"), F.round("mutation", 6).alias("MutationReactivity"), F.round("confidence", 6).alias("PositionConfidence"))

@@ -147,3 +147,16 @@ def both_signals(reactivity: DataFrame, structure: DataFrame, max_shift: int = 2
     lab = label(long, structure, best_shift(long, structure, max_shift, k), k)
     out = auc(lab, "value", k).join(average_precision(lab, "value", k), k).join(best_threshold(lab, "value", k).select(*k, "threshold", "tpr", "fpr", "precision", "f1", "youden"), k)
     return out.withColumn("better", F.col("auc") == F.max("auc").over(W.partitionBy(*keys)))
+
+
+def report(labelled: DataFrame, value: str, signal: str) -> DataFrame:
+    """Lines (column value) of a result file of one molecule: metrics at the best threshold, then the curve, in one partition."""
+    best = best_threshold(labelled, value).crossJoin(auc(labelled, value).select("auc"))
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
+    metrics = {"AUC": F.col("auc"), "F1-score": F.col("f1"), "Sensitivity": F.col("tpr"), "Specificity": 1.0 - F.col("fpr"), "PPV": F.col("precision"), "NPV": over(tn, tn + fn), "Accuracy": over(tp + tn, tp + fp + tn + fn)}
+    head = ["# Reactivity Accuracy Evaluation Results", f"# Signal Type: {signal}", "#", "# Overall Metrics:"]
+    rows = [F.lit(x) for x in head] + [F.format_string(f"{k}\t%.6f", v) for k, v in metrics.items()] + [F.lit(x) for x in ("#", "# ROC Curve Data:", "Threshold\tTPR\tFPR\tPrecision\tRecall")]
+    top = best.select(F.posexplode(F.array(*rows)).alias("n", "value")).select(F.lit(0).alias("part"), F.col("n").cast("double").alias("n"), "value")
+    points = curve(labelled, value).select(F.lit(1).alias("part"), (-F.col("threshold")).alias("n"), F.format_string("%.6f\t%.6f\t%.6f\t%.6f\t%.6f", "threshold", "tpr", "fpr", "precision", "recall").alias("value"))
+    return top.unionByName(points).coalesce(1).sortWithinPartitions("part", "n").select("value")

@@ -121,6 +121,7 @@ def evaluation(spark, a) -> None:
     c = evaluate.curve(lab, value)
     _csv(evaluate.auc(lab, value).crossJoin(evaluate.best_threshold(lab, value)), a.output + "/metrics")
     _csv(c, a.output + "/curve")
+    evaluate.report(lab, value, a.signal_type).write.mode("overwrite").text(a.output + "/report")
     _csv(evaluate.by_base(lab, value), a.output + "/by_base")
     spark.createDataFrame([(svg.roc_figure(c, []),)], "value string").coalesce(1).write.mode("overwrite").text(a.output + "/roc_svg")
 
@@ -150,8 +151,11 @@ def conformations(spark, a) -> None:
     ends = u.select(F.col("rname").alias("chr"), "strand", "read_id", end.cast("int").alias("pos"))
     ref = pileup.reference_bases(tables.read_reference(spark, a.fasta))
     out = duet.analyse(duet.read_events(aligned, ends, sites, ref), sites, a.epsilon, a.min_samples, a.window_size, a.window_step)
-    for k, df in out.items():
+    plan = (a.window_size, a.window_step)
+    tables_ = {"windows": duet.windows_table(out, sites, *plan), "summary": duet.summary_table(out, sites, *plan), "global": duet.global_table(out), "global_per_base": duet.bases_table(out, sites)}
+    for k, df in tables_.items():
         _csv(df, f"{a.output}/{k}")
+    spark.createDataFrame([(svg.ensemble_figure(out["bases"]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/heatmap_svg")
 
 
 def plot(spark, a) -> None:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import compare, evaluate, extract, pileup
+from helixframe.operators import compare, duet, evaluate, extract, pileup
 from helixframe.plans import cli
 from helixframe.sources import alignments, tables
 from helixframe.viz import svg
@@ -183,3 +183,22 @@ def test_k_of_the_structures_gene_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli.reactivity, "k_structure", lambda lab, m, u: seen.append((lab.count(), {(r["chr"], r["strand"]) for r in lab.select("chr", "strand").distinct().collect()})))
     cli.main(["reactivity", "-M", f"{tmp_path}/m.csv", "-U", f"{tmp_path}/u.csv", "-O", f"{tmp_path}/o", "--k-prediction-method", "recursive", "--structure-file", f"{tmp_path}/rna.dot"])
     assert seen == [(60, {("rna", "+")})] * 2
+
+
+def test_report_and_duet_layouts(spark):
+    rng = random.Random(9)
+    lab = spark.createDataFrame([(rng.random(), rng.random() < 0.5) for _ in range(80)], "v double, is_single boolean")
+    lines = [r["value"] for r in evaluate.report(lab, "v", "stop").collect()]
+    assert lines[1] == "# Signal Type: stop" and lines[4].startswith("AUC\t") and lines[13].split("\t") == ["Threshold", "TPR", "FPR", "Precision", "Recall"]
+    thresholds = [float(x.split("\t")[0]) for x in lines[14:]]
+    assert len(thresholds) == 80 and thresholds == sorted(thresholds, reverse=True)
+    sites = spark.createDataFrame([("c", "+", p, "A", rng.random(), rng.random()) for p in range(1, 260)], "chr string, strand string, pos int, base string, stop double, mutation double")
+    events = spark.createDataFrame([("c", "+", r, rng.randrange(1, 260), k) for r in range(300) for k in ("stop", "mutation")], "chr string, strand string, read_id long, pos int, kind string")
+    out = duet.analyse(events, sites)
+    w, s, g, b = duet.windows_table(out, sites), duet.summary_table(out, sites), duet.global_table(out), duet.bases_table(out, sites)
+    assert [len(x.columns) for x in (w, s, g, b)] == [15, 17, 11, 9]
+    rows = w.collect()
+    assert len(rows) == duet.windows(sites).count() and all(0 <= r["NoiseFraction"] <= 1 for r in rows)
+    members = {r["WindowStart"]: r["n"] for r in s.groupBy("WindowStart").agg(F.sum("Members").alias("n")).collect()}
+    assert all(members[r["WindowStart"]] == r["ReadCount"] for r in rows)
+    assert {r["GlobalEnsembleID"] for r in b.collect()} == {r["GlobalEnsembleID"] for r in g.collect()} == {f"E{i + 1}" for i in range(out["ensembles"].count())}
