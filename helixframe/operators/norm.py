@@ -85,27 +85,33 @@ def top_slice_scale(df: DataFrame, value: str, keys: list[str] = GROUP, skip_hea
 def dynamic_windows(df: DataFrame, value: str, keys: list[str] = GROUP, size: int = 50, least: int = 10) -> DataFrame:
     """Winsorised scaling inside windows that grow until they hold ``least`` finite values.
 
-    Sequential by nature, so one pandas call per group; a group is one strand
-    of one contig.
+    Windows are runs of blocks of ``size`` rows, as they grow by whole blocks.
+    Only the blocks' counts are walked in order, one pandas call per group on a
+    row a block; order statistics are window functions within windows.
     """
-    schema = df.schema
+    finite = F.col(value).isNotNull() & ~F.isnan(value)
+    rows = df.withColumn("_block", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy("pos")) - 1) / size))
+    counts = rows.groupBy(*keys, "_block").agg(F.count(F.when(finite, 1)).alias("_n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos").reset_index(drop=True)
-        x, out, i = g[value], g[value].copy(), 0
-        while i < len(g):
-            j = min(i + size, len(g))
-            while j < len(g) and x[i:j].notna().sum() < least:
-                j = min(j + size, len(g))
-            part = x[i:j].dropna().sort_values()
-            if len(part) >= 2:
-                lo, hi = part.iloc[int(len(part) * 0.05)], part.iloc[min(-(-len(part) * 95 // 100), len(part) - 1)]
-                out[i:j] = x[i:j].clip(lo, hi) / max(hi, 1e-6)
-            i = j
-        g[value] = out
-        return g
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+        g = g.sort_values("_block")
+        window, held, out = 0, 0, []
+        for n in g["_n"]:
+            out.append(window)
+            held += n
+            if held >= least:
+                window, held = window + 1, 0
+        return g.assign(_window=out)[[*keys, "_block", "_window"]]
+
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    named = rows.join(counts.groupBy(*keys).applyInPandas(run, f"{schema}, _block long, _window long"), [*keys, "_block"])
+    v = F.when(finite, F.col(value))
+    every = W.partitionBy(*keys, "_window")
+    named = named.withColumn("_i", F.row_number().over(every.orderBy(v.asc_nulls_last())) - 1).withColumn("_n", F.count(v).over(every))
+    at = lambda i: F.max(F.when(F.col("_i") == i, v)).over(every)
+    named = named.withColumn("_lo", at(F.floor(F.col("_n") * 0.05))).withColumn("_hi", at(F.least(F.ceil(F.col("_n") * 95 / 100), F.col("_n") - 1)))
+    scaled_ = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")) / F.greatest("_hi", F.lit(1e-6))
+    return named.withColumn(value, F.when(finite & (F.col("_n") >= 2), scaled_).otherwise(F.col(value))).select(*df.columns)
 
 
 def cross_sample(df: DataFrame, value: str, sample: str = "sample", site: list[str] = ["chr", "strand", "pos"], method: str = "median") -> DataFrame:  # noqa: B006

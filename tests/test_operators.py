@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -227,3 +228,27 @@ def test_extract_and_transcripts(spark):
     ex = spark.createDataFrame([("c", "x", 5, 8, "-", "t", "g"), ("c", "x", 1, 2, "-", "t", "g"), ("c", "x", 9, 99, "-", "u", "g")], "seqname string, source string, start long, end long, strand string, transcript_id string, gene_id string")
     fa = spark.createDataFrame([("c", "ACGTTTGG")], "contig string, seq string")
     assert [(r["transcript_id"], r["seq"]) for r in extract.splice_transcripts(ex, fa).collect()] == [("t", "CCAAGT")]
+
+
+def test_dynamic_windows_with_gaps(spark):
+    rng = random.Random(5)
+    rows = [(c, "+", p, None if rng.random() < 0.05 else float("nan") if rng.random() < (0.95 if 100 < p < 330 else 0.2) else rng.random()) for c, n in (("a", 700), ("b", 30), ("c", 1)) for p in range(n)]
+    got = {(r["chr"], r["pos"]): r["v"] for r in norm.dynamic_windows(spark.createDataFrame(rows, "chr string, strand string, pos int, v double"), "v").collect()}
+    for c in "abc":
+        x = [r[3] for r in rows if r[0] == c]
+        i = 0
+        while i < len(x):
+            j = min(i + 50, len(x))
+            while j < len(x) and sum(v is not None and v == v for v in x[i:j]) < 10:
+                j = min(j + 50, len(x))
+            part = sorted(v for v in x[i:j] if v is not None and v == v)
+            for p in range(i, j):
+                v = x[p]
+                if v is None or v != v:
+                    assert (got[c, p] is None) == (v is None)
+                elif len(part) < 2:
+                    assert got[c, p] == v
+                else:
+                    lo, hi = part[int(len(part) * 0.05)], part[min(-(-len(part) * 95 // 100), len(part) - 1)]
+                    assert abs(got[c, p] - min(max(v, lo), hi) / max(hi, 1e-6)) < 1e-12
+            i = j
