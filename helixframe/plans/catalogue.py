@@ -442,7 +442,7 @@ def fold_change(spark, d):
 
 
 @query(
-    _FOLD + """ select chr, strand, pos, round(abs(m_stop - u_stop), 6) as statistic, case when abs(m_stop - u_stop) > 0.6 then 0.001 when abs(m_stop - u_stop) > 0.4 then 0.01 else 0.05 end as p_value
+    _FOLD + """ select chr, strand, pos, round(abs(m_stop - u_stop), 6) as statistic, case when abs(m_stop - u_stop) > 0.6 then 0.001 when abs(m_stop - u_stop) > 0.4 then 0.01 else 0.05 end::double as p_value
 from f where (sf >= 2 or mf >= 2) and abs(m_stop - u_stop) > 0.3 and (m_stop > 0.2 or u_stop > 0.2) and m_stop > 0.05 and u_stop > 0.05""",
     "rates_",
 )
