@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -166,8 +169,9 @@ def cluster_scores(scored: DataFrame) -> DataFrame:
 def shared_pairs(positions: DataFrame, node: str = "node") -> DataFrame:
     """Pairs of nodes a < b of one strand with shared positions: shared, and the correlation of their reads there.
 
-    The join is on (strand, position): its size is that of the sharing, and
-    pairs come out aggregated.
+    The join is on (strand, position): its size is that of the sharing, as a
+    position has the clusters of the few windows that hold it, and pairs come
+    out aggregated.
     """
     p = positions.select(*GROUP, "pos", F.col(node).alias("n"), F.col("reads").cast("double").alias("r"))
     a, b = p.select(*GROUP, "pos", F.col("n").alias("a"), F.col("r").alias("ra")), p.select(*GROUP, "pos", F.col("n").alias("b"), F.col("r").alias("rb"))
@@ -207,45 +211,60 @@ def pool(positions: DataFrame, mapping: DataFrame, old: str = "node", new: str =
 def second_pass(positions: DataFrame, min_shared: int = 3, min_shared_fraction: float = 0.30, min_max_fraction: float = 0.20, min_correlation: float = 0.60) -> DataFrame:
     """node, ensemble: average-linkage merging of the ensembles of a strand while the closest pair passes the limits.
 
-    Distance is 1 - shared / smaller size. One pandas call per strand on its
-    ensembles, which the first pass has made few.
+    Distance is 1 - shared / smaller size; ensembles without a shared position
+    are at 1 and never merge, so only pairs that share one are held. One pandas
+    call per strand on its ensembles, which the first pass has made few.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        reads = g.pivot_table(index="node", columns="pos", values="reads", aggfunc="sum", fill_value=0).sort_index()
-        names, r = reads.index.to_numpy(), reads.to_numpy(float)
-        on = (r > 0).astype(float)
-        size = on.sum(1)
-        dist = 1 - (on @ on.T) / np.maximum(np.minimum(size[:, None], size[None, :]), 1)
-        np.fill_diagonal(dist, np.inf)
-        owner, weight = np.arange(len(names)), np.ones(len(names))
-        barred = np.zeros_like(dist, bool)
+        names = np.sort(g["node"].unique())
+        place = {n: i for i, n in enumerate(names)}
+        reads: list[dict[int, float]] = [{} for _ in names]
+        holders: dict[int, list[int]] = {}
+        for node, pos, n in zip(g["node"], g["pos"], g["reads"], strict=True):
+            reads[place[node]][pos] = reads[place[node]].get(pos, 0.0) + float(n)
+        reads = [{p: n for p, n in x.items() if n > 0} for x in reads]
+        for i, x in enumerate(reads):
+            for p in x:
+                holders.setdefault(p, []).append(i)
+        shared: dict[tuple[int, int], int] = {}
+        for held in holders.values():
+            for pair in combinations(held, 2):
+                shared[pair] = shared.get(pair, 0) + 1
+        near: list[dict[int, float]] = [{} for _ in names]  # distances below 1
+        for (a, b), n in shared.items():
+            near[a][b] = near[b][a] = 1 - n / max(min(len(reads[a]), len(reads[b])), 1)
+        heap = [(d, a, b) for a, x in enumerate(near) for b, d in x.items() if a < b]
+        heapify(heap)
+        owner, weight, barred = list(range(len(names))), [1.0] * len(names), set()
 
         def may(a: int, b: int) -> bool:
-            both = (r[a] > 0) & (r[b] > 0)
-            n, na, nb = both.sum(), (r[a] > 0).sum(), (r[b] > 0).sum()
+            both = sorted(reads[a].keys() & reads[b].keys())
+            n, na, nb = len(both), len(reads[a]), len(reads[b])
             if n < min_shared or (n / min(na, nb) < min_shared_fraction and n / max(na, nb) < min_max_fraction):
                 return False
-            x, y = r[a][both], r[b][both]
+            x, y = np.array([reads[a][p] for p in both]), np.array([reads[b][p] for p in both])
             return x.std() < 1e-5 or y.std() < 1e-5 or np.corrcoef(x, y)[0, 1] >= min_correlation
 
-        while True:
-            d = np.where(barred, np.inf, dist)
-            k = int(d.argmin()) if d.size else 0
-            a, b = divmod(k, len(names))
-            if not d.size or not d[a, b] < 1:
-                break
-            a, b = min(a, b), max(a, b)
+        while heap:
+            d, a, b = heappop(heap)
+            if near[a].get(b) != d or (a, b) in barred:
+                continue
             if not may(a, b):
-                barred[a, b] = barred[b, a] = True
+                barred.add((a, b))
                 continue
-            mean = (weight[a] * dist[a] + weight[b] * dist[b]) / (weight[a] + weight[b])
-            dist[a], dist[:, a] = mean, mean
-            dist[a, a], dist[b], dist[:, b] = np.inf, np.inf, np.inf
-            barred[a], barred[:, a] = False, False
+            for c in (near[a].keys() | near[b].keys()) - {a, b}:
+                mean = (weight[a] * near[a].get(c, 1.0) + weight[b] * near[b].get(c, 1.0)) / (weight[a] + weight[b])
+                near[a][c] = near[c][a] = mean
+                near[c].pop(b, None)
+                barred.discard((min(a, c), max(a, c)))
+                heappush(heap, (mean, min(a, c), max(a, c)))
+            near[a].pop(b)
+            near[b].clear()
             weight[a] += weight[b]
-            r[a] += r[b]
-            owner[owner == b] = a
+            for p, n in reads[b].items():
+                reads[a][p] = reads[a].get(p, 0.0) + n
+            owner = [a if o == b else o for o in owner]
         return pd.DataFrame({"node": names, "ensemble": names[owner]})
 
     return positions.groupBy(*GROUP).applyInPandas(run, "node long, ensemble long")

@@ -136,13 +136,15 @@ def k_metrics(labelled: DataFrame, mod: str = "m_mut", unmod: str = "u_mut", low
     """Metrics of every k from ``low`` to ``high`` by .01 against a structure (column is_single).
 
     k, auc, sensitivity, specificity (at the best Youden index), negative_ratio,
-    zero counts and ratios of paired and single positions, score. All k in one
-    aggregation and one window per k.
+    zero counts and ratios of paired and single positions, score. Rows of equal
+    rates are counted first; what is left of one molecule meets the 291 k in
+    one aggregation, and one window per k.
     """
     grid = labelled.sparkSession.range(round(low * 100), round(high * 100) + 1).select((F.col("id") / 100.0).alias("k"))
-    x = labelled.select(F.col(mod).alias("m"), F.col(unmod).alias("u"), F.col("is_single").alias("s")).crossJoin(F.broadcast(grid)).withColumn("raw", F.col("m") - F.col("k") * F.col("u"))
+    some = labelled.groupBy(F.col(mod).alias("m"), F.col(unmod).alias("u"), F.col("is_single").alias("s")).agg(F.count("*").alias("c"))
+    x = some.crossJoin(F.broadcast(grid)).withColumn("raw", F.col("m") - F.col("k") * F.col("u"))
     x = x.withColumn("r", F.greatest("raw", F.lit(0.0)))
-    one = lambda c: F.sum(c.cast("long"))
+    one = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
     per = x.groupBy("k", "r").agg(one(F.col("s")).alias("p"), one(~F.col("s")).alias("q"), one(F.col("raw") < 0).alias("neg"))
     down = W.partitionBy("k").orderBy(F.col("r").desc())
     every = W.partitionBy("k")
