@@ -155,7 +155,8 @@ def conformations(spark, a) -> None:
     tables_ = {"windows": duet.windows_table(out, sites, *plan), "summary": duet.summary_table(out, sites, *plan), "global": duet.global_table(out), "global_per_base": duet.bases_table(out, sites)}
     for k, df in tables_.items():
         _csv(df, f"{a.output}/{k}")
-    spark.createDataFrame([(svg.ensemble_figure(out["bases"]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/heatmap_svg")
+    for name, figure in (("heatmap_svg", svg.ensemble_figure(out["bases"])), ("overlap_svg", svg.track_figure(out["ensembles"]))):
+        spark.createDataFrame([(figure,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/{name}")
 
 
 def plot(spark, a) -> None:

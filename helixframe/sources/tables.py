@@ -253,8 +253,11 @@ def read_structure(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_genes(extracted: DataFrame, path: str) -> None:
-    """One folder per gene, named safely."""
-    extracted.withColumn("gene", safe_name(F.coalesce("gene_name", "gene_id"))).write.partitionBy("gene").option("header", True).mode("overwrite").csv(path)
+    """One folder per gene, named safely and by its average depth (as in ``extract.gene_depths``); a gene without rows has none."""
+    from ..operators.extract import gene_depths
+
+    name = gene_depths(extracted).select(F.col("gene_id").alias("_g"), F.regexp_replace("file_name", "\\.csv$", "").alias("gene"))
+    extracted.join(name, F.col("gene_id") == F.col("_g")).drop("_g").write.partitionBy("gene").option("header", True).mode("overwrite").csv(path)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -168,6 +168,20 @@ def ensemble_figure(bases: DataFrame, title: str = "ensembles") -> str:
     return heatmap(sorted({r["e"] for r in rows}), sorted({r["pos"] for r in rows}), {(r["e"], r["pos"]): r["confidence"] for r in rows}, title)
 
 
+def track_figure(ensembles: DataFrame, title: str = "overlap") -> str:
+    """A bar from the first to the last position of every ensemble of ``duet.ensemble_summary``, in order of place; those of 95 % of the longest and more stand out."""
+    rows = ensembles.select("chr", "strand", "ensemble", "start", "end").orderBy("chr", "strand", "start", F.col("end").desc(), "ensemble").collect()
+    longest = max((r["end"] - r["start"] + 1 for r in rows), default=1)
+    sx = _scale([x for r in rows for x in (r["start"], r["end"])], MARGIN, WIDTH - MARGIN)
+    h = (HEIGHT - 2 * MARGIN) / max(1, len(rows))
+    full = lambda r: r["end"] - r["start"] + 1 >= 0.95 * longest
+    bars_ = "".join(
+        f'<rect x="{sx(r["start"]):.1f}" y="{MARGIN + i * h:.2f}" width="{max(1.0, sx(r["end"]) - sx(r["start"])):.1f}" height="{0.8 * h:.2f}" fill="{"#d7301f" if full(r) else "#1b6ca8"}"><title>{escape(str(r["ensemble"]))}</title></rect>'
+        for i, r in enumerate(rows)
+    )
+    return _frame(bars_, title, "position", "ensemble")
+
+
 _LABEL = re.compile(r"position\.label in template: (\d+)\.(\w)")
 
 

@@ -202,3 +202,16 @@ def test_report_and_duet_layouts(spark):
     members = {r["WindowStart"]: r["n"] for r in s.groupBy("WindowStart").agg(F.sum("Members").alias("n")).collect()}
     assert all(members[r["WindowStart"]] == r["ReadCount"] for r in rows)
     assert {r["GlobalEnsembleID"] for r in b.collect()} == {r["GlobalEnsembleID"] for r in g.collect()} == {f"E{i + 1}" for i in range(out["ensembles"].count())}
+
+
+def test_genes_are_named_by_depth(spark, tmp_path):
+    p = spark.createDataFrame([("c", "+", i, 10 * i) for i in range(1, 9)], "chr string, strand string, pos int, depth long")
+    genes = spark.createDataFrame([("c", 1, 4, "+", "g1", "a b/c"), ("c", 5, 6, "+", "g2", None), ("d", 1, 9, "+", "g3", None)], "seqname string, start long, end long, strand string, gene_id string, gene_name string")
+    tables.write_genes(extract.extract_genes(p, genes), str(tmp_path / "o"))
+    assert {d for d in os.listdir(tmp_path / "o") if d.startswith("gene=")} == {"gene=a_b_c_depth25.0", "gene=g2_depth55.0"}
+
+
+def test_tracks_of_ensembles(spark):
+    e = spark.createDataFrame([("c", "+", 7, 1, 100), ("c", "+", 8, 3, 98), ("c", "+", 9, 50, 60)], "chr string, strand string, ensemble long, start int, end int")
+    figure = svg.track_figure(e)
+    assert figure.count("#d7301f") == 2 and figure.count("#1b6ca8") == 1 and "<title>9</title>" in figure
