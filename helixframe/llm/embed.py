@@ -15,11 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .topk import usable
-from .util import BROADCAST_ROWS, Scratch, connected_components, cut, distinct_digests
+from .util import BROADCAST_ROWS, Scratch, connected_components, cut, rekeyed, shared_keys
 
 #: Blocks a vector is split into.
 BLOCKS = 4
@@ -159,6 +159,10 @@ def _link_batches(total: float, cosine: float, dtype: type):
     return run
 
 
+def _class_key(vector: Column) -> Column:
+    return F.xxhash64(vector)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -184,10 +188,10 @@ def _near_vectors(vectors: DataFrame, tmp: Scratch, cosine: float, id_col: str,
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     fit = usable(F.col("v")) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("ok", fit)
-    of_class = lambda salt: v.withColumn("cls", F.when(F.col("ok"), F.xxhash64(F.lit(salt), "v")))
-    make = lambda salt: of_class(salt).where("ok").groupBy("cls", F.xxhash64(F.lit(-1), "v").alias("check")).agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("v").alias("v"))
-    classes, salt = distinct_digests(make, "cls", tmp)
-    v = of_class(salt)
+    v = v.withColumn("cls", F.when(F.col("ok"), _class_key(F.col("v")))).withColumn("check", F.xxhash64(F.lit(-1), "v"))
+    classes = tmp.stored(v.where("ok").groupBy("cls", "check").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("v").alias("v")), "classes")
+    shared = shared_keys(classes)
+    v, classes = rekeyed(v, shared), rekeyed(classes, shared)
     # single precision travels as it is; all is computed in double
     kind, name = (np.float32, "float") if v.schema["v"].dataType.elementType.simpleString() == "float" else (np.float64, "double")
     strips = tmp.stored(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytefeat import U64, lower_ascii, mix64, pieces, shingle_hashes, span_hashes, text_buffers, words
-from .util import Scratch, broadcast_if_small, connected_components, cut, distinct_digests, pieces_of
+from .util import Scratch, broadcast_if_small, connected_components, cut, pieces_of, rekeyed, shared_keys
 
 #: Minwise tokens per set, trees, branches a node selects, levels before sizes are looked at.
 TOKENS, TREES, BRANCHES, FIRST_LEVELS = 64, 5, 2, 3
@@ -70,10 +70,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _set_key(x: np.ndarray, salt: int = 0) -> tuple[int, int]:
-    """Two independent 64-bit digests of a set, as signed integers; the first depends on the salt."""
+def _set_key(x: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set, as signed integers."""
     with np.errstate(over="ignore"):
-        a = mix64(mix64(x ^ U64(0x5851F42D4C957F2D + salt)).sum(dtype=U64)[None] + U64(len(x)))
+        a = mix64(mix64(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)[None] + U64(len(x)))
         b = mix64(x * U64(0xDA942042E4DD58B5)).sum(dtype=U64)[None]
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
@@ -92,14 +92,14 @@ def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _feature_batches(k: int, salt: int):
+def _feature_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = text_buffers(batch.column(1))
             for i, j in pieces(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 sig = signatures(sets)
-                keys = [_set_key(x, salt) for x in sets]
+                keys = [_set_key(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -330,13 +330,14 @@ def _verify_batches(numerator: int, denominator: int):
     return run
 
 
-def _set_batches(k: int, salt: int):
+def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = text_buffers(batch.column(1))
             for i, j in pieces(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x, salt)[0] for x in sets], pa.int64()), pa.array([_pack_set(x) for x in sets], pa.binary())], ["cls", "set"])
+                keys = [_set_key(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([*[pa.array([key[i] for key in keys], pa.int64()) for i in (0, 1)], pa.array([_pack_set(x) for x in sets], pa.binary())], ["cls", "check", "set"])
 
     return run
 
@@ -368,21 +369,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(spark) as tmp:
-        made: list[DataFrame] = []
-
-        def make_classes(salt: int) -> DataFrame:
-            tmp.drop(*made)
-            made[:] = [tmp.stored(source.mapInArrow(_feature_batches(k, salt), "doc_id long, n_shingles long, cls long, check long, sig binary, low binary"), "shingles")]
-            return (
-                made[0]
-                .where("n_shingles > 0")
-                .groupBy("cls", "check", "n_shingles")
-                .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**62)).alias("o"), "sig", "low")).alias("s"))
-                .select("cls", "least", "s.sig", "s.low")
-            )
-
-        classes, salt = distinct_digests(make_classes, "cls", tmp)
-        feats = made[0]
+        feats = tmp.stored(source.mapInArrow(_feature_batches(k), "doc_id long, n_shingles long, cls long, check long, sig binary, low binary"), "shingles")
+        classes = (
+            feats.where("n_shingles > 0")
+            .groupBy("cls", "check", "n_shingles")
+            .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**62)).alias("o"), "sig", "low")).alias("s"))
+            .select("cls", "check", "least", "s.sig", "s.low")
+        )
+        classes = tmp.stored(classes, "classes")
+        shared = shared_keys(classes)
+        feats, classes = rekeyed(feats, shared), rekeyed(classes, shared)
         low = classes.select("cls", "low")
         small, dense = leaves(classes.select("cls", "sig", "low"), tmp)
         dense = tmp.stored(dense, "dense")
@@ -398,8 +394,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
         # the full sets of all classes with a likely partner: a text of each, found by its id (null ids are looked up, too)
         wanted = forest.select(F.col("a").alias("cls")).union(forest.select("b")).union(dense.select("cls")).distinct()
         wanted = cut(wanted.join(classes.select("cls", "least"), "cls"))
-        texts = source.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").mapInArrow(_set_batches(k, salt), "cls long, set binary")
-        sets = tmp.stored(texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        texts = source.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").mapInArrow(_set_batches(k), "cls long, check long, set binary")
+        sets = tmp.stored(rekeyed(texts, shared).select("cls", "set").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
         def confirmed(pairs: DataFrame, name: str) -> DataFrame:
             a, b = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -135,20 +135,25 @@ def cut(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def distinct_digests(make: Callable[[int], DataFrame], key: str, scratch: Scratch, tries: int = 5) -> tuple[DataFrame, int]:
-    """``make(salt)``, stored, for the first salt under which its rows all have different ``key``; and that salt.
+def shared_keys(classes: DataFrame, key: str = "cls") -> DataFrame | None:
+    """The 64-bit keys that several rows of ``classes`` have, None if there are none.
 
-    The rows are classes told apart by more than the 64 bits of ``key``; if two
-    of them share it, all are made again under another salt, so that joins on
-    ``key`` alone never mix classes.
+    Classes are told apart by key and check, 128 bits; of 10**10, a few pairs
+    are expected to share the key. Such classes get a key of both digests by
+    ``rekeyed``, in every table that names classes, so that joins on the key
+    alone never mix classes.
     """
-    for salt in range(tries):
-        out = scratch.stored(make(salt), "classes")
-        rows, keys = out.agg(F.count("*"), F.countDistinct(key)).first()
-        if rows == keys:
-            return out, salt
-        scratch.drop(out)
-    raise RuntimeError(f"{key} collides under {tries} salts")
+    shared = cut(classes.groupBy(key).count().where("count > 1").select(key))
+    return None if shared.isEmpty() else shared
+
+
+def rekeyed(df: DataFrame, shared: DataFrame | None, key: str = "cls", check: str = "check") -> DataFrame:
+    """``df`` with the keys of ``shared`` replaced by a digest of key and check."""
+    if shared is None:
+        return df
+    hit = broadcast_if_small(shared.select(F.col(key).alias("_shared")))
+    j = df.join(hit, F.col(key) == F.col("_shared"), "left")
+    return j.withColumn(key, F.when(F.col("_shared").isNotNull(), F.xxhash64(key, check)).otherwise(F.col(key))).drop("_shared")
 
 
 def pieces_of(spark: SparkSession, rows: int, each: int) -> int:
@@ -160,11 +165,13 @@ def pieces_of(spark: SparkSession, rows: int, each: int) -> int:
 #: A side is broadcast only when counted and found to have no more rows than this.
 BROADCAST_ROWS = 5_000
 
+#: The same for rows of one number.
+BROADCAST_IDS = 250_000
+
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a count; ``df`` should be stored or checkpointed already."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 #: Up to so many edges are contracted by one task (16 bytes each); more by rounds of joins.

@@ -63,13 +63,17 @@ def test_scratch_tables_go(spark):
     assert not os.path.isdir(path) and b.count() == 3
 
 
-def test_colliding_digests_are_made_again(spark):
-    make = lambda salt: spark.range(10).select((F.col("id") % (5 + 5 * salt)).alias("cls"), "id")
-    with util.Scratch(spark) as tmp:
-        classes, salt = util.distinct_digests(make, "cls", tmp)
-        assert salt == 1 and classes.count() == 10
-        with pytest.raises(RuntimeError):
-            util.distinct_digests(lambda salt: make(0), "cls", tmp)
+def test_classes_that_share_a_key(spark, monkeypatch):
+    """With keys of a few bits nearly all classes share theirs; the second digest tells them apart."""
+    rows = [(i, t) for i, t in enumerate(["a b c d e f", "a b c d e f", "u v w x y z", "", None, *[" ".join(f"{w}{j}" for j in range(40 - i)) for w in "pqr" for i in (0, 0, 1, 2)]])]
+    docs = spark.createDataFrame(rows, DOCS)
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, 0.1 * (i % 2)]) for i in range(30)], "vec_id long, embedding array<float>")
+    take = lambda: (sorted(minhash.near_duplicates(docs, k=4).collect()), sorted(embed.near_vectors(vectors).collect()))
+    want, key = take(), minhash._set_key
+    monkeypatch.setattr(minhash, "_set_key", lambda x: (key(x)[0] % 2, key(x)[1]))
+    monkeypatch.setattr(embed, "_class_key", lambda v: F.xxhash64(v) % 3)
+    assert take() == want and util.shared_keys(spark.range(9).select((F.col("id") % 5).alias("cls"))).count() == 4
+    assert util.shared_keys(spark.range(9).withColumnRenamed("id", "cls")) is None
 
 
 def test_words_and_shingles():
@@ -689,3 +693,18 @@ def test_bpe_edges(spark, codec):
 
 def test_same_helper(spark):
     same(spark.range(3), "select * from range(3) t(id)")
+
+
+def test_very_long_texts(spark):
+    """A text of 4 MB beside short ones in the operators that take whole texts."""
+    rng = random.Random(11)
+    words = [f"{rng.choice(['the', 'house', 'river', 'and', 'stone'])}{rng.randrange(5000)}" for _ in range(450_000)]
+    long, near = " ".join(words), " ".join(words[:-3000])
+    d = spark.createDataFrame([(2, long, "en"), (5, near, "en"), (6, "a short text of a few words", "en"), (8, "noch ein kurzer Text mit Worten", "de"), (9, "", "de")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in minhash.near_duplicates(d, k=4).collect()}
+    assert got[5][0] == got[2][0] == 2 and got[2][1] > 400_000 and got[6][0] == 6
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(d, langid.learn(d)).collect()}[9] == "und"
+    model = quality.learn(d, spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int"))
+    assert all(0 <= r["score"] <= 1 for r in quality.score(d, model).collect())
+    back = {r["doc_id"]: r for r in bpe.round_trip(d, bpe.Vocabulary.public()).collect()}
+    assert back[2]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
