@@ -2,8 +2,8 @@
 
 A word is a set of token-position rows. Each step of a recursive query joins
 neighbouring tokens to the merge table and contracts every word's leftmost
-pair of least rank, until no word has a pair left. Words are encoded once per
-task and looked up after that. Decoding joins token rows to the vocabulary and
+pair of least rank, until no word has a pair left. Words are encoded once
+and looked up after that, also by later tasks of the same worker. Decoding joins token rows to the vocabulary and
 puts the pieces together by an ordered aggregation.
 
 Very long words go through the same query in windows. A sequence of tokens is
@@ -16,6 +16,7 @@ overlap in a token are thus joined at it without changing a token.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,21 +31,22 @@ from .util import stored
 LONG_WORD, WINDOW = 256, 128
 
 #: Bytes of the words of one query; tokens of one decoding query. A cache above CACHE_WORDS starts anew.
-BATCH_BYTES, BATCH_TOKENS, CACHE_WORDS = 1 << 18, 1 << 18, 400_000
+BATCH_BYTES, BATCH_TOKENS, CACHE_WORDS = 1 << 18, 1 << 18, 700_000
 
+#: ``key`` is word * 2**32 + pos, so one order serves all words; a pair is taken by its least rank * 2**32 + pos within the word.
 ENCODE_SQL = """
 with recursive step as (
-  select word, pos, id, false as done from bytes_
+  select word::bigint * 4294967296 + pos as key, id, false as done from bytes_
   union all
-  select word, pos, id, done from (
+  select key, id, done from (
     with pairs as (
-      select s.word, s.pos, s.id, s.before, m.rank from (
-        select word, pos, id, lead(id) over w as after, lag(pos) over w as before from step where not done window w as (partition by word order by pos)) s
+      select s.key, s.id, s.before, m.rank from (
+        select key, id, case when (lead(key) over w) >> 32 = key >> 32 then lead(id) over w end as after, lag(key) over w as before from step where not done window w as (order by key)) s
       left join merges m on m.pair = s.id::bigint * 65536 + s.after),
-    best as (select word, min(rank::bigint * 4294967296 + pos) as b from pairs group by word)
-    select p.word, p.pos, case when b.b % 4294967296 = p.pos then (b.b // 4294967296)::int else p.id end as id, b.b is null as done
-    from pairs p join best b on b.word = p.word where b.b is null or p.before is null or p.before <> b.b % 4294967296))
-select word, id from step where done order by word, pos
+    best as (select key >> 32 as word, min(rank::bigint * 4294967296 + (key & 4294967295)) as b from pairs group by 1)
+    select p.key, case when b.b & 4294967295 = p.key & 4294967295 then (b.b >> 32)::int else p.id end as id, b.b is null as done
+    from pairs p join best b on b.word = p.key >> 32 where b.b is null or p.before is null or p.before <> (p.key >> 32 << 32) + (b.b & 4294967295)))
+select (key >> 32)::int as word, id from step where done order by key
 """
 
 DECODE_SQL = "select row, list(piece order by pos) as pieces from tokens_ join vocab using (id) group by row"
@@ -110,9 +112,9 @@ class Codec:
         pos = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
         return pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": pos.astype(np.int32), "id": self.byte_id[data]})
 
-    def _query(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word by the recursive query, a bounded number of bytes at a time."""
-        out: list[np.ndarray] = []
+    def _raw(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as ``encode`` gives them, by the recursive query, a bounded number of bytes at a time."""
+        out: list[bytes] = []
         i = 0
         while i < len(words):
             j, size = i, 0
@@ -121,12 +123,15 @@ class Codec:
                 j += 1
             self.db.register("bytes_", self._rows(words[i:j]))
             got = self.db.sql(ENCODE_SQL).to_arrow_table()
-            ids = got.column("id").to_numpy()
-            edge = np.searchsorted(got.column("word").to_numpy(), np.arange(j - i + 1))
-            out += [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            raw = got.column("id").to_numpy().astype("<u4").tobytes()
+            edge = (np.searchsorted(got.column("word").to_numpy(), np.arange(j - i + 1)) * 4).tolist()
+            out += [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
             i = j
         return out
 
+    def _query(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4").astype(np.int32) for x in self._raw(words)]
+
     def _places(self, ids: np.ndarray, start: int) -> np.ndarray:
         """Where each token starts, and where the last one ends."""
         return start + np.concatenate([[0], np.cumsum(self.size[ids])])
@@ -203,8 +208,8 @@ class Codec:
                 self.cache[w] = i.to_bytes(4, "little")
             else:
                 (short if len(data) <= LONG_WORD else long).append((w, data))
-        for (w, _), ids in zip(short, self._query([d for _, d in short]), strict=True):
-            self.cache[w] = ids.astype("<u4").tobytes()
+        short.sort(key=lambda x: len(x[1]))  # a query takes as many steps as its longest word
+        self.cache.update(zip([w for w, _ in short], self._raw([d for _, d in short]), strict=True))
         for w, data in long:
             ids = self._windows(data)
             self.cache[w] = (self._scan(data) if ids is None else ids).astype("<u4").tobytes()
@@ -252,6 +257,18 @@ class Codec:
         return out
 
 
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec_of(vocabulary: Vocabulary) -> Codec:
+    """The process's codec of a vocabulary: tasks that follow each other in a worker share its tables and its cache."""
+    key = hashlib.sha256(b"".join([vocabulary.pattern.encode(), vocabulary.pair.tobytes(), vocabulary.rank.tobytes(), *(p or b"" for p in vocabulary.pieces)])).digest()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(vocabulary)
+    return _codecs[key]
+
+
 def _chunks(texts: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     i = size = 0
     for j, t in enumerate(texts):
@@ -273,7 +290,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in _chunks(texts):
@@ -286,7 +303,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids, data: the bytes that the ids stand for (null ids: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         for batch in batches:
             ids = [x or b"" for x in batch.column(1).to_pylist()]
             start = 0
@@ -309,7 +326,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in _chunks(texts, 2 << 20):
