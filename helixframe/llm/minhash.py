@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytefeat import U64, lower_ascii, mix64, pieces, shingle_hashes, span_hashes, text_buffers, words
-from .util import Scratch, broadcast_if_small, connected_components, cut, pieces_of, rekeyed, shared_keys
+from .util import BROADCAST_IDS, Scratch, broadcast_if_small, connected_components, cut, pieces_of, rekeyed, shared_keys
 
 #: Minwise tokens per set, trees, branches a node selects, levels before sizes are looked at.
 TOKENS, TREES, BRANCHES, FIRST_LEVELS = 64, 5, 2, 3
@@ -186,6 +186,8 @@ def leaves(reps: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
         large = sized.where(F.col("size") > NODE_LIMIT).select("node", "cls")
         if large.isEmpty():
             break
+        if level == FIRST_LEVELS:  # classes of deeper large nodes are among those of the first
+            reps = tmp.stored(reps.join(broadcast_if_small(cut(large.select("cls").distinct()), BROADCAST_IDS), "cls", "left_semi"), "crowded")
         big = tmp.stored(large.join(reps, "cls").select("node", "cls", "sig", "low"), "large")
         pick = [F.min_by(F.struct("cls", "low"), F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(HEADS)]
         heads = broadcast_if_small(cut(big.groupBy("node").agg(*pick)))
@@ -394,7 +396,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
         # the full sets of all classes with a likely partner: a text of each, found by its id (null ids are looked up, too)
         wanted = forest.select(F.col("a").alias("cls")).union(forest.select("b")).union(dense.select("cls")).distinct()
         wanted = cut(wanted.join(classes.select("cls", "least"), "cls"))
-        texts = source.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").mapInArrow(_set_batches(k), "cls long, check long, set binary")
+        ids = broadcast_if_small(cut(wanted.select("least").distinct()), BROADCAST_IDS)  # so that texts stay where they are
+        texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").mapInArrow(_set_batches(k), "cls long, check long, set binary")
         sets = tmp.stored(rekeyed(texts, shared).select("cls", "set").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
         def confirmed(pairs: DataFrame, name: str) -> DataFrame:
