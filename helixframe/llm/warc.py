@@ -248,13 +248,65 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records under ``path`` as they stand: headers that matter here and raw blocks.
 
     A file is one row of Spark's binary reader, so it must fit a task and be
-    below 2 GB; ``write_warc`` keeps to 64 MB before compression. To be read
-    with few rows a batch (``util.step``).
+    below 2 GB; ``write_warc`` keeps to 64 MB before compression, and
+    ``stream_warc`` takes larger archives of others. To be read with few rows a
+    batch (``util.step``).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_read_batches, READ_DDL)
 
 
+#: What every record begins with; archives are read as rows between two of them.
+_MARK = b"WARC/1."
+
+
+def _stream_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, bytes between two marks), in order within a file -> records; a mark inside a block is put back."""
+    number = lambda x: int(x) if x is not None and x.lstrip("-").isdigit() else None
+    file, parts, have, head, need = None, [], 0, None, 0  # of the record that is being put together
+
+    def record() -> Iterator[pa.RecordBatch]:
+        if head is None:
+            return
+        h, at = head
+        block = b"".join(parts)[at : at + need]
+        digest = h.get("warc-payload-digest")
+        row = (file, h.get("warc-record-id"), h.get("warc-type"), _unclean(h.get("warc-target-uri")), h.get("warc-refers-to"), digest and digest.partition(":")[2], h.get("warc-segment-origin-id"), h.get("x-instance"), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), block, len(block) == need)
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _READ, strict=True)], schema=_READ)
+
+    for batch in batches:
+        for name, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if name != file or (head is not None and have >= head[1] + need):
+                yield from record()
+                file, parts, have, head = name, [], 0, None
+            if not parts and not re.match(rb"\d+\r\n", piece):
+                continue  # before the first record, or the rest of one that another split has
+            parts.append(_MARK + piece)
+            have += len(_MARK) + len(piece)
+            if head is None:
+                raw = b"".join(parts) if len(parts) > 1 else parts[0]
+                end = raw.find(CRLF + CRLF)
+                if end >= 0:
+                    lines = raw[:end].decode("utf-8", "replace").split("\r\n")[1:]
+                    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                    n = headers.get("content-length", "")
+                    head, need = (headers, end + 4), int(n) if n.isdigit() else 0
+    yield from record()
+
+
+def stream_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``read_warc`` from .warc and .warc.gz files of any size, a record at a time in memory.
+
+    Compressed files are decompressed as they stream by (Hadoop's codec, by
+    the name's end), plain ones are split. A record of a plain file that holds
+    the text 'WARC/1.' across the border of two splits comes out not intact.
+    Damaged records end where their stated length ends, or the file. To be read
+    with few rows a batch (``util.step``).
+    """
+    rows = spark.read.option("lineSep", _MARK.decode()).option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.input_file_name().alias("file"), F.col("value").cast("binary")).mapInArrow(_stream_batches, READ_DDL)
+
+
 def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks put together, each byte copied once."""
     for batch in batches:

@@ -118,6 +118,21 @@ def test_warc_extra_columns_and_long_pages(spark, tmp_path):
     assert len(got) == 9 and all(r["whole"] for r in got.values()) and got[9, 2_800_000]["payload_digest"] == hashlib.sha1(b"ab\r\n" * 700_000).hexdigest()
 
 
+def test_streamed_archives(spark, tmp_path):
+    rng = random.Random(3)
+    blocks = [b"", b"plain", b"a WARC/1.1\r\nin the middle WARC/1. of it", bytes(rng.randrange(256) for _ in range(200_000)), "é".encode() * 50, b"WARC/1.0\r\n\r\n"]
+    records = [[("WARC-Type", "resource"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Target-URI", f"u/WARC/1.{i}")] for i in range(len(blocks))]
+    members = [warc._record(h, b) for h, b in zip(records, blocks, strict=True)]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "y.warc").write_bytes(b"".join(zlib.decompress(m, 31) for m in members))
+    for name in ("x.warc.gz", "y.warc"):
+        got = {r["record_id"]: r for r in warc.stream_warc(spark, str(tmp_path / name)).collect()}
+        assert [bytes(got[f"<{i}>"]["block"]) for i in range(len(blocks))] == blocks and len(got) == len(blocks)
+        assert all(r["intact"] and r["warc_type"] == "resource" for r in got.values()) and got["<2>"]["target_uri"] == "u/WARC/1.2"
+    whole = {(r["record_id"], r["intact"]) for r in warc.read_warc(spark, str(tmp_path / "x.warc.gz")).collect()}
+    assert whole == {(f"<{i}>", True) for i in range(len(blocks))}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunked_framing(body, size):
