@@ -25,10 +25,10 @@ from .util import BROADCAST_ROWS, Scratch, connected_components, cut, rekeyed, s
 BLOCKS = 4
 
 #: A strip of more vectors than this is cut into chunks that meet pairwise.
-CHUNK = 16_384
+CHUNK = 32_768
 
 #: Rows of a distance matrix held at once.
-TILE = 512
+TILE = 128
 
 
 @lru_cache(maxsize=4)
