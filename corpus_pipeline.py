@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, minhash, mix, quality, suffix
-from helixframe.llm.util import Scratch
+from helixframe.llm.util import BROADCAST_IDS, Scratch, broadcast_if_small, cut
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.learn(docs.select("doc_id", "text"), labels, repeats=True)
-    scored = quality.score(docs, model, keep=tuple(docs.columns))
-    return scored.where("predicted = 1").select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    digest = {"digest": F.xxhash64("text"), "check": F.xxhash64(F.lit(1), "text")}
+    scored = quality.score(docs.select("doc_id", "text", *[c.alias(n) for n, c in digest.items()]), model, keep=tuple(digest))
+    rejected = broadcast_if_small(cut(scored.where("predicted = 0").select(*[F.col(f"kept_{n}").alias(n) for n in digest]).distinct()), BROADCAST_IDS)
+    # a text's score hangs on the text alone, so texts are looked up by digest and stay where they are
+    return docs.join(rejected, [c == rejected[n] for n, c in digest.items()], "left_anti")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     near a row that has one; rows that share a kept id all stay. Extra columns
     pass through; an empty table stays empty.
     """
-    kept = minhash.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    near = minhash.near_duplicates(docs, k=5)
+    gone = broadcast_if_small(cut(near.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select(F.col("doc_id").alias("gone"))), BROADCAST_IDS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
