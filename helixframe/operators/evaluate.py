@@ -12,12 +12,18 @@ from ..functions.columns import normalize_base
 def match_counts(signal: DataFrame, structure: DataFrame, max_shift: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """keys, shift, matches, checked for every shift in -max_shift..max_shift: equal bases (T as U) at pos + shift.
 
-    The shifts explode the structure, the smaller side; the join is on position.
+    Equal rows of either side count once, with their number. Both sides go to
+    bins as wide as the range of shifts, so a signal row meets the two bins
+    that it can reach; neither side is multiplied by the shifts.
     """
-    st = structure.select(F.col("pos").alias("spos"), normalize_base(F.col("base")).alias("sbase")).withColumn("shift", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))))
-    st = st.withColumn("pos", F.col("spos") - F.col("shift"))
-    j = signal.select(*keys, "pos", normalize_base(F.col("base")).alias("b")).join(st, "pos")
-    return j.groupBy(*keys, "shift").agg(F.sum((F.col("b") == F.col("sbase")).cast("long")).alias("matches"), F.count("*").alias("checked"))
+    width = 2 * max_shift + 1
+    st = structure.groupBy(F.col("pos").cast("long").alias("spos"), normalize_base(F.col("base")).alias("sbase")).agg(F.count("*").alias("sn")).where("spos is not null")
+    st = st.withColumn("bin", F.floor(F.col("spos") / width))
+    s = signal.groupBy(*keys, F.col("pos").cast("long").alias("pos"), normalize_base(F.col("base")).alias("b")).agg(F.count("*").alias("n")).where("pos is not null")
+    s = s.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor((F.col("pos") - max_shift) / width), F.floor((F.col("pos") + max_shift) / width)))))
+    shift, rows = F.col("spos") - F.col("pos"), F.col("n") * F.col("sn")
+    j = s.join(st, "bin").where(shift.between(-max_shift, max_shift))
+    return j.groupBy(*keys, shift.cast("int").alias("shift")).agg(F.sum(F.when(F.col("b").isNotNull() & F.col("sbase").isNotNull(), F.when(F.col("b") == F.col("sbase"), rows).otherwise(0))).alias("matches"), F.sum(rows).alias("checked"))
 
 
 def best_shift(signal: DataFrame, structure: DataFrame, max_shift: int, keys: list[str] = []) -> DataFrame:  # noqa: B006

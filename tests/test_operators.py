@@ -135,6 +135,22 @@ def test_shift_recovery(spark):
     assert evaluate.best_shift(sig, stru, 8).first()["shift"] == 4
 
 
+def test_shift_counts_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    letters = ["A", "c", "G", "U", "t", None]
+    sig = [(int(k), int(p), letters[int(b)]) for k, p, b in zip(rng.integers(0, 2, 150), rng.integers(-40, 60, 150), rng.integers(0, 6, 150), strict=True)]  # repeated positions on both sides
+    stru = [(int(p), letters[int(b)], True) for p, b in zip(rng.integers(-50, 70, 120), rng.integers(0, 6, 120), strict=True)]
+    got = evaluate.match_counts(spark.createDataFrame(sig, "k int, pos int, base string"), spark.createDataFrame(stru, "pos int, base string, is_single boolean"), 6, ["k"]).collect()
+    plain = lambda b: None if b is None else b.upper().replace("U", "T")
+    want = {}
+    for k, p, b in sig:
+        for q, c, _ in stru:
+            if abs(q - p) <= 6:
+                m, n = want.get((k, q - p), (0, 0))
+                want[k, q - p] = (m + (b is not None and plain(b) == plain(c)), n + 1)
+    assert {(r["k"], r["shift"]): (r["matches"], r["checked"]) for r in got} == want
+
+
 def test_norm_scale_equivariance(spark):
     rng = np.random.default_rng(1)
     rows = [("c", "+", i, float(v)) for i, v in enumerate(rng.gamma(1, 1, 120))] + [("c", "+", 200, float("nan"))]

@@ -56,3 +56,10 @@ def test_figures_leave_no_group_out(spark):
     assert layout.matrix(bases)[2].shape == (90, 50) and (layout.matrix(bases)[2] == 0.5).all()
     genes = spark.range(5000).select((F.col("id") / 5000).alias("coverage"), (F.col("id") * 0.01).alias("avg_depth"), F.lit(False).alias("high"))
     assert min(float(x) for x in re.findall(r'cx="([\d.]+)"', svg.coverage_figure(genes))) == svg.MARGIN
+
+
+@pytest.mark.parametrize("name", ["auto_shift_best"])
+def test_structure_is_not_multiplied_by_shifts(spark, name):
+    own = spark.newSession()
+    own.conf.set("spark.sql.maxBroadcastTableSize", "40m")  # sf0.1 has 20,000 positions; times 41 shifts they exceed it
+    same(catalogue.queries()[name](own, "/root/testdata/sf0.1"), catalogue.oracle_sql()[name], "/root/testdata/sf0.1")
