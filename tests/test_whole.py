@@ -58,7 +58,7 @@ def test_figures_leave_no_group_out(spark):
     assert min(float(x) for x in re.findall(r'cx="([\d.]+)"', svg.coverage_figure(genes))) == svg.MARGIN
 
 
-@pytest.mark.parametrize("name", ["shift_matches", "auto_shift_best"])
+@pytest.mark.parametrize("name", ["shift_matches", "auto_shift_best", "evaluate_both_signals"])
 def test_structure_is_not_multiplied_by_shifts(spark, name):
     own = spark.newSession()
     own.conf.set("spark.sql.maxBroadcastTableSize", "40m")  # sf0.1 has 20,000 positions; times 41 shifts they exceed it
