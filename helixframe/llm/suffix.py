@@ -41,6 +41,9 @@ ANCHOR_BYTES = 5
 #: Fragments whose suffix order is built together (more if they share an anchor).
 COLLECTION = 16_384
 
+#: Windows whose anchors are found together, so that their hashes stay in a core's cache.
+STRETCH = 16_384
+
 #: Packs, or blobs of a bucket, in an Arrow batch.
 PACKS_AT_ONCE = 2
 
@@ -156,30 +159,44 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     if n < width:
         return none.view(U64), none, none, none, none
     eight = np.ndarray((n - 7,), "<u8", data.tobytes(), 0, (1,))  # the eight bytes from each place on
-    gram = _gram_hash(eight[: n - GRAM + 1], eight[GRAM - 8 :])
     low = U64((1 << 36) - 1)  # places; the rest of the hash decides first
-    key = (gram & ~low) | (np.arange(len(gram), dtype=U64) & low)
-    best, size = key, 1
-    while size * 2 <= span:
-        best = np.minimum(best[:-size], best[size:])
-        size *= 2
-    best = np.minimum(best[: len(key) - span + 1], best[span - size : span - size + len(key) - span + 1])
-    # windows that lie in one text
-    inside = np.zeros(n + 1, np.int32)
+    # windows that lie in one text; those of two texts are never neighbours
+    inside = np.zeros(n + 1, np.int8)
     long = np.flatnonzero(np.diff(offsets) >= width)
     inside[offsets[long]] += 1
     inside[offsets[long + 1] - width + 1] -= 1
-    s = np.flatnonzero(np.cumsum(inside[: len(best)]))
-    p = (best[s] & low).astype(np.int64)
-    begin = np.ones(len(s), bool)
-    begin[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
-    # a text border starts a new run even where two texts' windows are neighbours
-    row_start = np.zeros(n + 1, bool)
-    row_start[offsets] = True
-    begin |= row_start[s]
-    f = np.flatnonzero(begin)
-    start = s[f]
-    return mix64(gram[p[f]]), np.searchsorted(offsets, start, side="right") - 1, start, np.diff(np.append(f, len(s))), p[f] - start
+    inside = np.cumsum(inside, dtype=np.int8).view(bool)
+    place = np.arange(STRETCH + span, dtype=U64)
+    starts, digests, insets = [], [], []
+    last = -1  # anchor of the window before, if there is one
+    for at in range(0, n - width + 1, STRETCH):
+        m = min(STRETCH, n - width + 1 - at)
+        ok = inside[at : at + m]
+        if not ok.any():
+            last = -1
+            continue
+        grams = m + span - 1
+        gram = _gram_hash(eight[at : at + grams], eight[at + GRAM - 8 : at + GRAM - 8 + grams])
+        best, size = (gram & ~low) | place[:grams], 1
+        while size * 2 <= span:
+            best = np.minimum(best[:-size], best[size:])
+            size *= 2
+        best = np.minimum(best[:m], best[span - size : span - size + m])
+        p = (best & low).astype(np.int64)
+        begin = ok.copy()
+        begin[1:] &= (p[1:] != p[:-1]) | ~ok[:-1]
+        begin[0] &= last != p[0] + at
+        f = np.flatnonzero(begin)
+        starts.append(f + at)
+        digests.append(mix64(gram[p[f]]))
+        insets.append(p[f] - f)
+        last = int(p[-1]) + at if ok[-1] else -1
+    if not starts:
+        return none.view(U64), none, none, none, none
+    start = np.concatenate(starts)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    windows = np.minimum(np.append(start[1:], n), offsets[row + 1] - width + 1) - start
+    return np.concatenate(digests), row, start, windows, np.concatenate(insets)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -527,27 +544,30 @@ def _without_repeats(docs: DataFrame, tmp: Scratch, width: int, id_col: str, tex
         for b in batches:
             for raw, told_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 pack = Pack(_open(raw), id_col, text_col, width)
-                removed = []  # starts of removed windows
                 own = {x["bucket"]: x["owners"] for x in told_ or []}
-                for k, (hits, number, _, windows, _, _) in pack.repeated(buckets, _unpack(told_)).items():
-                    v = _expand(own[k])
-                    n = int(np.frombuffer(v[:8], np.int64)[0])
-                    run, who = np.frombuffer(v[8 : 8 + 8 * n], np.int64), np.frombuffer(v[8 + 8 * n :], np.int64)
-                    flat = np.repeat(who, np.diff(np.append(run, windows.sum())))  # owner of every window of the distinct fragments
-                    w_first = np.cumsum(windows) - windows
-                    m = windows[number]
-                    inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                    gone = flat[np.repeat(w_first[number], m) + inner] < np.repeat(pack.ids[pack.row[hits]], m)
-                    removed.append((np.repeat(pack.start[hits], m) + inner)[gone])
-                at = np.concatenate(removed) if removed else np.zeros(0, np.int64)
-                n = len(pack.data) + 1
-                step = np.bincount(at, minlength=n) - np.bincount(at + width, minlength=n)
-                cover = np.cumsum(step[:-1]) > 0
+                cover = _cover(pack, pack.repeated(buckets, _unpack(told_)), own, width)
                 yield from _finished(pack, cover, arrow_schema)
 
     return packs.select("pack", "rows").join(answers, "pack", "left").select("pack", "rows", "answers").mapInArrow(apply, out_schema)
 
 
+def _cover(pack: Pack, parts: dict[int, tuple], owners: dict[int, bytes], width: int) -> np.ndarray:
+    """For every byte of a pack, whether it goes."""
+    gone = np.zeros(len(pack.data), np.int8)  # starts of removed windows
+    for k, (hits, number, _, windows, _, _) in parts.items():
+        v = _expand(owners[k])
+        n = int(np.frombuffer(v[:8], np.int64)[0])
+        run, who = np.frombuffer(v[8 : 8 + 8 * n], np.int64), np.frombuffer(v[8 + 8 * n :], np.int64)
+        flat = np.repeat(who, np.diff(np.append(run, windows.sum())))  # owner of every window of the distinct fragments
+        m = windows[number]
+        theirs = flat[_ranges((np.cumsum(windows) - windows)[number], m)] < np.repeat(pack.ids[pack.row[hits]], m)
+        gone[_ranges(pack.start[hits], m)[theirs]] = 1
+    before = np.cumsum(gone, dtype=np.int32)
+    cover = before > 0
+    cover[width:] = before[width:] > before[:-width]
+    return cover
+
+
 def _finished(pack: Pack, cover: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     n, off, n_own = pack.batch.num_rows, pack.offsets, pack.batch.num_columns
     kept, removed, spans = [], [], []

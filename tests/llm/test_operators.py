@@ -6,9 +6,11 @@ import base64
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -723,3 +725,58 @@ def test_very_long_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in quality.score(d, model).collect())
     back = {r["doc_id"]: r for r in bpe.round_trip(d, bpe.Vocabulary.public()).collect()}
     assert back[2]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
+def plain_fragments(data: bytes, offsets: list[int], width: int) -> list[tuple]:
+    """(row, start, windows, offset of the anchor) by looking at every window."""
+    grams = [suffix._gram_hash(*(np.frombuffer(data[i + d : i + d + 8], "<u8").copy() for d in (0, suffix.GRAM - 8)))[0] >> np.uint64(36) for i in range(len(data) - suffix.GRAM + 1)]
+    out = []
+    for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        last = None
+        for s in range(a, b - width + 1):
+            p = min(range(s, s + width - suffix.GRAM + 1), key=lambda i: (grams[i], i))
+            if p == last:
+                out[-1][2] += 1
+            else:
+                out.append([row, s, 1, p - s])
+            last = p
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64, 16_384])
+def test_fragments_across_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(suffix, "STRETCH", stretch)
+    rng = np.random.default_rng(4)
+    sizes = [0, 49, 50, 51, 300, 0, 120, 64, 10, 500]
+    data = rng.integers(97, 99, sum(sizes)).astype(np.uint8)
+    data[200:290] = 97  # grams that are equal
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    digest, row, start, windows, inset = suffix.fragments(data, offsets)
+    assert list(zip(row.tolist(), start.tolist(), windows.tolist(), inset.tolist(), strict=True)) == plain_fragments(data.tobytes(), offsets.tolist(), 50)
+    assert digest.tolist() == suffix.anchor_digests(data, start + inset).tolist()
+
+
+def test_fragments_need_little_memory():
+    data = np.random.default_rng(5).integers(97, 123, suffix.PACK_BYTES).astype(np.uint8)
+    tracemalloc.start()
+    suffix.fragments(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(data)  # whole-pack arrays of hashes took over 40 bytes for each of text
+
+
+def test_cover_of_windows_by_brute_force():
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab"), n)) for n in (200, 49, 0, 180, 260)]
+    texts[3] = texts[0][20:120] + texts[3][:80]
+    texts[4] = texts[3][30:150] + texts[0][:100]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 1, 2, 3, 4]), pa.array(texts)], ["doc_id", "text"])
+    pack = suffix.Pack(batch, "doc_id", "text", 50)
+    parts = pack.repeated(2, {k: np.ones(len(u), np.uint8) for k, u, _ in pack.anchors(2)})
+    owners = {k: suffix.owners_of_bucket([pack.blob(v)], 50)[0] for k, v in parts.items()}
+    cover = suffix._cover(pack, parts, owners, 50)
+    ids, want = [5, 1, 2, 3, 4], []
+    for i, t in enumerate(texts):
+        gone = [any(t[s : s + 50] in u for j, u in enumerate(texts) if ids[j] < ids[i]) for s in range(max(len(t) - 49, 0))]
+        want += [any(gone[max(0, x - 49) : x + 1]) for x in range(len(t))]
+    assert cover.tolist() == want
