@@ -4,7 +4,7 @@ A word is a set of token-position rows. Each step of a recursive query joins
 neighbouring tokens to the merge table and contracts every word's leftmost
 pair of least rank, until no word has a pair left. Words are encoded once per
 task and looked up after that. Decoding joins token rows to the vocabulary and
-puts the pieces together by an ordered aggregation.
+reads the pieces in order, so that a text's are one stretch of them.
 
 Very long words go through the same query in windows. A sequence of tokens is
 the encoding of its bytes if every two neighbours are the encoding of theirs:
@@ -48,7 +48,7 @@ with recursive step as (
 select (key >> 32)::int as word, id from step where done order by key
 """
 
-DECODE_SQL = "select row, list(piece order by pos) as pieces from tokens_ join vocab using (id) group by row"
+DECODE_SQL = "select row, piece from tokens_ join vocab using (id) order by pos"
 
 
 @dataclass
@@ -97,8 +97,7 @@ class Codec:
         self.db.register("m_", pa.table({"pair": vocabulary.pair, "rank": vocabulary.rank}))
         self.db.execute("create table merges as select pair, rank from m_")
         known = [(i, p) for i, p in enumerate(vocabulary.pieces) if p is not None]
-        # bytes as the characters of the same number, so that string functions can join them
-        self.db.register("v_", pa.table({"id": pa.array([i for i, _ in known], pa.int32()), "piece": [p.decode("latin-1") for _, p in known]}))
+        self.db.register("v_", pa.table({"id": pa.array([i for i, _ in known], pa.int32()), "piece": pa.array([p for _, p in known], pa.binary())}))
         self.db.execute("create table vocab as select * from v_")
         self.whole = {p: i for i, p in known}
         self.byte_id = np.array([self.whole[bytes([i])] for i in range(256)], np.int32)
@@ -239,21 +238,19 @@ class Codec:
         return [b"".join(next(it) for _ in range(0, max(len(x), 1), 4 * BATCH_TOKENS)) for x in ids]
 
     def _pieces(self, ids: list[bytes]) -> list[bytes]:
-        out = [b""] * len(ids)
         lens = np.array([len(x) // 4 for x in ids], np.int64)
         if not lens.sum():
-            return out
+            return [b""] * len(ids)
         flat = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(ids, lens, strict=True)), "<u4").astype(np.int32)
         self.db.register("tokens_", pa.table({"row": np.repeat(np.arange(len(ids), dtype=np.int32), lens), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
         got = self.db.sql(DECODE_SQL).to_arrow_table()
-        text = got.column("pieces").combine_chunks()
-        edge = text.offsets.to_numpy()
-        data = text.values
-        chars = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
-        raw = data.buffers()[2].to_pybytes() if data.buffers()[2] is not None else b""
-        for r, a, b in zip(got.column("row").to_pylist(), edge[:-1], edge[1:], strict=True):
-            out[r] = raw[chars[a] : chars[b]].decode("utf-8").encode("latin-1")
-        return out
+        if not got.num_rows:
+            return [b""] * len(ids)
+        edge = np.searchsorted(got.column("row").to_numpy(), np.arange(len(ids) + 1))
+        pieces = pa.concat_arrays(got.column("piece").chunks)
+        at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1][edge].tolist()
+        raw = memoryview(pieces.buffers()[2])
+        return [bytes(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _chunks(texts: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -780,3 +780,13 @@ def test_cover_of_windows_by_brute_force():
         gone = [any(t[s : s + 50] in u for j, u in enumerate(texts) if ids[j] < ids[i]) for s in range(max(len(t) - 49, 0))]
         want += [any(gone[max(0, x - 49) : x + 1]) for x in range(len(t))]
     assert cover.tolist() == want
+
+
+def test_decoding_groups_nothing():
+    codec = bpe.Codec(bpe.Vocabulary.public())
+    texts = ["one two \u00e9\u4e2d", "", " three", "\x00\U0001f600"]
+    ids = codec.encode(texts)
+    assert codec.decode([*ids, b"", np.array([2**31 - 1, 65535], "<u4").tobytes()]) == [*[t.encode() for t in texts], b"", b""]
+    assert codec.decode([np.array([65535], "<u4").tobytes()]) == [b""]
+    plan = codec.db.execute("explain " + bpe.DECODE_SQL).fetchall()[0][1].lower()
+    assert "group" not in plan and "aggregate" not in plan
