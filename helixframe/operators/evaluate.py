@@ -14,15 +14,16 @@ def match_counts(signal: DataFrame, structure: DataFrame, max_shift: int, keys:
 
     Equal rows of either side count once, with their number. Both sides go to
     bins as wide as the range of shifts, so a signal row meets the two bins
-    that it can reach; neither side is multiplied by the shifts.
+    that it can reach; neither side is multiplied by the shifts. The bins are
+    merged, as a structure of many positions does not fit a broadcast.
     """
     width = 2 * max_shift + 1
     st = structure.groupBy(F.col("pos").cast("long").alias("spos"), normalize_base(F.col("base")).alias("sbase")).agg(F.count("*").alias("sn")).where("spos is not null")
     st = st.withColumn("bin", F.floor(F.col("spos") / width))
-    s = signal.groupBy(*keys, F.col("pos").cast("long").alias("pos"), normalize_base(F.col("base")).alias("b")).agg(F.count("*").alias("n")).where("pos is not null")
+    s = signal.groupBy(*keys, "pos", normalize_base(F.col("base")).alias("b")).agg(F.count("*").alias("n")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))  # the cast after the group: a signal dealt by pos stays
     s = s.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor((F.col("pos") - max_shift) / width), F.floor((F.col("pos") + max_shift) / width)))))
     shift, rows = F.col("spos") - F.col("pos"), F.col("n") * F.col("sn")
-    j = s.join(st, "bin").where(shift.between(-max_shift, max_shift))
+    j = s.join(st.hint("merge"), "bin").where(shift.between(-max_shift, max_shift))
     return j.groupBy(*keys, shift.cast("int").alias("shift")).agg(F.sum(F.when(F.col("b").isNotNull() & F.col("sbase").isNotNull(), F.when(F.col("b") == F.col("sbase"), rows).otherwise(0))).alias("matches"), F.sum(rows).alias("checked"))
 
 

@@ -663,9 +663,9 @@ def roc_by_base(spark, d):
 
 
 def _shifted(spark, d):
-    """Signal whose bases are those of the structure three positions on."""
+    """Signal whose bases are those of the structure three positions on; merged, so that neither is broadcast."""
     st = view(spark, d, "structure_").select((F.col("pos") - 3).alias("pos"), "base")
-    return _siegfried(spark, d).drop("base").join(st, "pos")
+    return _siegfried(spark, d).drop("base").join(st.hint("merge"), "pos")
 
 
 _SHIFT = """with s as (select g.chr, g.strand, g.pos, replace(t.base, 'U', 'T') as b from signal_ g join structure_ t on t.pos - 3 = g.pos),

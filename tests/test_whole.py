@@ -63,3 +63,10 @@ def test_structure_is_not_multiplied_by_shifts(spark, name):
     own = spark.newSession()
     own.conf.set("spark.sql.maxBroadcastTableSize", "40m")  # sf0.1 has 20,000 positions; times 41 shifts they exceed it
     same(catalogue.queries()[name](own, "/root/testdata/sf0.1"), catalogue.oracle_sql()[name], "/root/testdata/sf0.1")
+
+
+def test_structure_is_not_broadcast(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")  # of the pileups, which are small here
+    own.conf.set("spark.sql.maxBroadcastTableSize", "64k")  # sf0.1 has 20,000 positions; they exceed it
+    same(catalogue.queries()["shift_matches"](own, "/root/testdata/sf0.1"), catalogue.oracle_sql()["shift_matches"], "/root/testdata/sf0.1")
